@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _MASK = 0xFFFFFFFFFFFFFFFF
@@ -50,12 +50,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def texts_of(column: pd.Series) -> list[str]:
-    """The texts of an Arrow batch; a null counts as empty."""
-    return [t if isinstance(t, str) else "" for t in column]
+def texts_of(column: pa.Array) -> list[str]:
+    """The texts of an Arrow column; a null counts as empty."""
+    return column.fill_null("").to_pylist()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: 64-bit, one to one."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +70,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
 with np.errstate(over="ignore"):
-    _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
+    _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 _POWER = np.ones(1, np.uint64)
 
 
@@ -79,8 +79,10 @@ def _powers(n: int) -> np.ndarray:
     global _POWER
     if len(_POWER) < n:
         size = 1 << (n - 1).bit_length()
+        power = np.full(size, 0xD6E8FEB86659FD93, np.uint64)
+        power[0] = 1
         with np.errstate(over="ignore"):
-            _POWER = np.cumprod(np.concatenate(([1], np.full(size - 1, 0xD6E8FEB86659FD93, np.uint64))).astype(np.uint64))
+            _POWER = np.cumprod(power)
     return _POWER
 
 
@@ -109,7 +111,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         part = _BYTE[_LOWER[raw[at]]] * _powers(int(place.max()) + 1)[place]
         begins = np.searchsorted(at, starts)
-        return _mix(np.add.reduceat(part, begins)), bounds
+        return mix(np.add.reduceat(part, begins)), bounds
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -120,10 +122,30 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
         if len(words) < width:
             total = np.uint64(len(words))
             for w in words:
-                total = _mix((total * np.uint64(_STEP)) ^ w)
-            return _mix(np.array([total], np.uint64))
+                total = mix((total * np.uint64(_STEP)) ^ w)
+            return mix(np.array([total], np.uint64))
         n = len(words) - width + 1
         h = np.full(n, width, np.uint64)
         for k in range(width):
-            h = _mix(h * np.uint64(_STEP) ^ words[k : k + n])
+            h = mix(h * np.uint64(_STEP) ^ words[k : k + n])
     return np.unique(h)
+
+
+def by_size(texts: list[str], limit: int = 1 << 20):
+    """Ranges of a batch with about ``limit`` characters each; a longer text has a range of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def shingle_sets(texts: list[str], width: int):
+    """The shingle set of each text, in order, with memory bounded by a slice of the batch."""
+    for lo, hi in by_size(texts):
+        words, bounds = word_hashes(texts[lo:hi])
+        for k in range(hi - lo):
+            yield shingle_hashes(words[bounds[k] : bounds[k + 1]], width)
