@@ -7,11 +7,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: a lambda's body would compute an outer expression for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; in local mode a new one if unset."""
     conf = spark.sparkContext.getConf()
@@ -149,3 +155,58 @@ def shingle_sets(texts: list[str], width: int):
         words, bounds = word_hashes(texts[lo:hi])
         for k in range(hi - lo):
             yield shingle_hashes(words[bounds[k] : bounds[k + 1]], width)
+
+
+def run_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, but tokens are runs of letters and digits (or bytes from 128) and runs of one and the same other mark."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if not data:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    ends = np.cumsum([len(d) + 1 for d in data])
+    kind = _KIND[raw]
+    first = kind > 0
+    first[1:] &= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(first)
+    bounds = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    at = np.flatnonzero(kind)
+    run = np.cumsum(first)[at] - 1
+    place = at - starts[run]
+    with np.errstate(over="ignore"):
+        part = _BYTE[_LOWER[raw[at]]] * _powers(int(place.max()) + 1)[place]
+        return mix(np.add.reduceat(part, np.searchsorted(at, starts))), bounds
+
+
+#: Per byte: 0 white space, 1 part of a word, else the mark itself.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[_SPACE] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+_BLOCK = 1 << 12
+
+
+def count_blocks(counts: np.ndarray):
+    """A task's counts as rows ``(block, counts)``, blocks of zeros left out."""
+    blocks = [k for k in range(-(-len(counts) // _BLOCK)) if counts[k * _BLOCK : (k + 1) * _BLOCK].any()]
+    data = [counts[k * _BLOCK : (k + 1) * _BLOCK].astype("<i8").tobytes() for k in blocks]
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
+
+
+def _add_blocks(batches):
+    """Sums the blocks that a partition holds; a partition holds all counts of its blocks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            c = np.frombuffer(c.as_buffer(), "<i8")
+            total[k] = total[k] + c if k in total else c
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def collect_counts(blocks: DataFrame, size: int) -> np.ndarray:
+    """The sums of ``count_blocks`` rows of all tasks; what reaches the driver has the fixed size given."""
+    counts = np.zeros(-(-size // _BLOCK) * _BLOCK, np.int64)
+    for k, c in blocks.repartition("block").mapInArrow(_add_blocks, "block int, counts binary").collect():
+        counts[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(c, "<i8")
+    return counts[:size]

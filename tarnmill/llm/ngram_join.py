@@ -3,7 +3,7 @@
 Documents with one shingle set form a class, and the join runs over classes. The shingles of a
 class are ordered rare-first (by the counts of their hash buckets over all documents, then by
 hash), and only the prefix that any linked partner must meet is posted. Candidates that pass the
-length and positional filters are verified once per pair, after a suffix filter, on whole sets.
+length and positional filters are verified once per pair, on whole sets, after a suffix filter on counts by hash range.
 
 Only components are asked for, so pairs inside one component need no check. In a first round each
 posting meets the best one of its n-gram (which has least before it), which ties a group of copies
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_size, mix, shingle_sets, texts_of
+from .common import Scratch, by_size, collect_counts, count_blocks, mix, shingle_sets, texts_of
 from .components import connected_components
 
 #: Hash buckets of the shingle counts: 2 MB on the driver and in each worker, at every size of the input.
 BUCKET_BITS = 18
-_BLOCK = 1 << 12
+#: Ranges of hashes whose counts the suffix filter compares; a class carries two bytes for each.
+RANGES = 64
 #: Up to so many document ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -46,47 +47,36 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+_EDGES = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """How many of a sorted set fall in each range of hashes (65535 at most, which only weakens the filter)."""
+    return np.minimum(np.diff(np.searchsorted(h, _EDGES), prepend=0, append=len(h)), 65535).astype("<u2").tobytes()
+
+
 def _scan(width: int):
-    """Per document its set size and class; per task the bucket counts, in blocks."""
+    """Per document its set size, class and sketch; per task the bucket counts, in blocks."""
 
     def scan(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            texts, sizes, keys = texts_of(batch.column(1)), [], []
+            texts, sizes, keys, sketches = texts_of(batch.column(1)), [], [], []
             for lo, hi in by_size(texts):
                 sets = list(shingle_sets(texts[lo:hi], width))
                 sizes += map(len, sets)
                 keys += map(class_hash, sets)
+                sketches += map(_sketch, sets)
                 counts += np.bincount(_buckets(np.concatenate(sets)), minlength=len(counts))
             none = len(sizes)
-            yield _table(doc_id=batch.column(0).cast(pa.int64()), n=pa.array(sizes, pa.int64()), key=pa.array(keys, pa.int64()), block=pa.nulls(none, pa.int32()), counts=pa.nulls(none, pa.binary()))
-        blocks = [k for k in range(len(counts) // _BLOCK) if counts[k * _BLOCK : (k + 1) * _BLOCK].any()]
-        data = [counts[k * _BLOCK : (k + 1) * _BLOCK].astype("<i8").tobytes() for k in blocks]
-        none = pa.nulls(len(blocks), pa.int64())
-        yield _table(doc_id=none, n=none, key=none, block=pa.array(blocks, pa.int32()), counts=pa.array(data, pa.binary()))
+            yield _table(doc_id=batch.column(0).cast(pa.int64()), n=pa.array(sizes, pa.int64()), key=pa.array(keys, pa.int64()), sketch=pa.array(sketches, pa.binary()), block=pa.nulls(none, pa.int32()), counts=pa.nulls(none, pa.binary()))
+        for blocks in count_blocks(counts):
+            none = pa.nulls(len(blocks), pa.int64())
+            yield _table(doc_id=none, n=none, key=none, sketch=pa.nulls(len(blocks), pa.binary()), block=blocks.column(0), counts=blocks.column(1))
 
     return scan
 
 
-def _add_blocks(batches):
-    """Sums the blocks that a partition holds; a partition holds all counts of its blocks."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            c = np.frombuffer(c.as_buffer(), "<i8")
-            total[k] = total[k] + c if k in total else c
-    yield _table(block=pa.array(list(total), pa.int32()), counts=pa.array([c.tobytes() for c in total.values()], pa.binary()))
-
-
-def _bucket_counts(scan: DataFrame) -> np.ndarray:
-    """The counts of all buckets; what is collected has a fixed size."""
-    summed = scan.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for k, c in summed.collect():
-        counts[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(c, "<i8")
-    return counts
-
-
 def _post(width: int, num: int, den: int, counts):
     """The postings of each document: the rarest shingles, of which a linked partner has at least one."""
 
@@ -122,18 +112,23 @@ def _sets(width: int):
     return sets
 
 
-_EDGES = np.arange(1, 32, dtype=np.uint64) << np.uint64(59)
-
-
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sorted sets have a similarity of num/den; the suffix filter comes before the intersection."""
+    """Whether two sorted sets have a similarity of num/den."""
     least = -(-num * (len(x) + len(y)) // (num + den))
-    if min(len(x), len(y)) < least:
-        return False
-    parts = [np.diff(np.searchsorted(s, _EDGES), prepend=0, append=len(s)) for s in (x, y)]
-    if np.abs(parts[0] - parts[1]).sum() > len(x) + len(y) - 2 * least:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= least
+    return min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least
+
+
+def _suffix_filter(num: int, den: int):
+    """Keeps the pairs whose sketches differ by no more than linked sets may; a shingle of one set alone shifts one count by one."""
+
+    def keep(batches):
+        for batch in batches:
+            total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int32) for c in ("x", "y"))
+            least = -(-num * total // (num + den))
+            yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= total - 2 * least))
+
+    return keep
 
 
 def _verify(num: int, den: int):
@@ -162,7 +157,8 @@ class _Join:
 
     def shared_postings(self) -> DataFrame:
         """Postings of shingles that several classes post, without those that can pass with no partner of theirs."""
-        rank = self.spark.sparkContext.broadcast(_bucket_counts(self.scan))
+        counts = collect_counts(self.scan.where("block is not null").select("block", "counts"), 1 << BUCKET_BITS)
+        rank = self.spark.sparkContext.broadcast(counts)
         post = self.docs.select("text").mapInArrow(_post(self.width, self.num, self.den, rank), "token long, key long, n int, pos int")
         post = self.scratch.save(post, "postings")
         shared = post.groupBy("token").agg(F.min("n").alias("n_min"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").drop("lo", "hi")
@@ -173,24 +169,29 @@ class _Join:
         return kept
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs of classes (a < b) that link; the sets of the classes named come from one document each."""
+        """The pairs of classes (a < b) that link; the set of a class comes from one of its documents."""
+        side = lambda key, n, sketch: self.classes.select(F.col("key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sketch))
         pairs = self.scratch.save(pairs.distinct(), f"pairs-{name}")
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        ids = self.features.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        ids = self.scratch.save(ids, f"ids-{name}")
+        both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+        near = self.scratch.save(both.mapInArrow(_suffix_filter(self.num, self.den), "a long, b long"), f"near-{name}")
+        keys = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+        ids = self.scratch.save(self.classes.join(keys, "key").select("doc_id").distinct(), f"ids-{name}")
         few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         texts = self.docs.join(few, self.docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.width), "key long, hashes binary").groupBy("key").agg(F.min("hashes").alias("hashes"))
-        sets = self.scratch.save(sets, f"sets-{name}")
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-        links = self.scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long"), f"links-{name}")
-        self.scratch.drop(f"sets-{name}", f"ids-{name}", f"pairs-{name}")
+        sets = self.scratch.save(texts.mapInArrow(_sets(self.width), "key long, hashes binary"), f"sets-{name}")
+        both = near.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+        links = both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long")
+        links = self.scratch.save(links, f"links-{name}")
+        self.scratch.drop(*(f"{x}-{name}" for x in ("sets", "ids", "near", "pairs")))
         return links
 
     def run(self) -> DataFrame:
-        scan = self.docs.mapInArrow(_scan(self.width), "doc_id long, n long, key long, block int, counts binary")
+        scan = self.docs.mapInArrow(_scan(self.width), "doc_id long, n long, key long, sketch binary, block int, counts binary")
         self.scan = self.scratch.save(scan, "scan")
         self.features = self.scan.where("block is null").select("doc_id", "n", "key")
+        # A class is as its documents: any sketch will do, and the least id stands for it.
+        classes = self.scan.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
+        self.classes = self.scratch.save(classes, "classes")
         post = self.shared_postings()
         best = post.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("p")).select("token", "p.*")
         pairs = post.alias("x").join(best.alias("y"), "token").where(f"x.key <> y.key and {self.may_link('x', 'y')}")
@@ -209,9 +210,7 @@ class _Join:
         two = post.select("token", F.col("comp").alias("other"), "key", "n", "pos").alias("y")
         pairs = one.join(two, ["token", "other"]).where(self.may_link("x", "y"))
         second = self.verified(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")), "2")
-        if second.isEmpty():
-            pass
-        else:
+        if not second.isEmpty():
             roots = connected_components(first.union(second), self.scratch, "cc2")
         self.scratch.drop("rest", "groups", "cross", "shared")
         return self.with_components(roots)
