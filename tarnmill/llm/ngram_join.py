@@ -240,10 +240,24 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> D
 def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each component, the one with its id; of repeated rows one stays.
 
-    Documents without words, and those with a null id, all stay.
+    Documents without words, and those with a null id, all stay. The texts aren't shuffled while the
+    ids that go are few enough to be broadcast; only rows whose id is repeated are compared.
     """
-    found = ngram_join(docs, width, num, den)
-    stays = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    words = docs.withColumn("_keep", F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
-    kept = words.where("_keep").join(stays, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(words.where("not _keep")).select(*docs.columns)
+    found = Scratch(docs.sparkSession, "keep-first").save(ngram_join(docs, width, num, den), "found")
+    found = found.where("n_shingles > 0 and doc_id is not null")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+
+    def ids(condition: str) -> tuple[DataFrame, int]:
+        some = by_id.where(condition).select(F.col("doc_id").alias("_gone"))
+        n = some.count()
+        return (F.broadcast(some) if n <= BROADCAST_IDS else some), n
+
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn("_id", F.when(words, F.col("doc_id")))
+    gone, _ = ids("first = 0")
+    kept = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    repeated, n = ids("first = 1 and rows > 1")
+    if n:
+        same = F.col("_id") == F.col("_gone")
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_id"]))
+    return kept.select(*docs.columns)
