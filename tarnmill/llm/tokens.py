@@ -6,8 +6,8 @@ import os
 
 import numpy as np
 
-#: Distinct words whose ids a worker keeps (about 100 MB); then the cache starts anew.
-CACHED_WORDS = 400_000
+#: Distinct words whose ids a worker keeps in each of two generations (about 150 MB each).
+CACHED_WORDS = 800_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -47,18 +47,34 @@ class WordEncoder:
         self.kind = "drops" if drops else "leads" if byte_level else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict, words: set[str], lead: str) -> None:
-        """Adds the ids of new words; none for a word after which a cut isn't safe."""
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = list(words)
-        for w, ids in zip(new, self._raw([w if w[:1] == "\n" else lead + w for w in new]), strict=True):
-            cache[w] = None if self.kind == "leads" and (not w or w[-1].isspace()) else ids
+    def _learn(self, parts: list[list[str]], lead: str) -> None:
+        """Adds the ids of new words; none for a word after which a cut isn't safe.
+
+        Words come from two generations: those used since the newer one began move over to it, so that
+        a full cache forgets the rare ones alone. All new words are encoded in one call.
+        """
+        used = set().union(*parts)
+        new = [w for w in used.difference(self.words) if len(w) <= CACHED_LENGTH]
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
+            new = [w for w in used if len(w) <= CACHED_LENGTH]
+        again = self.older.keys() & new
+        for w in again:
+            self.words[w] = self.older[w]
+        new = [w for w in new if w not in again] if again else new
+        if not new:
+            return
+        found = self.tokenizer.encode([w if w[:1] == "\n" else lead + w for w in new], is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), side="right") * self.dtype.itemsize
+        data, start = np.array(found.ids, self.dtype).tobytes(), 0
+        for w, end in zip(new, ends.tolist(), strict=True):
+            self.words[w] = None if self.kind == "leads" and (not w or w[-1].isspace()) else data[start:end]
+            start = end
 
     def _join(self, parts: list[str], lead: str) -> bytes | None:
         """The ids of words in a row; None if one of them isn't safe to cut after."""
@@ -74,15 +90,14 @@ class WordEncoder:
         """The ids of each text as little-endian integers of ``dtype``."""
         if self.kind == "whole":
             return self._raw(texts)
-        short = lambda p: {w for w in p if len(w) <= CACHED_LENGTH}
         if self.kind == "drops":
             parts = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.words, short(w for p in parts for w in p), "")
+            self._learn(parts, "")
             return [self._join(p, "") for p in parts]
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn(self.words, short(w for p in parts for w in p[1:]), " ")
-        heads = self._raw([p[0] for p in parts])
-        out = [head + ids if p[0] and not p[0][-1].isspace() and (ids := self._join(p[1:], " ")) is not None else None for p, head in zip(parts, heads, strict=True)]
+        heads = [p.pop(0) for p in parts]
+        self._learn(parts, " ")
+        out = [head + ids if first and not first[-1].isspace() and (ids := self._join(p, " ")) is not None else None for p, first, head in zip(parts, heads, self._raw(heads), strict=True)]
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
