@@ -2,5 +2,348 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnmill.functions import dates, diffing, text
+from tarnmill.functions.money import parse_salary
+from tarnmill.operators import dedup, digest, gates, ledger
+from tarnmill.plans import storyboard
+from tarnmill.plans.postings import POSTINGS_SQL, postings
+from tarnmill.streaming import events as streaming
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _today():
+    return F.lit("2026-01-15").cast("date")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+SLUG = r"regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {SLUG} AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) <= 64 THEN s WHEN contains(substr(s, 1, 65), '-') THEN regexp_replace(substr(s, 1, 65), '-[^-]*$', '') ELSE substr(s, 1, 64) END AS slug FROM s""")
+def text_slugify(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.slugify(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 77) || '...' END AS short FROM documents")
+def text_truncate(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.truncate(F.col("text")).alias("short"))
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents")
+def text_count_words(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.count_words(F.col("text")).alias("words"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text || ' ghp_' || md5(CAST(doc_id AS VARCHAR)) || ' Bearer ' || md5(CAST(doc_id AS VARCHAR)),
+  '\b(sk|pk|ghp|gho|ghu|ghs|github_pat|AKIA)[A-Za-z0-9_]{16,}\b', '[REDACTED]', 'g'), '(?i)bearer\s+[a-z0-9._~+/=-]{20,}', '[REDACTED]', 'g')) AS digest FROM documents""")
+def text_redact(spark, sf):
+    secret = F.md5(F.col("doc_id").cast("string"))
+    return _docs(spark, sf).select("doc_id", F.sha2(text.redact_secrets(F.concat("text", F.lit(" ghp_"), secret, F.lit(" Bearer "), secret)), 256).alias("digest"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS digest FROM documents")
+def text_normalize(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN contains(lower(text), 'token') THEN 'possible secret (''token'')' END, CASE WHEN contains(lower(text), 'secret') THEN NULL END], lambda x: x IS NOT NULL), ';') AS reasons
+  FROM documents WHERE contains(lower(text), 'token')""")
+def text_screen(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.array_join(text.screen_text(F.col("text")), ";").alias("reasons")).where("reasons <> ''")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS body FROM pages WHERE length(trim(regexp_replace(html, '<[^>]+>', ' ', 'g'))) >= 20")
+def html_strip(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("body")).where("body is not null")
+
+
+@query(r"SELECT regexp_replace(url, '[?#].*$', '') AS base, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
+def url_base_distinct(spark, sf):
+    return _read(spark, sf, "pages").groupBy(text.canonical_url(F.col("url")).alias("base")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, list_has_any(regexp_extract_all(lower(title), '[a-z0-9+#]+'), ['ml', 'ai']) OR contains(lower(title), 'data scientist') AS hit FROM postings")
+def text_keyword_match(spark, sf):
+    return postings(spark, sf).select("seq", text.keyword_match(F.col("title"), ["ML", "AI", "Data Scientist"]).alias("hit"))
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE WHEN contains(lower(job_type), 'full') THEN 'full-time' WHEN contains(lower(job_type), 'part') THEN 'part-time'
+  WHEN contains(lower(job_type), 'contract') OR contains(lower(job_type), 'freelance') THEN 'contract' ELSE 'unknown' END AS kind FROM postings""")
+def job_type_classify(spark, sf):
+    return postings(spark, sf).select("seq", text.job_type(F.col("job_type")).alias("kind"))
+
+
+@query(rf"WITH {POSTINGS_SQL} SELECT seq, title FROM postings WHERE regexp_matches(title, '(?i)\b(closed|expired|filled|ended|terminated|withdrawn|cancelled|canceled)\b')")
+def expired_filter(spark, sf):
+    return postings(spark, sf).where(text.is_expired(F.col("title"), F.col("description"))).select("seq", "title")
+
+
+JOB_ID = "substr(sha256(lower(trim(regexp_replace(url, '[?#].*$', ''))) || '|' || lower(trim(title)) || '|' || lower(trim(company))), 1, 16)"
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, {JOB_ID} AS id FROM postings")
+def job_id_hash(spark, sf):
+    return _with_id(postings(spark, sf)).select("seq", "id")
+
+
+def _with_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", text.posting_id(F.col("url"), F.col("title"), F.col("company")))
+
+
+NUM = r"(\d+(?:\.\d+)?)\s*((?:lakh|lac|lpa|[kKmMlL])?)"
+SALARY_SQL = rf"""n AS (SELECT seq, salary, regexp_extract_all(regexp_replace(salary, '(\d),(\d)', '\1\2', 'g'), '{NUM}', 1) AS v,
+    regexp_extract_all(regexp_replace(salary, '(\d),(\d)', '\1\2', 'g'), '{NUM}', 2) AS s FROM postings),
+  p AS (SELECT seq, salary, CAST(v[1] AS DOUBLE) AS a, CAST(v[2] AS DOUBLE) AS b, nullif(lower(s[1]), '') AS sa, nullif(lower(s[2]), '') AS sb,
+    regexp_matches(salary, '(?i)(?:/\s*yr\b|/\s*year\b|\bannual)') AND NOT regexp_matches(salary, '(?i)(?:/\s*hr\b|/\s*hour\b|\bhourly\b)') AS yearly FROM n),
+  q AS (SELECT *, CASE WHEN sa IS NULL AND b IS NOT NULL AND (a <= b OR a < 1000) THEN sb ELSE sa END AS ta,
+    CASE WHEN sb IS NULL AND sa IS NOT NULL AND (b >= a OR b < 1000) THEN sa ELSE sb END AS tb FROM p)
+  SELECT seq, CAST(floor(a * coalesce(CASE ta WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'l' THEN 100000 WHEN 'lakh' THEN 100000 END, CASE WHEN yearly AND a >= 20 AND a < 1000 THEN 1000 END, 1)) AS BIGINT) AS salary_min,
+    CAST(floor(b * coalesce(CASE tb WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'l' THEN 100000 WHEN 'lakh' THEN 100000 END, CASE WHEN yearly AND b >= 20 AND b < 1000 THEN 1000 END, 1)) AS BIGINT) AS salary_max,
+    CASE WHEN regexp_matches(salary, '\d') THEN nullif(regexp_extract(salary, '^\s*([$£€₹A-Za-z]*)', 1), '') END AS currency FROM q"""
+
+
+@query(f"WITH {POSTINGS_SQL}, {SALARY_SQL}")
+def salary_parse(spark, sf):
+    return postings(spark, sf).select("seq", parse_salary(F.col("salary")).alias("s")).select("seq", "s.*")
+
+
+POSTED_SQL = """CASE posted_date WHEN 'Posted 3 days ago' THEN DATE '2026-01-12' WHEN 'yesterday' THEN DATE '2026-01-14' WHEN '30+ days ago' THEN DATE '2025-12-16'
+  WHEN '6 hours ago' THEN DATE '2026-01-15' WHEN '2 weeks ago' THEN DATE '2026-01-01' WHEN 'just posted' THEN DATE '2026-01-15' ELSE TRY_CAST(substr(posted_date, 1, 10) AS DATE) END"""
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, {POSTED_SQL} AS posted FROM postings")
+def posted_date_parse(spark, sf):
+    return postings(spark, sf).select("seq", dates.posted_date(F.col("posted_date"), _today()).alias("posted"))
+
+
+@query("SELECT strftime(o_orderdate, '%G-W%V') AS week, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def iso_week_rollup(spark, sf):
+    rows = _read(spark, sf, "orders")
+    return rows.groupBy(dates.week_key(F.col("o_orderdate")).alias("week")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT event_id, CASE isodow(ts) WHEN 1 THEN 'backfill' WHEN 5 THEN 'weekly' WHEN 6 THEN 'idle' WHEN 7 THEN 'idle' ELSE 'daily' END AS reason,
+  epoch(ts) - epoch(ts - INTERVAL 1 HOUR * (CASE isodow(ts) WHEN 1 THEN 72 WHEN 5 THEN 168 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 24 END)) AS seconds FROM events""")
+def fetch_window(spark, sf):
+    w = _read(spark, sf, "events").select("event_id", dates.fetch_window(F.col("ts").cast("timestamp")).alias("w"))
+    return w.select("event_id", "w.reason", (F.unix_timestamp("w.window_end") - F.unix_timestamp("w.window_start")).cast("double").alias("seconds"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 70 < 60 THEN (p_partkey % 5) * 60 + p_size % 70 END AS seconds FROM part")
+def timecode_parse(spark, sf):
+    code = F.format_string("%02d:%02d:11", F.col("p_partkey") % 5, F.col("p_size") % 70)
+    return _read(spark, sf, "part").select("p_partkey", dates.timecode_seconds(code).cast("long").alias("seconds"))
+
+
+GATES_SQL = f"""CASE WHEN regexp_matches(title, '(?i)\\b(closed|expired|filled|ended)\\b') THEN 'expired'
+  WHEN {POSTED_SQL} IS NULL THEN 'recency' WHEN {POSTED_SQL} < DATE '2026-01-08' THEN 'window'
+  WHEN regexp_replace(lower(company), '\\W', '', 'g') IN ('unknown', 'na', '') AND description = '' THEN 'quality' END"""
+
+
+def _gated(spark, sf) -> DataFrame:
+    rows = postings(spark, sf)
+    posted = dates.posted_date(F.col("posted_date"), _today())
+    chain = [
+        ("expired", ~text.is_expired(F.col("title"), F.col("description"))), ("recency", posted.isNotNull()), ("window", posted >= F.date_sub(_today(), 7)),
+        ("url", F.col("url").rlike(r"^https?://")), ("quality", ~(F.col("company").isin("Unknown", "N/A", "n/a", "") & (F.coalesce("description", F.lit("")) == ""))),
+    ]
+    return gates.apply_gates(rows, chain)
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, {GATES_SQL} AS gate FROM postings")
+def gate_first_failure(spark, sf):
+    return _gated(spark, sf).select("seq", "gate")
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT source, coalesce({GATES_SQL}, 'accepted') AS gate, count(*) AS n FROM postings GROUP BY ALL")
+def gate_reject_counts(spark, sf):
+    return _gated(spark, sf).groupBy("source", F.coalesce("gate", F.lit("accepted")).alias("gate")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT source, seq FROM (SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY seq) AS n FROM postings WHERE {GATES_SQL} IS NULL) WHERE n <= 5")
+def gate_source_cap(spark, sf):
+    return gates.cap_per_source(_gated(spark, sf).where("accepted"), 5).select("source", "seq")
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE WHEN contains(lower(location || ' ' || title), 'hybrid') THEN 'hybrid' WHEN regexp_matches(lower(location || ' ' || title), '\\b(?:remote|worldwide|anywhere)\\b') THEN 'remote'
+  WHEN trim(location) = '' THEN 'unknown' ELSE 'onsite' END AS kind FROM postings""")
+def location_classify(spark, sf):
+    return postings(spark, sf).select("seq", gates.classify_location(F.col("location"), F.col("title")).alias("kind"))
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE WHEN contains(lower(title), 'sales') THEN 0 WHEN regexp_matches(lower(title), '\\bml|machine learning') THEN least(90 + CASE WHEN contains(lower(title), 'senior') THEN 15 ELSE 0 END, 100)
+  WHEN regexp_matches(lower(title), '\\bai\\b|\\bllm') THEN 80 + CASE WHEN contains(lower(title), 'senior') THEN 15 ELSE 0 END ELSE 40 END AS score FROM postings""")
+def profile_score(spark, sf):
+    bonus = F.when(F.lower("title").contains("senior"), 15).otherwise(0)
+    score = gates.score_profile(F.col("title"), ["sales"], [(r"\bml|machine learning", 90), (r"\bai\b|\bllm", 80)], bonus, 40)
+    return postings(spark, sf).select("seq", score.alias("score"))
+
+
+@query("SELECT text AS text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_exact_first(spark, sf):
+    return dedup.first_wins(_docs(spark, sf).select("text", "doc_id"), "text", ["doc_id"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def anti_join_seen(spark, sf):
+    seen = _read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return dedup.not_seen(_read(spark, sf, "orders"), seen, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, 'old' AS side FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+def merge_by_id(spark, sf):
+    rows = _read(spark, sf, "orders").select("o_orderkey")
+    return dedup.merge_by_id(rows.where("o_orderkey % 3 = 0").withColumn("side", F.lit("old")), rows.where("o_orderkey % 2 = 0").withColumn("side", F.lit("new")), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1998-01-01' - 30")
+def ttl_expire(spark, sf):
+    seen = _read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("seen_on"))
+    return dedup.unexpired(seen, F.lit("1998-01-01").cast("date"), 30).select("o_orderkey")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def bounded_recent(spark, sf):
+    return dedup.newest(_read(spark, sf, "events").select("event_id", "event_type"), 200, "event_id")
+
+
+@query()
+def fuzzy_dedup(spark, sf):
+    return dedup.fuzzy_first(postings(spark, sf)).select("seq", "title", "company")
+
+
+@query(f"""WITH {POSTINGS_SQL}, u AS (SELECT seq, 'source' AS dimension, source AS value FROM postings UNION ALL SELECT seq, 'company', company FROM postings UNION ALL SELECT seq, 'location', location FROM postings UNION ALL SELECT seq, 'title', title FROM postings)
+SELECT dimension, value, count(*) AS n, min(seq) AS first_seq FROM u GROUP BY ALL""")
+def digest_counts(spark, sf):
+    return digest.counts(postings(spark, sf), ["source", "company", "location", "title"])
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT company, count(*) AS n, min(seq) AS first_seq FROM postings GROUP BY 1 ORDER BY n DESC, first_seq LIMIT 10")
+def digest_top_companies(spark, sf):
+    return digest.most_common(postings(spark, sf), "company", 10)
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, title FROM postings ORDER BY coalesce({POSTED_SQL}, CAST(fetched_at AS DATE)) DESC, fetched_at DESC, seq LIMIT 20")
+def digest_top_jobs(spark, sf):
+    day = F.coalesce(dates.posted_date(F.col("posted_date"), _today()), F.col("fetched_at").cast("date"))
+    return postings(spark, sf).orderBy(F.desc(day), F.desc("fetched_at"), "seq").limit(20).select("seq", "title")
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id AS seq, event_type NOT IN (SELECT min(event_type) FROM events) AS ok FROM events),
+  l AS (SELECT key, max(seq) FILTER (ok) AS last_ok, count(*) FILTER (NOT ok) AS total_fails, count(*) FILTER (ok) AS total_ok FROM e GROUP BY key)
+  SELECT l.key, coalesce(c.n, 0) AS consecutive_fails, total_fails, total_ok, coalesce(c.n, 0) >= 3 AS open FROM l
+  LEFT JOIN (SELECT e.key, count(*) AS n FROM e JOIN l USING (key) WHERE NOT ok AND (last_ok IS NULL OR seq > last_ok) GROUP BY e.key) c ON c.key = l.key""")
+def breaker_fold(spark, sf):
+    rows = _read(spark, sf, "events")
+    bad = rows.agg(F.min("event_type").alias("bad"))
+    return ledger.breaker(rows.join(F.broadcast(bad)).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") != F.col("bad")).alias("ok")))
+
+
+@query("""SELECT coalesce(o.k, n.k) AS key, greatest(o.fails, n.fails) AS fails, coalesce(o.total, 0) + coalesce(n.total, 0) AS total, greatest(o.d, n.d) AS deadline FROM
+  (SELECT user_id AS k, count(*) AS total, count(*) % 7 AS fails, max(event_id) AS d FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1) o
+  FULL JOIN (SELECT user_id AS k, count(*) AS total, count(*) % 5 AS fails, max(event_id) AS d FROM events WHERE event_id % 2 = 1 AND user_id % 4 <> 0 GROUP BY 1) n ON o.k = n.k""")
+def circuit_merge_outer(spark, sf):
+    def side(rest: int, by: int, mod: int) -> DataFrame:
+        rows = _read(spark, sf, "events").where(f"event_id % 2 = {rest} and user_id % {by} <> 0")
+        return rows.groupBy(F.col("user_id").alias("key")).agg((F.count("*") % mod).alias("fails"), F.count("*").alias("total"), F.max("event_id").alias("deadline"))
+
+    return ledger.merge_histories(side(0, 3, 7), side(1, 4, 5))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY p_partkey LIMIT 1""")
+def topic_pick(spark, sf):
+    topics = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"))
+    days = _read(spark, sf, "lineitem").select(F.col("l_partkey").alias("topic_id"), F.when(F.col("l_returnflag") == "R", "done").otherwise("failed").alias("status"), F.lit(1).alias("attempts"))
+    return ledger.next_topic(topics, days).select("id")
+
+
+@query("""SELECT p_partkey, i AS scene_number, 10 AS duration_sec, ['Watch', 'Learn', 'Build', 'Share'][(i - 1) % 4 + 1] || ' ' || p_name AS voiceover FROM part, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS i)""")
+def storyboard_expand(spark, sf):
+    rows = _read(spark, sf, "part").select("p_partkey", F.explode(storyboard.scenes(F.col("p_name"), ["Watch", "Learn", "Build", "Share"])).alias("s"))
+    return rows.select("p_partkey", "s.*")
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(range(1, CAST(ceil((p_size + 8) / 8.0) AS INTEGER) + 1), lambda i: CASE WHEN i <= 3 THEN p_brand || '-' || i ELSE 'continue' END), '|') AS plan FROM part""")
+def extend_plan(spark, sf):
+    prompts = F.array(*(F.concat("p_brand", F.lit(f"-{i}")) for i in (1, 2, 3)))
+    return _read(spark, sf, "part").select("p_partkey", F.array_join(storyboard.extend_plan(prompts, F.col("p_size") + 8, F.lit(8), "continue"), "|").alias("plan"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no video stream' WHEN p_size % 7 = 0 THEN 'no audio stream'
+  WHEN NOT (720.0 + p_size * 4) / 1280 BETWEEN 0.5325 AND 0.5925 THEN 'aspect' WHEN NOT p_size + 30 BETWEEN 43 AND 53 THEN 'duration' END AS error FROM part""")
+def final_eval(spark, sf):
+    size = F.col("p_size")
+    error = storyboard.final_error(size % 5 != 0, size % 7 != 0, 720 + size * 4, F.lit(1280), size + 30, F.lit(48))
+    return _read(spark, sf, "part").select("p_partkey", error.alias("error"))
+
+
+def _neighbours(spark, sf) -> DataFrame:
+    """Each document's beginning beside that of the next id."""
+    d = _docs(spark, sf).select("doc_id", F.substring("text", 1, 200).alias("a"))
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+
+
+@query()
+def diff_edit_script(spark, sf):
+    return _neighbours(spark, sf).select("doc_id", diffing.diff(F.col("a"), F.col("b"), by_line=False).alias("script"))
+
+
+@query()
+def unified_diff(spark, sf):
+    return _neighbours(spark, sf).select("doc_id", diffing.render_unified(F.col("a"), F.col("b")).alias("patch"))
+
+
+@query()
+def similarity_lcs(spark, sf):
+    return _neighbours(spark, sf).select("doc_id", F.round(diffing.similarity(F.col("a"), F.col("b"), by_line=False), 9).alias("similarity"))
+
+
+def _stream(spark, sf) -> DataFrame:
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).parquet(f"{path}*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _checkpoint(spark) -> str:
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnmill-")
+    return f"{root.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(spark, sf):
+    path = _checkpoint(spark)
+    return streaming.run_available(streaming.daily_counts(_stream(spark, sf), "ts", "event_type"), "daily_" + path[-12:].replace("-", ""), "complete", path)
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY ALL")
+def stream_ttl_dedup(spark, sf):
+    path = _checkpoint(spark)
+    rows = streaming.ttl_dedup(_stream(spark, sf).select("user_id", "ts"), "user_id", "ts", "60 days")
+    return streaming.run_available(rows, "dedup_" + path[-12:].replace("-", ""), "append", path).groupBy("user_id").agg(F.count("*").alias("n"))
