@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import dates, diffing, text
 from tarnmill.functions.money import parse_salary
-from tarnmill.operators import dedup, digest, gates, ledger
+from tarnmill.operators import dedup, digest, gates, law, ledger
 from tarnmill.plans import storyboard
 from tarnmill.plans.postings import POSTINGS_SQL, postings
 from tarnmill.streaming import events as streaming
@@ -347,3 +347,32 @@ def stream_ttl_dedup(spark, sf):
     path = _checkpoint(spark)
     rows = streaming.ttl_dedup(_stream(spark, sf).select("user_id", "ts"), "user_id", "ts", "60 days")
     return streaming.run_available(rows, "dedup_" + path[-12:].replace("-", ""), "append", path).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+FOREIGN_RE = "\\b(?:" + "|".join(law.RESTRICTED) + ")\\b"
+OPEN_RE = "|".join(law.OPEN_WORDS)
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, regexp_matches(lower(location), '{FOREIGN_RE}') AND NOT regexp_matches(lower(location), '{OPEN_RE}') AS restricted FROM postings")
+def law_foreign(spark, sf):
+    return postings(spark, sf).select("seq", law.foreign_restricted(F.col("location")).alias("restricted"))
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE location WHEN 'Remote' THEN NULL WHEN 'Berlin, Germany' THEN 'Berlin' WHEN 'Hybrid - London, UK' THEN 'Hybrid' WHEN 'San Francisco, CA' THEN 'San Francisco' WHEN 'On-site, Lahore' THEN 'On' END AS city,
+  CASE location WHEN 'San Francisco, CA' THEN 'CA' WHEN 'Hybrid - London, UK' THEN 'London' WHEN 'On-site, Lahore' THEN 'site' END AS state,
+  CASE location WHEN 'Berlin, Germany' THEN 'Germany' WHEN 'Worldwide' THEN 'Worldwide' WHEN 'San Francisco, CA' THEN 'United States' WHEN 'Hybrid - London, UK' THEN 'UK' WHEN 'On-site, Lahore' THEN 'Lahore' END AS country,
+  location IN ('Remote', 'Worldwide') AS is_remote FROM postings""")
+def law_hierarchy(spark, sf):
+    return postings(spark, sf).select("seq", law.hierarchy(F.col("location")).alias("h")).select("seq", "h.*")
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE WHEN location = '' THEN CASE WHEN contains(title, '(Remote)') THEN 'remote' ELSE 'unknown' END WHEN location IN ('Remote', 'Worldwide') THEN 'remote'
+  WHEN contains(title, '(Remote)') AND location = 'Berlin, Germany' THEN 'remote' WHEN location = 'Hybrid - London, UK' THEN 'hybrid' ELSE 'onsite' END AS kind FROM postings""")
+def law_classify(spark, sf):
+    return postings(spark, sf).select("seq", law.classify(F.col("location"), F.col("title")).alias("kind"))
+
+
+@query()
+def law_verdicts(spark, sf):
+    row = [F.col(c) for c in ("location", "title", "description")]
+    return postings(spark, sf).select("seq", *(law.verdict(*row, stage)["reason"].alias(stage) for stage in law.STAGES))
