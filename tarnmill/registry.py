@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import dates, diffing, text
 from tarnmill.functions.money import parse_salary
-from tarnmill.operators import dedup, digest, gates, law, ledger
+from tarnmill.operators import dedup, delivery, digest, gates, law, ledger
 from tarnmill.plans import storyboard
 from tarnmill.plans.postings import POSTINGS_SQL, postings
 from tarnmill.streaming import events as streaming
@@ -376,3 +376,51 @@ def law_classify(spark, sf):
 def law_verdicts(spark, sf):
     row = [F.col(c) for c in ("location", "title", "description")]
     return postings(spark, sf).select("seq", *(law.verdict(*row, stage)["reason"].alias(stage) for stage in law.STAGES))
+
+
+@query(f"""WITH {POSTINGS_SQL}, p AS (WITH {SALARY_SQL})
+SELECT seq, CASE WHEN salary_min IS NULL AND salary_max IS NULL THEN '' ELSE coalesce(currency, '') || CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL
+  THEN CASE WHEN currency = '₹' THEN (salary_min // 100000) || 'L-' || (salary_max // 100000) || 'L' ELSE (salary_min // 1000) || 'k-' || (salary_max // 1000) || 'k' END
+  ELSE CASE WHEN currency = '₹' THEN (coalesce(salary_min, salary_max) // 100000) || 'L' ELSE (coalesce(salary_min, salary_max) // 1000) || 'k' END END END AS shown FROM p""")
+def salary_format(spark, sf):
+    s = postings(spark, sf).select("seq", parse_salary(F.col("salary")).alias("s"))
+    return s.select("seq", delivery.salary_text(F.col("s.salary_min"), F.col("s.salary_max"), F.nullif(F.col("s.currency"), F.lit(""))).alias("shown"))
+
+
+@query("""SELECT p_partkey, platform, p_name || chr(10) || chr(10) || 'Follow.' || chr(10) || chr(10) || tags AS caption FROM part, (VALUES """ + ", ".join(f"('{p}', '{' '.join('#' + t for t in sorted(tags))}')" for p, tags in delivery.HASHTAGS.items()) + ") AS v(platform, tags)")
+def captions_cross(spark, sf):
+    return delivery.captions(_read(spark, sf, "part").select("p_partkey", "p_name"), F.col("p_name"), "Follow.").select("p_partkey", "platform", "caption")
+
+
+@query("""SELECT week, day, CAST(sum(n) OVER (PARTITION BY week ORDER BY day) AS BIGINT) AS so_far FROM (SELECT strftime(o_orderdate, '%G-W%V') AS week, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL)""")
+def weekly_counter(spark, sf):
+    rows = _read(spark, sf, "orders").select(F.col("o_orderdate").alias("day"), F.lit(1).alias("n"))
+    return delivery.weekly_counter(rows, "day", "n").select("week", "day", "so_far")
+
+
+@query("SELECT user_id AS run, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) = 0 AND NOT bool_or(event_type = (SELECT max(event_type) FROM events)) AS outage FROM events GROUP BY 1")
+def outage_flag(spark, sf):
+    rows = _read(spark, sf, "events")
+    best = F.broadcast(rows.agg(F.max("event_type").alias("best")))
+    runs = rows.join(best).select(F.col("user_id").alias("run"), (F.col("value") > 100).cast("int").alias("found"), F.when(F.col("event_type") == F.col("best"), "ok").otherwise("failed").alias("outcome"))
+    return delivery.outage(runs)
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT source, seq, CAST(row_number() OVER (PARTITION BY source ORDER BY seq % 7 DESC, seq) AS INTEGER) AS rank FROM postings QUALIFY rank <= 10")
+def profile_section_topk(spark, sf):
+    rows = postings(spark, sf).select("source", "seq", (F.col("seq") % 7).alias("score"))
+    return delivery.profile_sections(rows, "source", "score").select("source", "seq", "rank")
+
+
+@query("SELECT p_partkey, unnest(CASE WHEN p_partkey % 7 = 4 THEN [p_brand, '#hiring ' || p_brand, '\"we are hiring\" ' || p_brand] ELSE [p_brand] END) AS q FROM part")
+def feed_query_expand(spark, sf):
+    return _read(spark, sf, "part").select("p_partkey", F.explode(delivery.feed_queries(F.col("p_brand"), F.col("p_partkey") % 7)).alias("q"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS key, l_partkey % 60 AS line FROM lineitem),
+  g AS (SELECT *, CASE WHEN line - lag(line) OVER w > 7 OR lag(line) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY key ORDER BY line)),
+  h AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY line) AS hunk FROM g)
+  SELECT key, CAST(hunk AS BIGINT) AS hunk, greatest(min(line) - 3, 0) AS lo, max(line) + 3 AS hi FROM h GROUP BY key, hunk""")
+def diff_hunks_window(spark, sf):
+    lines = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 60).alias("line")).distinct()
+    return delivery.hunk_spans(lines)
