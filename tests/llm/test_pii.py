@@ -22,7 +22,7 @@ def base(text):
     for k, kind in enumerate(KINDS):
         for m in re.finditer(PATTERNS[kind], text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in m[0].split(".")):
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or "0") > 255 for p in m[0].split(".")):
                 continue
             if kind == "card":
                 d = [int(c) * (1 + i % 2) for i, c in enumerate(digits[::-1])]
