@@ -112,7 +112,10 @@ def _search(k: int, dim: int, pivots: np.ndarray, most: float):
                 if not len(ask):
                     continue
                 scores = inner_products(q[ask], v)
-                out = [(qid[a], *_best(vid[vid != qid[a]], s[vid != qid[a]], k)) for a, s in zip(ask, scores, strict=True)]
+                # What lies beyond the bound can't be among the k best; 1 allows for rounding.
+                least = ((qf[ask] ** 2).sum(1) + most - (reach[ask] * (1 + SLACK) + SLACK) ** 2) / 2 - 1
+                fits = [(vid != qid[a]) & (s >= m) for a, s, m in zip(ask, scores, least, strict=True)]
+                out = [(qid[a], *_best(vid[f], s[f], k)) for a, s, f in zip(ask, scores, fits, strict=True)]
                 n = [len(i) for _, i, _ in out]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array([a for a, _, _ in out]), n), pa.int64()), pa.array(np.concatenate([i for _, i, _ in out]), pa.int64()), pa.array(np.concatenate([s for _, _, s in out]), pa.int64())],
