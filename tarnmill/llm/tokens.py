@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 
-#: Distinct words whose ids a worker keeps in each of two generations (about 150 MB each).
-CACHED_WORDS = 800_000
+#: Distinct words whose ids a worker keeps in each of two generations (about 180 MB each).
+CACHED_WORDS = 1_000_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -46,17 +48,22 @@ class WordEncoder:
         byte_level = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex", True) and not steps[0].get("add_prefix_space") and not spec["normalizer"]
         self.kind = "drops" if drops else "leads" if byte_level else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
 
     def _learn(self, parts: list[list[str]], lead: str) -> None:
         """Adds the ids of new words; none for a word after which a cut isn't safe.
 
         Words come from two generations: those used since the newer one began move over to it, so that
-        a full cache forgets the rare ones alone. All new words are encoded in one call.
+        a full cache forgets the rare ones alone.
         """
         used = set().union(*parts)
         new = [w for w in used.difference(self.words) if len(w) <= CACHED_LENGTH]
@@ -69,12 +76,8 @@ class WordEncoder:
         new = [w for w in new if w not in again] if again else new
         if not new:
             return
-        found = self.tokenizer.encode([w if w[:1] == "\n" else lead + w for w in new], is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), side="right") * self.dtype.itemsize
-        data, start = np.array(found.ids, self.dtype).tobytes(), 0
-        for w, end in zip(new, ends.tolist(), strict=True):
-            self.words[w] = None if self.kind == "leads" and (not w or w[-1].isspace()) else data[start:end]
-            start = end
+        for w, ids in zip(new, self._raw([w if w[:1] == "\n" else lead + w for w in new]), strict=True):
+            self.words[w] = None if self.kind == "leads" and (not w or w[-1].isspace()) else ids
 
     def _join(self, parts: list[str], lead: str) -> bytes | None:
         """The ids of words in a row; None if one of them isn't safe to cut after."""
