@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+    """Pieces of sequences of 2048 tokens; workers that serve other stages too keep few words."""
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048, cached_words=80_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_size, texts_of
-from .tokens import encoder
+from .tokens import CACHED_WORDS, encoder
 
 _TOKENS = "part int, before long, doc_id long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def _tokenize(tokenizer: str, end_id: int):
+def _tokenize(tokenizer: str, end_id: int, cached_words: int):
     def tokenize(batches):
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, cached_words), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -65,7 +65,7 @@ def _cut(window: int, bases: dict[int, int], total: int, dtype: str):
     return cut
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, cached_words: int = CACHED_WORDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> pieces of sequences of ``window`` tokens.
 
     A piece: ``doc_id``, ``start`` (ids of its document before it), ``length``, ``ids`` (little-endian
@@ -73,11 +73,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> Da
     ``padded_to``, the sequence's length with padding: the window, but for a last sequence whose ids
     are a power of two already. A document is the ids of its whole text and ``end_id``; a null or empty
     text is the end id alone. Repeated rows and null ids are documents of their own; an empty table
-    gives no pieces; other columns are ignored. ``tokenizer`` is a file that every worker can read.
+    gives no pieces; other columns are ignored. ``tokenizer`` is a file that every worker can read. A worker keeps the ids of up to twice
+    ``cached_words`` words, also after the job; fewer take less memory and more time.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    tokens = docs.select("doc_id", "text").mapInArrow(_tokenize(tokenizer, end_id), _TOKENS)
+    tokens = docs.select("doc_id", "text").mapInArrow(_tokenize(tokenizer, end_id, cached_words), _TOKENS)
     tokens = scratch.save(tokens, "tokens")
     dtype = encoder(tokenizer).dtype
     sums = tokens.groupBy("part").agg(F.sum(F.octet_length("ids")).alias("bytes")).orderBy("part").collect()

@@ -12,14 +12,14 @@ import numpy as np
 CACHED_WORDS = 1_000_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file; its cache serves all tasks of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; its cache serves all tasks of the worker, and stays between jobs."""
+    if (path, cached_words) not in _ENCODERS:
+        _ENCODERS[path, cached_words] = WordEncoder(path, cached_words)
+    return _ENCODERS[path, cached_words]
 
 
 class WordEncoder:
@@ -32,7 +32,7 @@ class WordEncoder:
     any other kind is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -49,6 +49,7 @@ class WordEncoder:
         self.kind = "drops" if drops else "leads" if byte_level else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cached_words = cached_words
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -67,7 +68,7 @@ class WordEncoder:
         """
         used = set().union(*parts)
         new = [w for w in used.difference(self.words) if len(w) <= CACHED_LENGTH]
-        if len(self.words) + len(new) > CACHED_WORDS:
+        if len(self.words) + len(new) > self.cached_words:
             self.older, self.words = self.words, {}
             new = [w for w in used if len(w) <= CACHED_LENGTH]
         again = self.older.keys() & new
