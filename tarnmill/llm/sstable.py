@@ -37,6 +37,8 @@ BLOCK_BYTES = 1 << 15
 #: A shard is closed at so many bytes of ids; only a single longer document makes it larger.
 SHARD_BYTES = 16 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Tasks that read shards, at most; each may read several.
+MOST_TASKS = 20_000
 _FOOTER = struct.Struct("<6QB8s")
 
 
@@ -269,9 +271,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """All documents of the shards that a manifest names: ``doc_id``, ``start`` (ids of all before it), ``ids`` (little-endian uint32)."""
-    sums = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).orderBy("part").collect()
+    sums = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("shards")).orderBy("part").collect()
     bases = dict(zip([r.part for r in sums], accumulate((r.tokens for r in sums), initial=0)))
-    files = manifest.select("part", "file", "before").repartition("file")
+    shards = sum(r.shards for r in sums)
+    files = manifest.select("part", "file", "before").repartition(max(1, min(shards, MOST_TASKS)), "file")
     return files.mapInArrow(_read(folder, bases), "doc_id long, start long, ids binary")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from array import array
@@ -50,6 +51,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cached_words = cached_words
+        self.firsts: dict[str, bytes] = {}
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -90,8 +92,26 @@ class WordEncoder:
             return None
         return None if None in ids else b"".join(ids)
 
+    def _heads(self, words: list[str]) -> list[bytes]:
+        """The ids of first words, which no blank leads; few are new."""
+        new = [w for w in set(words).difference(self.firsts) if len(w) <= CACHED_LENGTH]
+        if len(self.firsts) + len(new) > self.cached_words // 10:
+            self.firsts.clear()
+            new = [w for w in set(words) if len(w) <= CACHED_LENGTH]
+        self.firsts.update(zip(new, self._raw(new), strict=True))
+        return [self.firsts[w] if w in self.firsts else self._raw([w])[0] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
+        collecting = gc.isenabled()
+        gc.disable()  # what is made here has no cycles, and is much to look through
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._raw(texts)
         if self.kind == "drops":
@@ -101,7 +121,7 @@ class WordEncoder:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(parts, " ")
-        out = [head + ids if first and not first[-1].isspace() and (ids := self._join(p, " ")) is not None else None for p, first, head in zip(parts, heads, self._raw(heads), strict=True)]
+        out = [head + ids if first and not first[-1].isspace() and (ids := self._join(p, " ")) is not None else None for p, first, head in zip(parts, heads, self._heads(heads), strict=True)]
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
