@@ -304,8 +304,8 @@ def final_eval(spark, sf):
 
 
 def _neighbours(spark, sf) -> DataFrame:
-    """Each document's beginning beside that of the next id."""
-    d = _docs(spark, sf).select("doc_id", F.substring("text", 1, 200).alias("a"))
+    """Each document's whole text beside that of the next id."""
+    d = _docs(spark, sf).select("doc_id", F.col("text").alias("a"))
     return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
