@@ -23,7 +23,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("seq"), "source", _pick(TITLES, d).alias("title"), _pick(COMPANIES, F.floor(d / 8)).alias("company"),
         F.concat(F.lit("https://jobs.example/view/"), (d % 500).cast("string"), F.lit("?ref="), F.col("source")).alias("url"),
         _pick(LOCATIONS, F.floor(d / 3)).alias("location"), _pick(SALARIES, d).alias("salary"), _pick(POSTED, d).alias("posted_date"),
-        F.substring("text", 1, 400).alias("description"), _pick(TYPES, d).alias("job_type"),
+        F.col("text").alias("description"), _pick(TYPES, d).alias("job_type"),
         (F.lit("2026-01-05").cast("timestamp") + F.make_dt_interval(hours=(d % 300).cast("int"))).alias("fetched_at"),
     )
 

@@ -57,3 +57,17 @@ def test_script_is_that_of_the_greedy_search():
         b = a[:9] + b + a[30:] if rng.random() < 0.4 else b
         assert [(op, u) for op, run in diffing.edit_script(a, b) for u in run] == greedy(a, b)
         assert diffing._common(a, b) == lcs(a, b)
+
+
+def test_postings_are_read_to_the_end(spark, tmp_path):
+    long = "Plain words. " * 100
+    rows = [(0, "a", long), (1, "a", long + "Applications are closed."), (8, "a", long + "This is a hybrid role."), (6, "a", long + "You must be based in Berlin.")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r.seq: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(run("expired_filter")) == {1}
+    gates = run("gate_first_failure")
+    assert gates[1].gate == "expired" and gates[0].gate != "expired"
+    assert set(run("gate_source_cap")) == {0, 6, 8}
+    verdicts = run("law_verdicts")
+    changed = lambda k: [v for v in verdicts[k].asDict().values() if isinstance(v, str) and ("hybrid" in v or v == "description")]
+    assert changed(8) and changed(6) and not changed(0)
