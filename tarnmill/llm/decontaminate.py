@@ -1,7 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and items are compared in a normal form: case folded, runs of other characters than letters and
-digits one blank. Long items are matched by overlapping windows, so that a part of one counts as well.
+digits one blank. Items are matched by overlapping windows, so that a part of one counts as well: any
+verbatim passage of PASSAGE characters holds a window, and so does the longer side of a replaced word
+of up to GAP characters with its blanks where the item is long enough (2 * LEAST + GAP). Items of fewer than
+PASSAGE characters are one window; those of fewer than Q are looked for as they stand, as whole words.
 A window of length L within e edits of a passage shares at least L - q + 1 - q*e of its q-grams with
 it, on diagonals that spread over e at most. Shared q-grams are counted in overlapping diagonal bands;
 bands that reach the bound are verified by a banded alignment. Texts are scanned where they lie; only
@@ -22,11 +25,16 @@ from .common import texts_of
 Q = 12
 #: Edits allowed per character of a window.
 EDIT_RATE = 0.04
-WINDOW, STRIDE = 100, 50
+#: The shortest verbatim part of an item that counts; windows of items that are long enough, and the shortest windows of parts.
+PASSAGE, WINDOW, LEAST = 50, 40, 25
+#: A replaced word and a blank.
+GAP = 8
 #: Characters of items in one broadcast block; a larger benchmark takes several passes over the texts.
 BLOCK_CHARS = 4_000_000
 _BITS = 22
 _OTHER = re.compile(r"[\W_]+")
+#: Scripts that are written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 _FOUND = "doc_id long, item_id long, start long, `end` long, edits long"
 
 
@@ -94,21 +102,30 @@ def banded_distance(pattern: str, region: str, budget: int) -> tuple[int, int, i
     return d, s, j
 
 
+def _edge(text: str, at: int) -> bool:
+    """Whether a word can start or end at a place of a normal text."""
+    around = text[max(0, at - 1) : at + 1]
+    return at in (0, len(text)) or " " in around or bool(_UNSPACED.search(around))
+
+
 class Index:
     """The windows of a block of items, by q-gram."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.windows: list[tuple[int, str, int]] = []
+        self.short: dict[str, list[int]] = {}
         for item, text in items:
             text = normal(text or "")
-            last = max(0, len(text) - WINDOW)
-            for at in [0] if len(text) < WINDOW + STRIDE else [*range(0, last, STRIDE), last]:
-                part = text if len(text) < WINDOW + STRIDE else text[at : at + WINDOW]
-                if len(part) >= Q:
-                    self.windows.append((item, part, min(int(EDIT_RATE * len(part)), (len(part) - Q) // Q)))
+            if 0 < len(text) < Q:
+                self.short.setdefault(text, []).append(item)
+            elif text:
+                wide = min(WINDOW, max(LEAST, (len(text) - GAP) // 2)) if len(text) >= PASSAGE else len(text)
+                last = len(text) - wide
+                for at in [*range(0, last, PASSAGE - wide + 1), last]:
+                    self.windows.append((item, text[at : at + wide], min(int(EDIT_RATE * wide), (wide - Q) // Q)))
         grams = [qgram_hashes(w) for _, w, _ in self.windows]
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
+        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int32)
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams] or [np.zeros(0, np.int32)])
         gram = np.concatenate(grams or [np.zeros(0, np.uint32)])
         order = np.argsort(gram, kind="stable")
         self.of, self.place = of[order], place[order]
@@ -121,6 +138,16 @@ class Index:
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """Per item the span that its windows cover in a normal text, and the edits of the best window."""
+        found = self._find_windows(text)
+        for wide in {len(s) for s in self.short}:
+            for i in range(len(text) - wide + 1):
+                if (part := text[i : i + wide]) in self.short and _edge(text, i) and _edge(text, i + wide):
+                    for item in self.short[part]:
+                        old = found.get(item, (0, i, i + wide))
+                        found[item] = (0, min(i, old[1]), max(i + wide, old[2]))
+        return found
+
+    def _find_windows(self, text: str) -> dict[int, tuple[int, int, int]]:
         h = qgram_hashes(text)
         at = np.flatnonzero(self.known[h >> np.uint32(32 - _BITS)])
         if not len(at):
@@ -184,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row for each document row and item of which it holds a window: the span in the text (code
     points, end exclusive) that the item's windows cover from first to last, and the edits of the best.
     Items are told apart by id; repeated ones count once within a block. Null or empty texts hold
-    nothing, and items of fewer than 12 characters in normal form aren't looked for. An empty table on
+    nothing; items of fewer than 12 characters in normal form count where they stand as whole words. An empty table on
     either side gives an empty result; other columns are ignored.
     """
     texts = docs.select("doc_id", "text")
