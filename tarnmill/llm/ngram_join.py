@@ -218,10 +218,11 @@ class _Join:
     def with_components(self, roots: DataFrame) -> DataFrame:
         classes = self.features.groupBy("key").agg(F.min("doc_id").alias("first"))
         classes = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("comp"))
-        least = classes.groupBy("comp").agg(F.min("first").alias("component"))
-        named = classes.join(least, "comp").select("key", "component")
+        # Of one id's classes the least key stands for the component; a null id counts as greatest.
+        least = classes.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("least"))
+        named = classes.join(least, "comp").select("key", F.col("least.first").alias("component"), (F.col("least.key") == F.col("key")).alias("stands"))
         own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-        return self.features.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return self.features.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "stands")
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -234,18 +235,33 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> D
     all ids in it are null, and then by null. An empty table gives an empty result; other columns are
     ignored. Shingles and classes are told apart by 64-bit hashes.
     """
-    return _Join(docs, width, num, den).run()
+    return _Join(docs, width, num, den).run().select("doc_id", "n_shingles", "component_id")
+
+
+def _keyed(width: int):
+    """The batches with the class of each text beside it."""
+
+    def keyed(batches):
+        for batch in batches:
+            texts, keys = texts_of(batch.column("text")), []
+            for lo, hi in by_size(texts, 1 << 22):
+                keys += map(class_hash, shingle_sets(texts[lo:hi], width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+
+    return keyed
 
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each component, the one with its id; of repeated rows one stays.
 
+    Rows of one id are told apart by their texts: each stays if it stands for a component of its own,
+    and in a component the row of the least id and then of the least class stands.
     Documents without words, and those with a null id, all stay. The texts aren't shuffled while the
     ids that go are few enough to be broadcast; only rows whose id is repeated are compared.
     """
-    found = Scratch(docs.sparkSession, "keep-first").save(ngram_join(docs, width, num, den), "found")
-    found = found.where("n_shingles > 0 and doc_id is not null")
-    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    found = Scratch(docs.sparkSession, "keep-first").save(_Join(docs, width, num, den).run(), "found")
+    found = found.where("n_shingles > 0 and doc_id is not null").withColumn("first", F.col("stands") & (F.col("doc_id") == F.col("component_id")))
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("first").cast("int")).alias("first"))
 
     def ids(condition: str) -> tuple[DataFrame, int]:
         some = by_id.where(condition).select(F.col("doc_id").alias("_gone"))
@@ -259,5 +275,9 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> D
     repeated, n = ids("first = 1 and rows > 1")
     if n:
         same = F.col("_id") == F.col("_gone")
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_id"]))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", _key long"
+        some = kept.join(repeated, same, "left_semi").mapInArrow(_keyed(width), schema)
+        stay = found.where("first").join(repeated, F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+        some = some.dropDuplicates(["_id", "_key"]).join(stay, ["_id", "_key"], "left_semi")
+        kept = kept.join(repeated, same, "left_anti").unionByName(some.drop("_key"))
     return kept.select(*docs.columns)
