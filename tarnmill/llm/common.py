@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -9,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-_MASK = 0xFFFFFFFFFFFFFFFF
+#: Bytes of a batch for Python, where the session sets no size: the executor and its workers hold several copies of one.
+BATCH_BYTES = 4 << 20
 
 
 def let(value: Column, then) -> Column:
@@ -31,6 +35,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python have about BATCH_BYTES, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def with_fields(schema: StructType, **kinds: DataType) -> StructType:
+    """A schema with further fields at its end."""
+    return StructType([*schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])
+
+
+def apart(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one column ``row``, where no working column can clash with them."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in names]
+    return rows.select(*names, *([F.struct(*rest).alias("row")] if rest else []))
+
+
+def together(rows: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """What ``apart`` took apart, with the columns in their order."""
+    return rows.select(*(F.col(c) if c in names else F.col(f"row.`{c}`") for c in columns))
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: str, key: tuple, make):
+    """What ``make`` returns, kept in the worker for later tasks of the same owner."""
+    if (owner, *key) not in _KEPT:
+        free_others(owner)
+        _KEPT[owner, *key] = make()
+    return _KEPT[owner, *key]
+
+
+def free_others(owner: str = "") -> None:
+    """Drops what tasks of other owners have kept in this worker, and gives the memory back to the system.
+
+    Workers outlive a job: without this, each stage of a pipeline would run beside the caches of those before it.
+    """
+    gone = [key for key in _KEPT if key[0] != owner]
+    for key in gone:
+        del _KEPT[key]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive lost executors.
 
@@ -40,6 +95,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -75,49 +131,70 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
+_BASE = 0xD6E8FEB86659FD93
 with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
-_POWER = np.ones(1, np.uint64)
+    _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 12) - 1, _BASE, np.uint64)]), dtype=np.uint64)
+
+#: Per byte: 0 between words, 1 part of a word.
+_WORD = (~_SPACE).astype(np.uint8)
+#: Per byte: 0 white space, 1 part of a word, else the mark itself.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[_SPACE] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
+#: Bytes hashed at a time; the arrays of one such part take about 5 MB.
+_PART = 1 << 17
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64, kept up to the longest word seen."""
-    global _POWER
-    if len(_POWER) < n:
-        size = 1 << (n - 1).bit_length()
-        power = np.full(size, 0xD6E8FEB86659FD93, np.uint64)
-        power[0] = 1
-        with np.errstate(over="ignore"):
-            _POWER = np.cumprod(power)
-    return _POWER
 
+def _powers(place: np.ndarray) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, from a table of the first 4096."""
+    if int(place.max()) < len(_POWER):
+        return _POWER[place]
+    far = place >> 12
+    first = int(far.min())
+    high = np.array([pow(_BASE, k << 12, 1 << 64) for k in range(first, int(far.max()) + 1)], np.uint64)
+    return _POWER[place & 4095] * high[far - first]
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and where each text's words begin (one entry more than texts).
 
-    A word is a run of bytes other than blank and 9 to 13; A to Z are lower-cased first. All texts
-    of a batch are hashed in one pass over their bytes.
+def _run_hashes(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of bytes of one kind (other than 0) of all texts, and where each text's runs begin.
+
+    The bytes are hashed part by part; what a part holds of a run is added to the run's sum, so that
+    neither a long text nor a long word needs more than 8 bytes for each of its runs.
     """
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     if not data:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     ends = np.cumsum([len(d) + 1 for d in data])
-    space = _SPACE[raw]
-    inside = ~space
-    first = inside.copy()
-    first[1:] &= space[:-1]
+    del data
+    kind = kinds[raw]
+    first = kind > 0
+    first[1:] &= kind[1:] != kind[:-1]
     starts = np.flatnonzero(first)
     bounds = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
-    if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    at = np.flatnonzero(inside)
-    word = np.cumsum(first)[at] - 1
-    place = at - starts[word]
+    sums, before = np.zeros(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
-        part = _BYTE[_LOWER[raw[at]]] * _powers(int(place.max()) + 1)[place]
-        begins = np.searchsorted(at, starts)
-        return mix(np.add.reduceat(part, begins)), bounds
+        for lo in range(0, len(raw), _PART):
+            at = np.flatnonzero(kind[lo : lo + _PART])
+            begun = np.cumsum(first[lo : lo + _PART])
+            if len(at):
+                run = begun[at] + (before - 1)
+                at += lo
+                part = _BYTE[_LOWER[raw[at]]] * _powers(at - starts[run])
+                begins = np.flatnonzero(np.diff(run, prepend=-1))
+                sums[run[begins]] += np.add.reduceat(part, begins)
+            before += int(begun[-1])
+        return mix(sums), bounds
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and where each text's words begin (one entry more than texts).
+
+    A word is a run of bytes other than blank and 9 to 13; A to Z are lower-cased first.
+    """
+    return _run_hashes(texts, _WORD)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -159,31 +236,9 @@ def shingle_sets(texts: list[str], width: int):
 
 def run_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """As ``word_hashes``, but tokens are runs of letters and digits (or bytes from 128) and runs of one and the same other mark."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    if not data:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
-    ends = np.cumsum([len(d) + 1 for d in data])
-    kind = _KIND[raw]
-    first = kind > 0
-    first[1:] &= kind[1:] != kind[:-1]
-    starts = np.flatnonzero(first)
-    bounds = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
-    if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    at = np.flatnonzero(kind)
-    run = np.cumsum(first)[at] - 1
-    place = at - starts[run]
-    with np.errstate(over="ignore"):
-        part = _BYTE[_LOWER[raw[at]]] * _powers(int(place.max()) + 1)[place]
-        return mix(np.add.reduceat(part, np.searchsorted(at, starts))), bounds
+    return _run_hashes(texts, _KIND)
 
 
-#: Per byte: 0 white space, 1 part of a word, else the mark itself.
-_KIND = np.arange(256, dtype=np.uint8)
-_KIND[_SPACE] = 0
-_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-
 _BLOCK = 1 << 12
 
 

@@ -7,8 +7,9 @@ of up to GAP characters with its blanks where the item is long enough (2 * LEAST
 PASSAGE characters are one window; those of fewer than Q are looked for as they stand, as whole words.
 A window of length L within e edits of a passage shares at least L - q + 1 - q*e of its q-grams with
 it, on diagonals that spread over e at most. Shared q-grams are counted in overlapping diagonal bands;
-bands that reach the bound are verified by a banded alignment. Texts are scanned where they lie; only
-the items' q-grams are broadcast, in blocks of bounded size.
+bands that reach the bound are verified by a banded alignment. Counting goes part by part with a fixed
+number of entries, so that repetitive texts and items take no more memory than others. Texts are
+scanned where they lie; only the items' q-grams are broadcast, one block of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import Scratch, bounded_batches, free_others, texts_of
 
 Q = 12
 #: Edits allowed per character of a window.
@@ -31,6 +32,9 @@ PASSAGE, WINDOW, LEAST = 50, 40, 25
 GAP = 8
 #: Characters of items in one broadcast block; a larger benchmark takes several passes over the texts.
 BLOCK_CHARS = 4_000_000
+#: Places of a text with a q-gram of some window in one part, pairs of such a place and a window's that are
+#: counted at a time, and verified regions that are remembered for a text.
+HITS, ENTRIES, TRIED = 1 << 13, 1 << 17, 1 << 16
 _BITS = 22
 _OTHER = re.compile(r"[\W_]+")
 #: Scripts that are written without blanks between words.
@@ -108,12 +112,17 @@ def _edge(text: str, at: int) -> bool:
     return at in (0, len(text)) or " " in around or bool(_UNSPACED.search(around))
 
 
+def _ranges(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ..., so many of each, in a row."""
+    return np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+
+
 class Index:
-    """The windows of a block of items, by q-gram."""
+    """The windows of a block of items, by q-gram; items that hold one and the same window share it."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, str, int]] = []
         self.short: dict[str, list[int]] = {}
+        holders: dict[str, set[int]] = {}
         for item, text in items:
             text = normal(text or "")
             if 0 < len(text) < Q:
@@ -122,32 +131,49 @@ class Index:
                 wide = min(WINDOW, max(LEAST, (len(text) - GAP) // 2)) if len(text) >= PASSAGE else len(text)
                 last = len(text) - wide
                 for at in [*range(0, last, PASSAGE - wide + 1), last]:
-                    self.windows.append((item, text[at : at + wide], min(int(EDIT_RATE * wide), (wide - Q) // Q)))
+                    holders.setdefault(text[at : at + wide], set()).add(item)
+        self.windows = [(sorted(of, key=str), w, min(int(EDIT_RATE * len(w)), (len(w) - Q) // Q)) for w, of in holders.items()]
         grams = [qgram_hashes(w) for _, w, _ in self.windows]
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int32)
-        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams] or [np.zeros(0, np.int32)])
-        gram = np.concatenate(grams or [np.zeros(0, np.uint32)])
-        order = np.argsort(gram, kind="stable")
-        self.of, self.place = of[order], place[order]
-        self.gram, first = np.unique(gram[order], return_index=True)
-        self.first = np.append(first, len(order))
+        self.size = np.array([len(g) for g in grams], np.int64)
+        self.gram, rank, count = np.unique(np.concatenate(grams or [np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
+        #: The ranks of a window's q-grams stand together, in order of place.
+        self.rank, self.begin = rank.astype(np.int64), np.cumsum(self.size) - self.size
         self.known = np.zeros(1 << _BITS, bool)
         self.known[self.gram >> np.uint32(32 - _BITS)] = True
         self.edits = np.array([e for _, _, e in self.windows], np.int64)
-        self.bound = np.array([len(w) - Q + 1 - Q * e for _, w, e in self.windows], np.int64)
+        self.bound = self.size - Q * self.edits
+        self.span = max((len(w) + 2 * e for _, w, e in self.windows), default=0)
+        # Of the rarest size - bound + 1 of its q-grams a window shares one at least with what it matches.
+        of = np.repeat(np.arange(len(grams)), self.size)
+        order = np.lexsort((self.rank, count[self.rank], of))
+        rare = order[np.arange(len(order)) - self.begin[of] <= (self.size - self.bound)[of]]
+        rare = rare[np.argsort(self.rank[rare], kind="stable")]
+        self.rare_rank, self.rare_of = self.rank[rare], of[rare]
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """Per item the span that its windows cover in a normal text, and the edits of the best window."""
-        found = self._find_windows(text)
+        found: dict[int, tuple[int, int, int]] = {}
+
+        def add(items, d: int, x: int, y: int) -> None:
+            for item in items:
+                old = found.get(item, (d, x, y))
+                found[item] = (min(d, old[0]), min(x, old[1]), max(y, old[2]))
+
+        for w, (d, x, y) in self._find_windows(text).items():
+            items, pattern, _ = self.windows[w]
+            add(items, 0 if d and pattern in text else d, x, y)
         for wide in {len(s) for s in self.short}:
             for i in range(len(text) - wide + 1):
                 if (part := text[i : i + wide]) in self.short and _edge(text, i) and _edge(text, i + wide):
-                    for item in self.short[part]:
-                        old = found.get(item, (0, i, i + wide))
-                        found[item] = (0, min(i, old[1]), max(i + wide, old[2]))
+                    add(self.short[part], 0, i, i + wide)
         return found
 
     def _find_windows(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """Per window the edits of a match, the start of the first and the end of the last one.
+
+        Shared q-grams are counted part by part: a part of the text holds every match that begins before
+        its last ``span`` characters, and so many windows at a time that there are about ENTRIES to count.
+        """
         h = qgram_hashes(text)
         at = np.flatnonzero(self.known[h >> np.uint32(32 - _BITS)])
         if not len(at):
@@ -155,27 +181,70 @@ class Index:
         g = np.searchsorted(self.gram, h[at])
         hit = self.gram[np.minimum(g, len(self.gram) - 1)] == h[at]
         at, g = at[hit], g[hit]
-        times = self.first[g + 1] - self.first[g]
-        entry = np.repeat(self.first[g] - np.concatenate(([0], np.cumsum(times)[:-1])) if len(g) else g, times) + np.arange(times.sum())
-        window, place, diagonal = self.of[entry], self.place[entry], np.repeat(at, times) - self.place[entry]
         found: dict[int, tuple[int, int, int]] = {}
-        for shift in (0, 1):  # bands of 2(e+1) diagonals, every e+1: a spread of e lies within one
-            wide = 2 * (self.edits[window] + 1)
-            band = (diagonal + shift * (self.edits[window] + 1)) // wide
-            keys, index = np.unique(np.stack([window, band, place], 1), axis=0, return_index=True)
-            starts = np.flatnonzero(np.append(True, (keys[1:, :2] != keys[:-1, :2]).any(1))) if len(keys) else keys[:, 0]
-            counts = np.diff(np.append(starts, len(keys)))
-            for s in starts[counts >= self.bound[keys[starts, 0]]]:
-                w, b = int(keys[s, 0]), int(keys[s, 1])
-                item, pattern, e = self.windows[w]
-                lo = max(0, b * 2 * (e + 1) - shift * (e + 1) - e)
-                best = banded_distance(pattern, text[lo : lo + len(pattern) + 4 * (e + 1)], e)
-                if best:
-                    d, x, y = best
-                    old = found.get(item)
-                    found[item] = (min(d, old[0]), min(lo + x, old[1]), max(lo + y, old[2])) if old else (d, lo + x, lo + y)
+        tried: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        i = 0
+        while i < len(at):
+            j = max(i + HITS, int(np.searchsorted(at, at[i] + 2 * self.span)))
+            some = g[i:j]
+            few = np.unique(some)
+            first = np.searchsorted(self.rare_rank, few)
+            active = np.unique(self.rare_of[_ranges(first, np.searchsorted(self.rare_rank, few, "right") - first)])
+            self._count(text, at[i:j], some, active, found, tried)
+            if j >= len(at):
+                break
+            i = max(i + 1, int(np.searchsorted(at, at[j - 1] - self.span + 1)))
         return found
 
+    def _count(self, text: str, at, g, windows, found, tried) -> None:
+        """Counts what a part of a text shares with some windows in each band, and verifies the bands that reach the bound."""
+        entry = _ranges(self.begin[windows], self.size[windows])
+        entry = entry[np.argsort(self.rank[entry], kind="stable")]
+        first = np.searchsorted(self.rank[entry], g)
+        times = np.searchsorted(self.rank[entry], g, "right") - first
+        total = int(times.sum())
+        if total > ENTRIES and len(windows) > 1:
+            for half in np.array_split(windows, 2):
+                self._count(text, at, g, half, found, tried)
+            return
+        if not total:
+            return
+        entry = entry[_ranges(first, times)]
+        of = np.searchsorted(self.begin, entry, "right") - 1
+        place = entry - self.begin[of]
+        # Bands of 2(e+1) diagonals, one every e+1: a spread of e lies within one. Each place counts once in a band.
+        band = (np.repeat(at, times) - place) // (self.edits[of] + 1)
+        band, of, place = np.concatenate([band, band - 1]), np.concatenate([of, of]), np.concatenate([place, place])
+        low, least, wide = int(windows[0]), int(band.min()), int(band.max() - band.min()) + 1
+        key = ((of - low) * wide + (band - least)) * PASSAGE + place
+        pairs, counts = np.unique(np.unique(key) // PASSAGE, return_counts=True)
+        of = pairs // wide + low
+        enough = counts >= self.bound[of]
+        of, band = of[enough], pairs[enough] % wide + least
+        for w in np.unique(of):
+            self._verify(text, int(w), band[of == w].tolist(), found, tried)
+
+    def _verify(self, text: str, w: int, bands: list[int], found, tried) -> None:
+        """The first of the bands, in order, that holds the window within its edits, and the last one."""
+        _, pattern, e = self.windows[w]
+
+        def match(bands) -> tuple[int, int, int] | None:
+            for b in bands:
+                lo = max(0, b * (e + 1) - e)
+                region = text[lo : lo + len(pattern) + 4 * (e + 1)]
+                if (w, region) not in tried:
+                    if len(tried) >= TRIED:
+                        tried.clear()
+                    tried[w, region] = banded_distance(pattern, region, e)
+                if best := tried[w, region]:
+                    return best[0], lo + best[1], lo + best[2]
+            return None
+
+        last = match(reversed(bands))
+        if last:
+            d, x, y = found[w] if w in found else match(bands)
+            found[w] = (min(d, last[0]), x, max(y, last[2]))
+
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The items dealt out by hash, so that a block has about BLOCK_CHARS characters."""
@@ -186,6 +255,7 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 def _scan(index):
     def scan(batches):
+        free_others()
         block = index.value
         for batch in batches:
             docs, texts, rows = batch.column(0).cast(pa.int64()).to_pylist(), texts_of(batch.column(1)), []
@@ -199,10 +269,9 @@ def _scan(index):
     return scan
 
 
-def _indexes(benchmark: DataFrame) -> list:
-    spark = benchmark.sparkSession
-    rows = [b.select(F.col("item_id").cast("long"), "text").where("text is not null").collect() for b in _blocks(benchmark)]
-    return [spark.sparkContext.broadcast(Index([tuple(r) for r in block])) for block in rows]
+def _broadcast(block: DataFrame):
+    rows = block.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct().collect()
+    return block.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -214,18 +283,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; items of fewer than 12 characters in normal form count where they stand as whole words. An empty table on
     either side gives an empty result; other columns are ignored.
     """
-    texts = docs.select("doc_id", "text")
-    parts = [texts.mapInArrow(_scan(index), _FOUND) for index in _indexes(benchmark)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _FOUND)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    texts, blocks = docs.select("doc_id", "text"), _blocks(benchmark)
+    if len(blocks) == 1:
+        return texts.mapInArrow(_scan(_broadcast(blocks[0])), _FOUND)
+    found, scratch = spark.createDataFrame([], _FOUND), Scratch(spark, "leaks")
+    for k, block in enumerate(blocks):  # one index at a time
+        index = _broadcast(block)
+        found = found.unionByName(scratch.save(texts.mapInArrow(_scan(index), _FOUND), str(k)))
+        index.destroy()
     return found
 
 
 def _clean(index):
     def clean(batches):
+        free_others()
         for batch in batches:
             texts = texts_of(batch.column("text"))
             yield batch.filter(pa.array([not index.value.find(normal(t)) for t in texts], pa.bool_()))
@@ -234,8 +307,19 @@ def _clean(index):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window of a benchmark item; all columns, nothing is shuffled."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for index in _indexes(benchmark):
-        docs = docs.mapInArrow(_clean(index), schema)
+    """``docs`` without the documents that hold a window of a benchmark item; all columns, nothing is shuffled.
+
+    A benchmark of several blocks takes a pass for each, over what the ones before it left.
+    """
+    blocks = _blocks(benchmark)
+    bounded_batches(docs.sparkSession)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_clean(_broadcast(blocks[0])), docs.schema)
+    scratch = Scratch(docs.sparkSession, "without-leaks")
+    for k, block in enumerate(blocks):
+        index = _broadcast(block)
+        docs = scratch.save(docs.mapInArrow(_clean(index), docs.schema), str(k))
+        index.destroy()
+        if k:
+            scratch.drop(str(k - 1))
     return docs

@@ -14,12 +14,15 @@ inside a component already; none is lost and no cap is set.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import Scratch, by_size, collect_counts, count_blocks, mix, shingle_sets, texts_of
+from .common import Scratch, by_size, collect_counts, count_blocks, free_others, mix, shingle_sets, texts_of, with_fields
 from .components import connected_components
 
 #: Hash buckets of the shingle counts: 2 MB on the driver and in each worker, at every size of the input.
@@ -59,6 +62,7 @@ def _scan(width: int):
     """Per document its set size, class and sketch; per task the bucket counts, in blocks."""
 
     def scan(batches):
+        free_others()
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             texts, sizes, keys, sketches = texts_of(batch.column(1)), [], [], []
@@ -81,10 +85,11 @@ def _post(width: int, num: int, den: int, counts):
     """The postings of each document: the rarest shingles, of which a linked partner has at least one."""
 
     def post(batches):
+        free_others()
         rank = counts.value
         for batch in batches:
             texts = texts_of(batch.column(0))
-            for lo, hi in by_size(texts, 1 << 22):
+            for lo, hi in by_size(texts):
                 token, key, size, place = [np.zeros(0, np.int64)], [], [], []
                 for h in shingle_sets(texts[lo:hi], width):
                     if n := len(h):
@@ -105,7 +110,7 @@ def _sets(width: int):
     def sets(batches):
         for batch in batches:
             texts = texts_of(batch.column(0))
-            for lo, hi in by_size(texts, 1 << 22):
+            for lo, hi in by_size(texts):
                 found = [h for h in shingle_sets(texts[lo:hi], width) if len(h)]
                 yield _table(key=pa.array([class_hash(h) for h in found], pa.int64()), hashes=pa.array([h.tobytes() for h in found], pa.binary()))
 
@@ -147,6 +152,10 @@ class _Join:
         self.docs = docs.select("doc_id", "text")
         self.scratch = Scratch(self.spark, "ngram-join")
 
+    def length_class(self) -> Column:
+        """A number of the set size that differs by 1 at most between linked sets; the least allowance is for rounding."""
+        return F.floor(F.ln("n") / (math.log(self.den / self.num) * (1 + 1e-9))) if self.num < self.den else F.col("n").cast("long")
+
     def least(self, total: str) -> str:
         """How many shingles two linked sets of so many in all share at least."""
         return f"(({self.num} * ({total}) + {self.num + self.den - 1}) div {self.num + self.den})"
@@ -198,17 +207,19 @@ class _Join:
         first = self.verified(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")), "1")
         roots = connected_components(first, self.scratch, "cc1")
 
-        post = self.scratch.save(post.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "rest")
-        groups = post.groupBy("token", "comp").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("after"))
+        post = self.scratch.save(post.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "pos", self.length_class().alias("len"), F.coalesce("root", "key").alias("comp")), "rest")
+        groups = post.groupBy("token", "len", "comp").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("after"))
         several = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         groups = self.scratch.save(groups.join(several, "token"), "groups")
-        cross = groups.alias("g").join(groups.alias("h"), "token").where(
+        # A common n-gram's components meet only those of their own or the next length: its rows are dealt out by both.
+        h = groups.withColumn("at", F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1))).alias("h")
+        cross = groups.alias("g").join(h, F.expr("g.token = h.token and g.len = h.at")).where(
             f"g.comp < h.comp and {self.den} * g.n_max >= {self.num} * h.n_min and {self.den} * h.n_max >= {self.num} * g.n_min and 1 + least(g.after, h.after) >= {self.least('g.n_min + h.n_min')}"
         )
-        cross = self.scratch.save(cross.select("token", F.col("g.comp").alias("comp"), F.col("h.comp").alias("other")), "cross")
-        one = cross.join(post, ["token", "comp"]).select("token", "other", "key", "n", "pos").alias("x")
-        two = post.select("token", F.col("comp").alias("other"), "key", "n", "pos").alias("y")
-        pairs = one.join(two, ["token", "other"]).where(self.may_link("x", "y"))
+        cross = self.scratch.save(cross.selectExpr("g.token", "g.len", "g.comp", "h.len as other_len", "h.comp as other"), "cross")
+        one = cross.join(post, ["token", "len", "comp"]).select("token", "other_len", "other", "key", "n", "pos").alias("x")
+        two = post.select("token", F.col("len").alias("other_len"), F.col("comp").alias("other"), "key", "n", "pos").alias("y")
+        pairs = one.join(two, ["token", "other_len", "other"]).where(self.may_link("x", "y"))
         second = self.verified(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")), "2")
         if not second.isEmpty():
             roots = connected_components(first.union(second), self.scratch, "cc2")
@@ -243,8 +254,8 @@ def _keyed(width: int):
 
     def keyed(batches):
         for batch in batches:
-            texts, keys = texts_of(batch.column("text")), []
-            for lo, hi in by_size(texts, 1 << 22):
+            texts, keys = texts_of(batch.column("_text")), []
+            for lo, hi in by_size(texts):
                 keys += map(class_hash, shingle_sets(texts[lo:hi], width))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
 
@@ -257,7 +268,8 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> D
     Rows of one id are told apart by their texts: each stays if it stands for a component of its own,
     and in a component the row of the least id and then of the least class stands.
     Documents without words, and those with a null id, all stay. The texts aren't shuffled while the
-    ids that go are few enough to be broadcast; only rows whose id is repeated are compared.
+    ids that go are few enough to be broadcast; only rows whose id is repeated are compared. Other
+    columns stay as they are, whatever their names.
     """
     found = Scratch(docs.sparkSession, "keep-first").save(_Join(docs, width, num, den).run(), "found")
     found = found.where("n_shingles > 0 and doc_id is not null").withColumn("first", F.col("stands") & (F.col("doc_id") == F.col("component_id")))
@@ -269,15 +281,15 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> D
         return (F.broadcast(some) if n <= BROADCAST_IDS else some), n
 
     words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumn("_id", F.when(words, F.col("doc_id")))
+    rows = docs.select(F.when(words, F.col("doc_id")).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     gone, _ = ids("first = 0")
     kept = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
     repeated, n = ids("first = 1 and rows > 1")
     if n:
         same = F.col("_id") == F.col("_gone")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", _key long"
-        some = kept.join(repeated, same, "left_semi").mapInArrow(_keyed(width), schema)
+        some = kept.join(repeated, same, "left_semi").withColumn("_text", F.col("_row.text"))
+        some = some.mapInArrow(_keyed(width), with_fields(some.schema, _key=LongType()))
         stay = found.where("first").join(repeated, F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
         some = some.dropDuplicates(["_id", "_key"]).join(stay, ["_id", "_key"], "left_semi")
-        kept = kept.join(repeated, same, "left_anti").unionByName(some.drop("_key"))
-    return kept.select(*docs.columns)
+        kept = kept.join(repeated, same, "left_anti").unionByName(some.select("_id", "_row"))
+    return kept.select("_row.*")

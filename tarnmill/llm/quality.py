@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import Scratch, by_size, collect_counts, count_blocks, mix, run_hashes, texts_of
+from .common import Scratch, bounded_batches, by_size, collect_counts, count_blocks, free_others, mix, run_hashes, texts_of, with_fields
 
 #: Hash buckets of the n-gram models: 1 MB of weights in each worker, at every size of the input.
 BUCKET_BITS = 17
@@ -35,6 +36,7 @@ def _ngrams(tokens: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     """Counts of raw text in the first half of the buckets, of target text in the second."""
+    free_others()
     size = 1 << BUCKET_BITS
     counts = np.zeros(2 * size, np.int64)
     for batch in batches:
@@ -56,6 +58,7 @@ def _weights(ratio):
     """Adds the log weight; null for a document without tokens."""
 
     def weigh(batches):
+        free_others()
         table = ratio.value
         for batch in batches:
             texts, out = texts_of(batch.column("text")), []
@@ -136,12 +139,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     columns ``log_weight`` and ``perturbed`` of the input are replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop("log_weight", "perturbed")
     ratio = spark.sparkContext.broadcast(log_ratios(docs, labels))
 
     def weighed(rows: DataFrame) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(_weights(ratio), f"{schema}, log_weight double")
+        return rows.mapInArrow(_weights(ratio), with_fields(rows.schema, log_weight=DoubleType()))
 
     noisy = F.col("log_weight") + gumbel(F.col("doc_id"), seed)
     scratch = Scratch(spark, "quality")

@@ -9,18 +9,17 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 #: Distinct words whose ids a worker keeps in each of two generations (about 180 MB each).
 CACHED_WORDS = 1_000_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
-    """The worker's encoder for a tokenizer file; its cache serves all tasks of the worker, and stays between jobs."""
-    if (path, cached_words) not in _ENCODERS:
-        _ENCODERS[path, cached_words] = WordEncoder(path, cached_words)
-    return _ENCODERS[path, cached_words]
+    """The worker's encoder for a tokenizer file; its cache serves all tasks of the worker until it works for another operator."""
+    return kept("tokens", (path, cached_words), lambda: WordEncoder(path, cached_words))
 
 
 class WordEncoder:
