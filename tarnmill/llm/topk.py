@@ -3,10 +3,13 @@
 Vectors are integers. Adding a coordinate sqrt(M - |v|^2) to each (M the greatest squared norm) and 0
 to a query makes the greatest inner product the nearest neighbour: d^2 = |q|^2 + M - 2<q, v>. Every
 vector is keyed by its nearest pivot and its distance to that pivot; the vectors of a pivot, sorted
-by distance, are cut into annuli. A first pass searches the annuli around each query's own ring,
-which gives a bound on its k-th distance. The triangle inequality then says which annuli of which
-pivots can hold a nearer vector: |d(q, p) - d(v, p)| <= d(q, v). A task that is given several such
-annuli takes them from the query's ring outwards and stops at the bound, which shrinks on the way.
+by distance, are cut into annuli, which are written once and never shuffled again.
+
+Queries are broadcast in blocks of a fixed size. A task takes some annuli at a time and orders them
+by their gap to the queries' rings: |d(q, p) - d(v, p)| <= d(q, v), so an annulus whose gap is greater
+than a query's k-th distance so far holds nothing for it. It begins with the nearest and stops where
+all gaps lie beyond the bound, which shrinks with every annulus. A first job searches the annuli of
+each query's own pivot alone, so that the second one begins everywhere with a good bound.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_others
 
 #: Vectors that the pivots are fitted on at most, and pivots.
 SAMPLE, PIVOTS = 8_192, 32
-#: Vectors in an annulus and queries in a block, at most.
-ANNULUS, QUERIES = 512, 256
+#: Vectors in an annulus, annuli that a task orders at a time, and queries whose products are taken at a time.
+ANNULUS, ANNULI, QUERIES = 512, 32, 1024
+#: Bytes of the queries in one broadcast block; more queries take several passes over the index.
+BLOCK_BYTES = 16 << 20
+#: Candidates that a task holds before it keeps each query's k best of them.
+HELD = 1 << 18
 #: Allowance for rounding in distances; it only makes more annuli be searched.
 SLACK = 1e-6
 
@@ -86,72 +93,153 @@ def inner_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, ties to the smaller id."""
-    if len(ids) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        few = scores >= edge
-        ids, scores = ids[few], scores[few]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _search(k: int, dim: int, pivots: np.ndarray, most: float):
-    """Per row, one pivot's annuli and a block of queries: the k best of each query among them."""
-
-    def search(batches):
+class Queries:
+    """A block of queries: ids, vectors, own pivots, and the scores that a candidate must reach."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, least: np.ndarray):
+        self.ids, self.vectors, self.own, self.least = ids, vectors, own, least
+
+
+def _k_best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best by score, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, q))
+    first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(q) else q
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
+class _Search:
+    """The k best of each query of a block among the annuli that it is given."""
+
+    def __init__(self, queries: Queries, pivots: np.ndarray, most: float, k: int, home: bool):
+        self.queries, self.k, self.most, self.home = queries, k, most, home
+        self.least = queries.least.copy()
+        lifted = np.concatenate([queries.vectors.astype(np.float64), np.zeros((len(queries.ids), 1))], 1)
+        self.rings, self.norms = _distances(lifted, pivots), (lifted * lifted).sum(1)
+        self.held = [np.zeros(0, np.int64)] * 3
+        self.new: list[tuple] = []
+        self.fresh = self.searched = self.possible = 0
+
+    def _reach(self, some: np.ndarray) -> np.ndarray:
+        """The distance within which a candidate can still be among the k best."""
+        gone = self.norms[some] + self.most - 2 * self.least[some]
+        return np.sqrt(np.maximum(gone, 0)) * (1 + SLACK) + SLACK
+
+    def take(self, annuli: list[tuple]) -> None:
+        """Searches ``(pivot, d_min, d_max, ids, vectors)`` for every query, the annuli nearest to the queries' rings first."""
+        pivot, low, high = (np.array([x[j] for x in annuli]) for j in range(3))
+        for lo in range(0, len(self.queries.ids), QUERIES):
+            some = np.arange(lo, min(lo + QUERIES, len(self.queries.ids)))
+            ring = self.rings[some][:, pivot]
+            gaps = np.maximum(np.maximum(low - ring, ring - high), 0)
+            mine = (self.queries.own[some, None] == pivot) == self.home
+            self.possible += int(mine.sum())
+            gaps[~mine] = np.inf
+            for j in np.argsort(gaps.min(0), kind="stable"):
+                ask = some[gaps[:, j] <= np.minimum(self._reach(some), np.finfo(float).max)]
+                if len(ask):
+                    self.searched += len(ask)
+                    self._annulus(ask, annuli[j][3], annuli[j][4])
+
+    def _annulus(self, ask: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = inner_products(self.queries.vectors[ask], vectors)
+        fits = (scores >= self.least[ask, None]) & (ids != self.queries.ids[ask, None])
+        if len(ids) > 4 * self.k and (many := fits.sum(1) > 2 * self.k).any():  # no bound yet: the k-th best of the annulus is one
+            kth = np.partition(np.where(fits, scores, np.iinfo(np.int64).min)[many], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            self.least[ask[many]] = np.maximum(self.least[ask[many]], kth)
+            fits &= scores >= self.least[ask, None]
+        row, column = np.nonzero(fits)
+        if len(row):
+            self.new.append((ask[row], ids[column], scores[row, column]))
+            self.fresh += len(row)
+            if self.fresh >= HELD:
+                self._settle()
+
+    def _settle(self) -> None:
+        """Keeps each query's k best and raises its bound to the last of them."""
+        q, ids, scores = (np.concatenate([old, *new]) for old, new in zip(self.held, zip(*self.new, strict=True), strict=True)) if self.new else self.held
+        best = _k_best(q, ids, scores, self.k)
+        self.held = [q[best], ids[best], scores[best]]
+        self.new, self.fresh = [], 0
+        n = np.bincount(self.held[0], minlength=len(self.least))
+        last = np.cumsum(n) - 1
+        full = n >= self.k
+        self.least[full] = np.maximum(self.least[full], self.held[2][last[full]])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._settle()
+        return self.queries.ids[self.held[0]], self.held[1], self.held[2]
+
+
+def _expand(k: int, dim: int, pivots, most: float, block, home: bool):
+    """Per task the k best of each query among its annuli: those of the query's own pivot, or all others."""
+
+    def expand(batches):
+        free_others()
+        search = _Search(block.value, pivots, most, k, home)
+        own, waiting = set(search.queries.own.tolist()), []
         for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["queries"], np.int64).reshape(-1, dim)
-                qid, reach = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["reach"], np.float64)
-                v, vid = np.frombuffer(row["vectors"], np.int64).reshape(-1, dim), np.frombuffer(row["vector_ids"], np.int64)
-                qf = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1)
-                ring = _distances(qf, pivots[row["pivot"]][None])[:, 0]
-                gap = np.maximum(np.maximum(row["d_min"] - ring, ring - row["d_max"]), 0)
-                ask = np.flatnonzero(gap <= reach * (1 + SLACK) + SLACK)
-                if not len(ask):
+            for pivot, ids, vectors, low, high in zip(*(batch.column(c) for c in ("pivot", "ids", "vectors", "d_min", "d_max")), strict=True):
+                if home and pivot.as_py() not in own:
                     continue
-                scores = inner_products(q[ask], v)
-                # What lies beyond the bound can't be among the k best; 1 allows for rounding.
-                least = ((qf[ask] ** 2).sum(1) + most - (reach[ask] * (1 + SLACK) + SLACK) ** 2) / 2 - 1
-                fits = [(vid != qid[a]) & (s >= m) for a, s, m in zip(ask, scores, least, strict=True)]
-                out = [(qid[a], *_best(vid[f], s[f], k)) for a, s, f in zip(ask, scores, fits, strict=True)]
-                n = [len(i) for _, i, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([a for a, _, _ in out]), n), pa.int64()), pa.array(np.concatenate([i for _, i, _ in out]), pa.int64()), pa.array(np.concatenate([s for _, _, s in out]), pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    return search
-
-
-def _pack(key: list[str], dim: int):
-    """Rows of one key in one partition, in order -> blocks of at most ``ANNULUS`` vectors (or ``QUERIES`` queries)."""
-    limit = ANNULUS if "dist" in key else QUERIES
-
-    def pack(batches):
-        held: list = []
-        last = None
-
-        def block():
-            v = np.array([r["embedding"] for r in held], np.int64)
-            row = {"pivot": held[0]["pivot"], "block": held[0]["vec_id"], "ids": np.array([r["vec_id"] for r in held], np.int64).tobytes(), "vectors": v.tobytes(), "d_min": held[0]["dist"], "d_max": held[-1]["dist"], "n": len(held)}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("pivot", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("d_min", pa.float64()), ("d_max", pa.float64()), ("n", pa.int32())]))
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["pivot"] != last or len(held) >= limit):
-                    yield block()
-                    held = []
-                held.append(r)
-                last = r["pivot"]
-        if held:
-            yield block()
-
-    return pack
-
-
-_BLOCKS = "pivot int, block long, ids binary, vectors binary, d_min double, d_max double, n int"
+                waiting.append((pivot.as_py(), low.as_py(), high.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vectors.as_buffer(), np.int64).reshape(-1, dim)))
+                if len(waiting) >= ANNULI:
+                    search.take(waiting)
+                    waiting = []
+        if waiting:
+            search.take(waiting)
+        q, ids, scores = search.found()
+        for lo in range(0, len(q), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (q, ids, scores)], names=["query_id", "vec_id", "score"])
+
+    return expand
+
+
+def _pack(batches):
+    """Rows in order of pivot and distance -> annuli of at most ``ANNULUS`` vectors."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def annuli(table: pa.Table, last: bool):
+        """The complete annuli of some rows, and the rows that are left."""
+        pivot = table.column("pivot").to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(pivot)) + 1, len(pivot))
+        out, lo = [], 0
+        for cut in cuts:
+            while lo < cut and (last or cut < len(pivot) or cut - lo >= ANNULUS):
+                hi = min(lo + ANNULUS, cut)
+                part = table.slice(lo, hi - lo)
+                dist = part.column("dist").to_numpy()
+                vectors = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
+                out.append((int(pivot[lo]), part.column("vec_id").to_numpy().astype("<i8").tobytes(), vectors.tobytes(), float(dist[0]), float(dist[-1])))
+                lo = hi
+        return out, table.slice(lo)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["pivot", "ids", "vectors", "d_min", "d_max"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 8 * ANNULUS:
+            out, rest = annuli(pa.Table.from_batches(held), False)
+            held, rows = rest.to_batches(), rest.num_rows
+            for lo in range(0, len(out), 8):
+                yield batch_of(out[lo : lo + 8])
+    if rows:
+        out, _ = annuli(pa.Table.from_batches(held), True)
+        for lo in range(0, len(out), 8):
+            yield batch_of(out[lo : lo + 8])
+
+
+_ANNULI = "pivot int, ids binary, vectors binary, d_min double, d_max double"
+
+
+def _block(rows, dim: int) -> Queries:
+    """Collected queries with the least score that each must reach; without one any will do."""
+    ids, own = (np.array([r[c] for r in rows], np.int64) for c in ("vec_id", "pivot"))
+    least = np.array([np.iinfo(np.int64).min // 4 if r["least"] is None else r["least"] for r in rows], np.int64)
+    return Queries(ids, np.array([r["embedding"] for r in rows], np.int64).reshape(-1, dim), own, least)
 
 
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
@@ -174,67 +262,29 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> Da
     sample = np.array([r.embedding for r in vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect()], np.int64).reshape(-1, dim)
     pivots = _pivots(_lifted(sample, most), PIVOTS)
     keyed = scratch.save(vectors.mapInArrow(_assign(pivots, most, dim), "vec_id long, embedding array<long>, pivot int, dist double"), "keyed")
+    scratch.drop("vectors")
     # A pivot may hold most vectors: ranges of (pivot, distance) split it over tasks.
     ordered = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    annuli = scratch.save(ordered.mapInArrow(_pack(["pivot", "dist"], dim), _BLOCKS), "annuli")
-    asked = keyed.where(F.col("vec_id") % every == 0).repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    queries = scratch.save(asked.mapInArrow(_pack(["pivot"], dim), _BLOCKS), "queries").select("pivot", F.col("block").alias("q"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    annuli = scratch.save(ordered.mapInArrow(_pack, _ANNULI), "annuli")
 
-    search = _search(k, dim, pivots, most)
+    asked = keyed.where(F.col("vec_id") % every == 0)
+    blocks = -(-asked.count() * dim * 8 // BLOCK_BYTES)
+    block_of = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(max(blocks, 1)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    found = "query_id long, vec_id long, score long"
-
-    # First the annuli of the query's own pivot that lie next to its ring (queries lie at another distance than vectors: the ring is the query's).
-    home = queries.mapInArrow(_rings(dim, pivots), "q long, pivot int, query_ids binary, queries binary, low double, high double, reach binary")
-    near = Window.partitionBy("q").orderBy(F.greatest(F.col("d_min") - F.col("high"), F.col("low") - F.col("d_max"), F.lit(0.0)), "block")
-    slim = annuli.select("pivot", "block", "d_min", "d_max", "n")
-    first = home.select("q", "pivot", "low", "high").join(slim, "pivot").withColumn("place", F.row_number().over(near)).where("place <= 4").select("q", "pivot", "block")
-    pairs = first.join(home, ["q", "pivot"]).join(annuli.withColumnRenamed("ids", "vector_ids"), ["pivot", "block"])
-    start = scratch.save(best(pairs.mapInArrow(search, found)), "start")
-    bound = start.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    # Then, for every pivot, the annuli within reach of the bound on the k-th distance.
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    asked = keyed.where(F.col("vec_id") % every == 0).join(bound, F.col("vec_id") == F.col("query_id"), "left")
-    reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(norm + most - 2 * F.col("least"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
-    asked = asked.select("vec_id", "embedding", "pivot", reach.alias("dist")).repartitionByRange("pivot", "vec_id").sortWithinPartitions("pivot", "vec_id")
-    blocks = scratch.save(asked.mapInArrow(_reaches(dim, pivots), "q long, pivot int, query_ids binary, queries binary, low double, high double, reach binary"), "reaches")
-    within = blocks.join(slim, "pivot").where(F.col("d_max") >= F.col("low")).where(F.col("d_min") <= F.col("high")).select("q", "pivot", "block")
-    pairs = within.join(blocks, ["q", "pivot"]).join(annuli.withColumnRenamed("ids", "vector_ids"), ["pivot", "block"])
-    return best(pairs.mapInArrow(search, found)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _rings(dim: int, pivots: np.ndarray):
-    """Blocks of queries with the range of their rings around their own pivot, without a bound yet."""
-
-    def rings(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q = np.frombuffer(r["queries"], np.int64).reshape(-1, dim).astype(np.float64)
-                ring = _distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots[r["pivot"]][None])[:, 0]
-                row = {"q": r["q"], "pivot": r["pivot"], "query_ids": r["query_ids"], "queries": r["queries"], "low": ring.min(), "high": ring.max(), "reach": np.full(len(q), np.inf).tobytes()}
-                yield pa.RecordBatch.from_pylist([row], schema=_QUERY_BLOCK)
-
-    return rings
-
-
-_QUERY_BLOCK = pa.schema([("q", pa.int64()), ("pivot", pa.int32()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("low", pa.float64()), ("high", pa.float64()), ("reach", pa.binary())])
-
-
-def _reaches(dim: int, pivots: np.ndarray):
-    """Blocks of queries (in which ``dist`` is the reach), once for each pivot with the distances that can matter there."""
-
-    def reaches(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            for lo in range(0, len(rows), QUERIES):
-                some = rows[lo : lo + QUERIES]
-                v = np.array([r["embedding"] for r in some], np.int64)
-                ids, reach = np.array([r["vec_id"] for r in some], np.int64), np.array([r["dist"] for r in some])
-                ring = _distances(np.concatenate([v.astype(np.float64), np.zeros((len(v), 1))], 1), pivots)
-                for p in range(len(pivots)):
-                    wide = reach * (1 + SLACK) + SLACK
-                    row = {"q": int(ids[0]), "pivot": p, "query_ids": ids.tobytes(), "queries": v.tobytes(), "low": (ring[:, p] - wide).min(), "high": (ring[:, p] + wide).max(), "reach": reach.tobytes()}
-                    yield pa.RecordBatch.from_pylist([row], schema=_QUERY_BLOCK)
-
-    return reaches
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for b in range(blocks):
+        mine = asked.where(block_of == b).select("vec_id", "embedding", "pivot")
+        home = _run(annuli, mine.withColumn("least", F.lit(None).cast("long")), k, dim, pivots, most, True)
+        home = scratch.save(best(home).drop("rank"), f"home-{b}")
+        least = home.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+        mine = mine.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", "pivot", "least")
+        rest = scratch.save(_run(annuli, mine, k, dim, pivots, most, False), f"rest-{b}")
+        found = found.unionByName(home).unionByName(rest)
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _run(annuli: DataFrame, queries: DataFrame, k: int, dim: int, pivots: np.ndarray, most: float, home: bool) -> DataFrame:
+    """One block of queries over all annuli; what each task finds, k rows of a query at most."""
+    block = annuli.sparkSession.sparkContext.broadcast(_block(queries.collect(), dim))
+    return annuli.mapInArrow(_expand(k, dim, pivots, most, block, home), "query_id long, vec_id long, score long")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,54 @@ def test_odd_rows(spark):
     extra = spark.createDataFrame([(7, [1.0])], "vec_id long, embedding array<double>").withColumn("pivot", F.lit("x")).withColumn("score", F.lit(1))
     assert sorted(map(tuple, top_k(df.union(extra).union(df), 20).collect())) == brute(rows, 20)
     assert top_k(df.limit(0)).collect() == []
+
+
+def _annuli(vectors, pivots, most):
+    d = topk._distances(topk._lifted(vectors, most), pivots)
+    own = d.argmin(1)
+    out = []
+    for p in range(len(pivots)):
+        mine = np.flatnonzero(own == p)
+        mine = mine[np.argsort(d[mine, p])]
+        for lo in range(0, len(mine), 50):
+            some = mine[lo : lo + 50]
+            out.append((p, d[some[0], p], d[some[-1], p], some, vectors[some]))
+    return out
+
+
+def test_clustered_vectors_skip_annuli():
+    """Most annuli lie beyond the shrinking bound, and what is found is what brute force finds."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-400, 400, (20, 16))
+    vectors = (centres[rng.integers(0, 20, 6000)] + rng.integers(-12, 13, (6000, 16))).astype(np.int64)
+    vectors *= 1000
+    vectors //= np.maximum(np.sqrt((vectors * vectors).sum(1)) / 400, 1).astype(np.int64)[:, None]
+    most = float((vectors * vectors).sum(1).max())
+    pivots = topk._pivots(topk._lifted(vectors[::3], most), 20)
+    ids = np.arange(0, 6000, 40)
+    own = topk._distances(np.concatenate([vectors[ids].astype(float), np.zeros((len(ids), 1))], 1), pivots).argmin(1)
+    annuli = _annuli(vectors, pivots, most)
+    least = np.full(len(ids), np.iinfo(np.int64).min // 4)
+    found, searched, possible = {int(i): [] for i in ids}, 0, 0
+    for home in (True, False):
+        search = topk._Search(topk.Queries(ids, vectors[ids], own, least), pivots, most, 5, home)
+        for lo in range(0, len(annuli), topk.ANNULI):
+            search.take(annuli[lo : lo + topk.ANNULI])
+        for q, v, s in zip(*search.found()):
+            found[int(q)].append((-int(s), int(v)))
+        searched, possible = searched + search.searched, possible + search.possible
+        least = np.array([-sorted(found[int(i)])[4][0] if len(found[int(i)]) >= 5 else least[0] for i in ids])
+    scores = vectors[ids] @ vectors.T
+    for i, row in zip(ids, scores):
+        want = sorted((-int(s), v) for v, s in enumerate(row) if v != i)[:5]
+        assert sorted(found[int(i)])[:5] == want
+    assert searched < 0.5 * possible
+
+
+def test_several_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(topk, "HELD", 100)
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    few = {tuple(r) for r in topk.top_k(df, 7, 10, 64).collect()}
+    monkeypatch.undo()
+    assert few == {tuple(r) for r in topk.top_k(df, 7, 10, 64).collect()}
