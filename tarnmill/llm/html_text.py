@@ -1,9 +1,11 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into a tree. The subtrees that a template may have made (all outside the article,
-and inside it those that hold mostly links) are hashed; Spark counts on how many pages of its host
-each hash occurs. Subtrees that recur on many pages are deleted, together with the elements whose
-tag, role or class says that they aren't the article. What is left of the article is cut into blocks.
+Each page is parsed into a tree, and the subtrees that a template may have made are hashed: all
+outside the article, and inside it the containers, lists and tables that hold less than half of its
+text, and whatever a class or id hints at. Spark counts on how many pages of its host each hash occurs;
+pages with one article count once, so that copies of a page don't make a template of its parts.
+Subtrees that recur on many pages are deleted, together with the elements whose tag, role or whole
+class or id says that they aren't the article. What is left of the article is cut into blocks.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import Scratch, texts_of
+from .common import Scratch, apart, free_others, texts_of, with_fields
 
-#: A template: on so many pages of a host at least, and on this share of its pages.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A template: on so many different pages of a host at least, and on as many as the square root of its pages.
+LEAST_PAGES = 5
 #: Up to so many template hashes (8 bytes each) are broadcast; beyond, they are joined to the pages.
 BROADCAST_HASHES = 2_000_000
 
@@ -36,6 +39,9 @@ _LIST_SCOPE = frozenset("ul ol dl table select html body".split())
 _DROP = frozenset("script style noscript template head title meta link nav footer aside form button select textarea input iframe svg canvas dialog menu object embed applet audio video map noframes noembed".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies share sharing social related recommended widget skip pagination pager masthead topbar toolbar".split())
+_PART_WORDS = frozenset("area bar block body box button buttons container content form group header heading icon icons inner item items left link links list message panel post posts right section slot title top unit wrap wrapper".split())
+_HEAD = frozenset("title meta link script style base noscript template".split())
+_CONTAINERS = frozenset("article aside center details div dl fieldset figure main ol section span table ul".split())
 _DROP_OUTSIDE = frozenset("header footer hd ft".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -71,6 +77,8 @@ def parse(page: str) -> Node:
         if lt < 0:
             lt = size
         if lt > at:
+            if stack[-1].tag == "head" and not page[at:lt].isspace():
+                stack.pop()
             stack[-1].children.append(html.unescape(page[at:lt]))
         if lt == size:
             break
@@ -90,7 +98,9 @@ def parse(page: str) -> Node:
         if m[1]:
             close({tag}, _SCOPE if tag not in _SCOPE else ())
             continue
-        if tag in ("html", "body", "head") and tag != "head":
+        if stack[-1].tag == "head" and tag not in _HEAD:  # its end may be left out
+            stack.pop()
+        if tag in ("html", "body"):
             continue
         if tag in _ENDS_P:
             close({"p"}, _SCOPE)
@@ -108,22 +118,34 @@ def parse(page: str) -> Node:
     return root
 
 
+def _names(text: str) -> list[list[str]]:
+    """The names of a class or id attribute, each as its words."""
+    return [[w for w in re.split(r"[-_]+", name) if w] or [name] for name in text.lower().split()]
+
+
 def _dropped(node: Node, inside: bool) -> bool:
-    """Whether tag, role, class or hiding says that an element isn't part of the article."""
+    """Whether tag, role, hiding, or the whole of a class or id says that an element isn't part of the article."""
     if node.tag in _DROP or node.tag == "header" and not inside:
         return True
-    if not node.attrs or node.tag in ("article", "main"):
+    if not node.attrs:
         return False
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     if a.get("role", "").lower() in _DROP_ROLES:
         return True
-    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        words = re.split(r"[-_]+", name)
-        if not _DROP_WORDS.isdisjoint((name, words[0], words[-1])) or not inside and not _DROP_OUTSIDE.isdisjoint((name, words[0], words[-1])):
-            return True
-    return False
+    if node.tag not in _CONTAINERS:
+        return False
+    drop = _DROP_WORDS if inside else _DROP_WORDS | _DROP_OUTSIDE
+    return any(not drop.isdisjoint(words) and all(w in drop or w in _PART_WORDS or w.isdigit() for w in words) for words in _names(f"{a.get('class', '')} {a.get('id', '')}"))
+
+
+def _hinted(node: Node) -> bool:
+    """Whether a class or id has a word of what isn't the article: no proof, but such an element may be a template's."""
+    if not node.attrs:
+        return False
+    a = node.attributes()
+    return any(not _DROP_WORDS.isdisjoint(words) for words in _names(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
 def _articles(node: Node) -> list[Node]:
@@ -133,9 +155,11 @@ def _articles(node: Node) -> list[Node]:
         found, todo = [], [node]
         while todo:
             x = todo.pop()
+            if x is not node and _dropped(x, False):
+                continue
             if test(x):
                 found.append(x)
-            elif x is node or not _dropped(x, False):
+            else:
                 todo += [c for c in reversed(x.children) if isinstance(c, Node)]
         return found
 
@@ -165,15 +189,25 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _candidates(root: Node) -> list[Node]:
-    """The subtrees that a template may have made."""
+def _candidates(root: Node) -> tuple[list[Node], int]:
+    """The subtrees that a template may have made, and a number that pages with one article share.
+
+    That number is the hash of the articles, or of the whole page if there is none.
+    """
     nodes, articles = _measure(root), _articles(root)
-    inside = {id(a) for a in articles if a is not root}
+    if articles[0] is root:
+        return [x for x in nodes if x is not root and x.size], root.hash
+    inside: dict[int, Node] = {id(a): a for a in articles}
+    own = set(inside)
     for x in nodes:  # parents come before children
         if id(x) in inside:
-            inside.update(id(c) for c in x.children if isinstance(c, Node))
-    own = {id(a) for a in articles}
-    return [x for x in nodes if x is not root and id(x) not in own and x.size and (id(x) not in inside or x.tag in ("div", "section", "ul", "ol", "table") and x.links > 0.5 * x.size)]
+            inside.update((id(c), inside[id(x)]) for c in x.children if isinstance(c, Node))
+    def may(x: Node) -> bool:
+        if id(x) not in inside:
+            return True
+        return id(x) not in own and 2 * x.size < inside[id(x)].size and (x.tag in _CONTAINERS and x.tag != "span" or _hinted(x))
+
+    return [x for x in nodes if x is not root and x.size and may(x)], xxhash.xxh3_64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles))
 
 
 def host_of(url: str | None) -> str:
@@ -192,7 +226,7 @@ def main_text(page: str, host: str = "", templates: np.ndarray | None = None) ->
     root = parse(page)
     gone: set[int] = set()
     if templates is not None and len(templates):
-        found = _candidates(root)
+        found, _ = _candidates(root)
         keys = np.array([_key(host, x.hash) for x in found], np.uint64)
         at = np.minimum(np.searchsorted(templates, keys), len(templates) - 1)
         gone = {id(x) for x, k in zip(found, templates[at] == keys, strict=True) if k}
@@ -229,26 +263,30 @@ def main_text(page: str, host: str = "", templates: np.ndarray | None = None) ->
 
 
 def _hashes(batches):
-    """Per page its host (key 0) and each distinct candidate subtree."""
+    """Per page its host (key 0) and each distinct candidate subtree, with what tells its article from others."""
+    free_others()
     for batch in batches:
-        hosts, keys = [], []
+        hosts, keys, articles = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             host = host_of(url)
-            mine = {0} | {_key(host, x.hash) or 1 for x in _candidates(parse(page))}
+            found, article = _candidates(parse(page))
+            mine = {0} | {_key(host, x.hash) or 1 for x in found}
             hosts.append(np.full(len(mine), xxhash.xxh3_64_intdigest(host), np.uint64))
             keys.append(np.fromiter(mine, np.uint64, len(mine)))
+            articles.append(np.full(len(mine), article, np.uint64))
         none = [np.zeros(0, np.uint64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or none).view(np.int64)) for c in (hosts, keys)], names=["host", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or none).view(np.int64)) for c in (hosts, keys, articles)], names=["host", "key", "article"])
 
 
 def _templates(counts: DataFrame) -> DataFrame:
     """Keys that recur on many pages of their host."""
     pages = counts.where("key = 0").select("host", F.col("n").alias("pages"))
-    return counts.where(f"key <> 0 and n >= {LEAST_PAGES}").join(pages, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "key")
+    return counts.where(f"key <> 0 and n >= {LEAST_PAGES}").join(pages, "host").where("n * n >= pages").select("host", "key")
 
 
 def _texts(templates):
     def texts(batches):
+        free_others()
         for batch in batches:
             own = batch.column("_templates").to_pylist() if templates is None else None
             rows = zip(batch.column("url").to_pylist(), texts_of(batch.column("html")), strict=True)
@@ -269,22 +307,24 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``pages(url, html, ...)`` -> all columns but ``html``, and ``text``, the page's main text.
 
     A null or empty page has an empty text. Hosts are taken from the urls; pages without one form a host
-    of their own. Repeated pages count as pages each, so a page repeated often enough makes its parts
-    outside the article templates, but never its article. Deeply nested, unclosed and very long pages
-    are read whole. An empty table gives an empty result; a column ``text`` of the input is replaced.
+    of their own. Pages with one article (repeated ones among them) count once. Deeply nested, unclosed
+    and very long pages are read whole. An empty table gives an empty result; a column ``text`` of the
+    input is replaced, others stay as they are, whatever their names.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
-    counts = pages.select("url", "html").mapInArrow(_hashes, "host long, key long").groupBy("host", "key").agg(F.count("*").alias("n"))
+    counts = pages.select("url", "html").mapInArrow(_hashes, "host long, key long, article long").groupBy("host", "key").agg(F.count_distinct("article").alias("n"))
     counts = scratch.save(counts.where(f"key = 0 or n >= {LEAST_PAGES}"), "counts")
     templates = scratch.save(_templates(counts), "templates")
-    rows = pages.drop("text")
-    fields = [f for f in rows.schema if f.name not in ("html", "_templates")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
+    columns = [c for c in pages.columns if c not in ("html", "text")]
+    rows = apart(pages.select("html", *(F.col(f"`{c}`") for c in columns)), "url", "html")
     if templates.count() <= BROADCAST_HASHES:
         keys = np.array([r.key for r in templates.select("key").collect()], np.int64).view(np.uint64)
-        return rows.mapInArrow(_texts(spark.sparkContext.broadcast(np.sort(keys))), schema)
-    # A host has no more templates than its pages have subtrees on average, over LEAST_SHARE.
-    by_host = templates.groupBy(F.col("host").alias("_key")).agg(F.collect_list("key").alias("_templates"))
-    rows = rows.withColumn("_host", _host_key(F.col("url"))).join(by_host, F.col("_host") == F.col("_key"), "left").drop("_host", "_key")
-    return rows.mapInArrow(_texts(None), schema)
+        texts = _texts(spark.sparkContext.broadcast(np.sort(keys)))
+    else:
+        # A template is on as many pages as the root of its host's number, so a host has few beside its pages.
+        by_host = templates.groupBy(F.col("host").alias("_key")).agg(F.collect_list("key").alias("_templates"))
+        rows = rows.withColumn("_host", _host_key(F.col("url"))).join(by_host, F.col("_host") == F.col("_key"), "left").drop("_host", "_key")
+        texts = _texts(None)
+    done = rows.mapInArrow(texts, with_fields(rows.drop("html", "_templates").schema, text=StringType()))
+    return done.select(*(F.col(c) if c == "url" else F.col(f"row.`{c}`") for c in columns), "text")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -49,3 +50,47 @@ def test_templates_go_articles_stay(spark, monkeypatch):
 
 def test_empty(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_rules_of_names_and_left_out_tags():
+    assert main_text("<html><head><title>T</title><body><p>hi there</p></body></html>") == "hi there"
+    assert main_text("<title>T</title><meta charset=utf-8><p>hi") == "hi"
+    page = "<article><h1 class=banner>a</h1><div class='share-price'>5</div><div class='share-buttons'>x</div><p id=ads>b</p></article>"
+    assert main_text(page + "<article class=comment>no</article>") == "a\n\n5\n\nb"
+    assert main_text("<div class='comment-list'><article>c</article></div><main>m</main>") == "m"
+
+
+def test_templates_are_the_only_cue(spark):
+    """No tag, role or class tells the template's parts: only that they recur on pages with other articles."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for h in range(6):
+        frame, inner, notice = text(8), text(6), text(5)
+        for k in range(5 + 3 * h):
+            blocks = [text(rng.randrange(8, 30)) for _ in range(rng.randrange(2, 5))]
+            own = f"<section><div>{text(3)}</div></section>"
+            body = "".join(f"<p>{b}</p>" for b in blocks)
+            if h % 2:
+                page = f"<div><p>{frame}</p></div><article>{body}<section><div>{inner}</div></section>{own}</article><p>{notice}</p>"
+            else:
+                page = f"<div><p>{frame}</p><div>{inner}</div></div>{body}{own}<div>{notice}</div>"
+            rows.append((len(rows), f"https://h{h}.example/{k}", page))
+            want[len(rows) - 1] = "\n\n".join([*blocks, re.search(r"<section><div>([^<]*)</div></section>(?!<section)", page[page.index(own) :])[1]])
+    copies = "<article><p>one two three four five six seven</p><div><b>eight</b></div></article>"
+    rows += [(1000 + k, "https://copies.example/", copies) for k in range(30)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(got[1000 + k] == "one two three four five six seven\n\neight" for k in range(30))
+
+
+def test_clashing_columns_and_a_bound_on_pages(spark, monkeypatch):
+    rows = [(k, f"http://a.example/{k}", f"<div><i>frame of the site</i></div><p>text {k}</p>{'<div>a quarter</div>' if k % 4 == 0 else ''}") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("_host", "_key", "_templates", "row", "article"):
+        df = df.withColumn(name, F.lit(name))
+    for limit in (10**6, 0):
+        monkeypatch.setattr(html_text, "BROADCAST_HASHES", limit)
+        for r in extract_text(df).collect():
+            assert r.text == f"text {r.page_id}" and (r._host, r._key, r._templates, r.row, r.article) == ("_host", "_key", "_templates", "row", "article")
