@@ -151,7 +151,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     scores = weighed(docs.select("doc_id", "text")).select("doc_id", "log_weight").where("log_weight is not null")
     scores = scratch.save(scores.withColumn("x", noisy), "scores")
     if k is None:
-        known = scores.join(F.broadcast(_labels(labels)), "doc_id").where("not good or held").select("good", "log_weight").collect()
+        known = scores.join(F.broadcast(_labels(labels)), "doc_id").where("not good or held").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).collect()
         cut = best_cut(np.array([r.log_weight for r in known if r.good]), np.array([r.log_weight for r in known if not r.good]))
         k = scores.where(F.col("log_weight") > F.lit(cut)).count()
     least = kth_largest(scores, k)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chat, read_chat
+from .chat import format_chat, read_chat, unescape
 from .common import Scratch
 from .decontaminate import find_leaks
 from .html_text import extract_text
@@ -58,7 +58,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = read_chat(format_chat(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    masked = lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(masked(s))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -98,7 +99,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["base"])
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", pii.alias("pii")).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
+    n_spans = F.size("pii").cast("long").alias("n_spans")
+    return found.select("doc_id", pii.alias("pii")).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"), n_spans)
 
 
 @query

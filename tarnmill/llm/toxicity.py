@@ -3,10 +3,11 @@
 Word level: an acceptor (a trie of words and word beginnings) turns each word into a class and a
 weight: insult, threat, target, negation, reported speech. The function words of the grammar are
 fixed; the weighted insults are learned as log odds of words and word beginnings in labelled
-documents, on top of a small seed list. Clause level: the class string of a clause runs through a
-transducer whose state holds what has been read (negated, reported, aimed at someone, a threat
-begun) and which weights an insult or threat accordingly. What a document's clauses score, how many
-do, and how dense they are among its words is turned into a probability by a logistic model.
+documents, on top of a small seed list. Clause level: five small transducers, one for each class, are
+composed into one deterministic machine. It reads the classes of a clause and weighs an insult or
+threat by what has been read (negated, reported, a threat begun) and by whether the clause is aimed
+at someone. Only scores of clauses go into the logistic model that gives a document's probability:
+the greatest, their sum, how many there are, and how dense they are in the document.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import texts_of
+from .common import Scratch, free_others, texts_of, with_fields
 
 #: Labelled documents used at most; their ids and labels are broadcast.
 MAX_LABELLED = 40_000
-#: Learned arcs at most, those with the greatest weight times support.
-MAX_ARCS = 4_000
+#: A learned arc: so many documents hold it, its log odds are above this, and it is so many deviations commoner in toxic ones.
+LEAST_DOCUMENTS, LEAST_ODDS, LEAST_DEVIATIONS = 3, 1.0, 4.0
+#: A clause with such a score is a strong one.
+STRONG = 3.5
 LEAST_LENGTH, MOST_LENGTH = 3, 9
 _CACHED = 300_000
 
@@ -48,6 +52,58 @@ def pieces(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in range(LEAST_LENGTH, min(len(word), MOST_LENGTH) + 1))]
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic machine over word classes, from state 0; what isn't listed leaves the state as it is.
+
+    ``scale`` is what a state makes of the weight of an insult or threat read in it, ``emits`` the weight
+    that reading a class in a state adds, ``ends`` what a final state makes of insults and of threats.
+    """
+
+    moves: dict[tuple[int, str], int]
+    scale: dict[int, float] = field(default_factory=dict)
+    emits: dict[tuple[int, str], float] = field(default_factory=dict)
+    ends: dict[int, tuple[float, float]] = field(default_factory=dict)
+
+
+MACHINES = {
+    "insult": Transducer({}, emits={(0, "insult"): 1.0}),  # times the weight of the arc that was read
+    "threat": Transducer({(0, "will"): 1}, emits={(1, "threat"): 2.0}),
+    "target": Transducer({(0, "target"): 1}, ends={0: (1.0, 0.0), 1: (1.1, 1.1)}),
+    "negation": Transducer({(s, k): 2 if k == "negation" else max(0, s - 1) for s in range(3) for k in _WORDS}, scale={1: 0.5, 2: 0.5}),  # reaches over two symbols
+    "report": Transducer({(0, "report"): 1}, scale={1: 0.6}),
+}
+
+
+@dataclass(frozen=True)
+class Composed:
+    """``moves[state][class]`` -> next state, factor of the weight; ``ends[state]`` -> factors of insults and of threats."""
+
+    moves: list[dict[str, tuple[int, float]]]
+    ends: list[tuple[float, float]]
+
+
+def compose(machines: list[Transducer]) -> Composed:
+    """The product of the machines: all of them read each class; scales and ends are multiplied, emissions added up."""
+    start = (0,) * len(machines)
+    number, todo, moves, ends = {start: 0}, [start], [], []
+    for state in todo:  # grows
+        scale = math.prod(m.scale.get(s, 1.0) for m, s in zip(machines, state, strict=True))
+        row = {}
+        for kind in _WORDS:
+            after = tuple(m.moves.get((s, kind), s) for m, s in zip(machines, state, strict=True))
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            row[kind] = (number[after], scale * sum(m.emits.get((s, kind), 0.0) for m, s in zip(machines, state, strict=True)))
+        moves.append(row)
+        ends.append(tuple(math.prod(m.ends.get(s, (1.0, 1.0))[k] for m, s in zip(machines, state, strict=True)) for k in (0, 1)))
+    return Composed(moves, ends)
+
+
+CLAUSE = compose(list(MACHINES.values()))
+
+
 @dataclass
 class Grammar:
     """The acceptor's arcs: function words by class, and insults by word or beginning with a weight."""
@@ -70,37 +126,27 @@ class Grammar:
         return kind
 
     def clause(self, symbols: list[tuple[str, float]]) -> tuple[float, float]:
-        """Runs the clause transducer: the score of the clause, and its greatest single weight."""
-        negated = reported = will = 0
-        aimed = any(kind == "target" for kind, _ in symbols)
-        score = most = 0.0
+        """Runs the composed machine over a clause: its score, and its greatest single weight."""
+        state, insults, threats, insult, threat = 0, 0.0, 0.0, 0.0, 0.0
         for kind, weight in symbols:
-            if kind == "negation":
-                negated = 2  # reaches over two more symbols
-                continue
-            if kind == "report":
-                reported = 1
-            elif kind == "will":
-                will = 1
-            elif kind in ("insult", "threat"):
-                if kind == "threat":
-                    weight = 2.0 * will if aimed else 0.0
-                scale = (0.5 if negated else 1.0) * (0.6 if reported else 1.0) * (1.1 if aimed else 1.0)
-                score += weight * scale
-                most = max(most, weight * scale)
-            negated = max(0, negated - 1)
-        return score, most
+            state, factor = CLAUSE.moves[state][kind]
+            if kind == "insult":
+                insults += weight * factor
+                insult = max(insult, weight * factor)
+            elif factor:
+                threats += factor
+                threat = max(threat, factor)
+        aimed, meant = CLAUSE.ends[state]
+        return insults * aimed + threats * meant, max(insult * aimed, threat * meant)
 
     def features(self, text: str) -> list[float]:
         read, cache = self.read, self.cache
         words = _TOKEN.findall(text.lower())
-        clauses, symbols, hits = [], [], []
+        clauses, symbols = [], []
         for w in words:
             kind = cache[w] if w in cache else read(w)
             if kind:
                 symbols.append(kind)
-                if kind[0] == "insult":
-                    hits.append(kind[1])
             elif w in _CLAUSE_END and symbols:
                 clauses.append(self.clause(symbols))
                 symbols = []
@@ -109,8 +155,8 @@ class Grammar:
         scores = [s for s, _ in clauses if s > 0]
         total, most = sum(scores), max((m for _, m in clauses), default=0.0)
         n = max(len(words), 1)
-        strong = sum(h >= 3.5 for h in hits)
-        return [1.0, most, math.log1p(total), min(len(scores), 8) / 8, math.log1p(100 * total / n), math.log(n) / 5, math.log1p(strong), math.log1p(1000 * strong / n), float(not hits)]
+        strong = sum(s >= STRONG for s in scores)
+        return [1.0, most, math.log1p(total), math.log1p(len(scores)), math.log1p(100 * total / n), math.log(n) / 5, math.log1p(strong), math.log1p(1000 * strong / n), float(not scores)]
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
@@ -134,6 +180,7 @@ class ToxicityModel:
 
 def _piece_counts(batches):
     """Per piece the number of toxic and of other documents that hold it, summed within the task."""
+    free_others()
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -151,20 +198,30 @@ def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the labelled rows used: one label each (the greater of several), the bound taken by a hash of the id."""
+    """Texts of the labelled documents used, one for each id (the least of several), with one label (the greater of several).
+
+    The bound is taken by a hash of the id.
+    """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic_label"))
     some = one.orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic_label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic_label").agg(F.min("text").alias("text"))
+    return rows.select("text", "toxic_label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
 
 
 def _learn_arcs(rows: DataFrame) -> dict[str, float]:
-    """Log odds of pieces that are clearly more frequent in toxic documents, smoothed; seeds have at least 3."""
+    """Log odds of pieces that are clearly more frequent in toxic documents, smoothed; seeds have at least 3.
+
+    Their number is bounded by the labelled documents: each holds so many words.
+    """
     n = {r.toxic_label: r["count"] for r in rows.groupBy("toxic_label").count().collect()}
     toxic, other = n.get(True, 0), n.get(False, 0)
-    counted = rows.select("text", "toxic_label").mapInArrow(_piece_counts, "piece string, toxic long, other long").groupBy("piece").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
-    kept = counted.withColumn("w", weight).where((F.col("t") >= max(3, toxic // 1000)) & (F.col("w") > 1.0)).orderBy(F.desc(F.col("w") * F.log1p("t")), "piece").limit(MAX_ARCS)
-    arcs = {r.piece: min(r.w, 8.0) for r in kept.collect()} if toxic and other else {}
+    arcs: dict[str, float] = {}
+    if toxic and other:
+        counted = rows.select("text", "toxic_label").mapInArrow(_piece_counts, "piece string, toxic long, other long").groupBy("piece").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+        weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
+        expected = (F.col("t") + F.col("o")) * (toxic / (toxic + other))
+        kept = counted.withColumn("w", weight).where((F.col("t") >= LEAST_DOCUMENTS) & (F.col("w") > LEAST_ODDS) & (F.col("t") - expected >= LEAST_DEVIATIONS * F.sqrt(expected)))
+        arcs = {r.piece: min(r.w, 8.0) for r in kept.select("piece", "w").collect()}
     for w in _WORDS["insult"].split():
         arcs[w + "$"] = max(arcs.get(w + "$", 0.0), 3.0)
     return arcs
@@ -172,6 +229,7 @@ def _learn_arcs(rows: DataFrame) -> dict[str, float]:
 
 def _features(arcs):
     def features(batches):
+        free_others()
         grammar = Grammar(arcs.value)
         for batch in batches:
             x = [grammar.features(t) for t in texts_of(batch.column(0))]
@@ -187,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     that it sees arcs as they are on new texts; the arcs kept are learned from both halves.
     """
     spark = docs.sparkSession
-    rows = _labelled(docs, labels)
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.save(_labelled(docs, labels), "labelled")
     x, y = [], []
     for half in (0, 1):
         arcs = spark.sparkContext.broadcast(_learn_arcs(rows.where(F.col("half") == 1 - half)))
@@ -195,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         x += [r.x for r in found]
         y += [float(r.y) for r in found]
     arcs = _learn_arcs(rows)
+    scratch.drop("labelled")
     if len(set(y)) < 2:
         return ToxicityModel(arcs, _prior_weights().tolist())
     x, y = np.array(x), np.array(y)
@@ -220,6 +280,7 @@ def _prior_weights() -> np.ndarray:
 
 def _score(model):
     def score(batches):
+        free_others()
         grammar = Grammar(model.value.arcs)
         for batch in batches:
             yield batch.append_column("score", pa.array(model.value.scores(grammar, texts_of(batch.column("text"))), pa.float64()))
@@ -234,5 +295,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     not; an empty table gives an empty result; a column ``score`` of the input is replaced.
     """
     docs = docs.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, score double")
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), with_fields(docs.schema, score=DoubleType()))

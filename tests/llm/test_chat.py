@@ -53,3 +53,16 @@ def test_query(spark):
 
 def test_empty(spark):
     assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_loss_columns_are_read_through_the_mask(spark, monkeypatch):
+    """A mask that is wrong by one place changes what the query gives."""
+    from tarnmill.llm import queries
+
+    want = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op8_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
+    assert want[-7] == (21, hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest())
+    right = queries.format_chat
+    moved = lambda rows: right(rows).withColumn("loss_spans", F.transform("loss_spans", lambda s: s.withField("start", s["start"] + 1)))
+    monkeypatch.setattr(queries, "format_chat", moved)
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op8_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
+    assert got[-7] != want[-7]
