@@ -169,13 +169,11 @@ class _Join:
         counts = collect_counts(self.scan.where("block is not null").select("block", "counts"), 1 << BUCKET_BITS)
         rank = self.spark.sparkContext.broadcast(counts)
         post = self.docs.select("text").mapInArrow(_post(self.width, self.num, self.den, rank), "token long, key long, n int, pos int")
-        post = self.scratch.save(post, "postings")
+        # Postings are made once for the counts and once for the join, which costs less than keeping them all on disk.
         shared = post.groupBy("token").agg(F.min("n").alias("n_min"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").drop("lo", "hi")
         smallest = f"greatest(({self.num} * n + {self.den - 1}) div {self.den}, n_min)"
         kept = post.join(shared, "token").where(f"1 + n - pos >= {self.least(f'n + {smallest}')}").select("token", "key", "n", "pos").distinct()
-        kept = self.scratch.save(kept, "shared")
-        self.scratch.drop("postings")
-        return kept
+        return self.scratch.save(kept, "shared")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of classes (a < b) that link; the set of a class comes from one of its documents."""
