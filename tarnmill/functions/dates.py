@@ -21,9 +21,7 @@ def posted_datetime(value: Column) -> Column:
 def posted_date(value: Column, today: Column) -> Column:
     """ISO dates, today and yesterday, and ages like ``Posted 3 days ago``; else null."""
     text = F.trim(value)
-    low = F.lower(text)
-    for p in PREFIXES:
-        low = F.when(low.startswith(p), F.trim(F.substring(low, len(p) + 1, 1 << 20))).otherwise(low)
+    low = F.regexp_replace(F.lower(text), "^" + "".join(f"(?:{p} *)?" for p in PREFIXES), "")
     iso = F.when(F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(text, 1, 10).try_cast("date"))
     unit = F.element_at(F.create_map(*(F.lit(x) for kv in UNIT_DAYS.items() for x in kv)), F.regexp_extract(low, RELATIVE, 2))
     age = F.bround(F.regexp_extract(low, RELATIVE, 1).try_cast("double") * unit).cast("int")
@@ -56,3 +54,44 @@ def timecode_seconds(text: Column) -> Column:
     n = F.transform(p, lambda x: F.trim(x).try_cast("int"))
     good = F.size(n).isin(2, 3) & F.forall(n, lambda x: F.coalesce(x >= 0, F.lit(False))) & (F.get(n, F.lit(1)) < 60)
     return F.when(good, F.get(n, F.lit(0)) * 60 + F.get(n, F.lit(1)))
+
+
+def lenient_date(value: Column) -> Column:
+    """An ISO date; null for anything else."""
+    head = F.substring(F.trim(value), 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
+
+
+def lenient_datetime(value: Column, now: Column) -> Column:
+    """A timestamp, or now where there is none to read."""
+    return F.coalesce(F.try_to_timestamp(F.trim(value)), now)
+
+
+def window_start(now: Column, days: Column | None = None) -> Column:
+    """Where a run's window begins: so many days ago if given, else that of its weekday."""
+    planned = fetch_window(now)["window_start"]
+    return planned if days is None else F.coalesce(now - F.make_dt_interval(days=days.cast("int")), planned)
+
+
+def freshness(last: Column, now: Column, reason: Column) -> Column:
+    """Whether the last run lies as far back as it should: first, recent, stale or ok."""
+    hours = (F.unix_timestamp(now) - F.unix_timestamp(last)) / 3600
+    return F.when(last.isNull(), "first").when((hours < 1) & (reason != "idle"), "recent").when((hours > 72) & (reason == "daily"), "stale").otherwise("ok")
+
+
+def publish_at(now: Column, zone: str, hour: int, minute: int = 0) -> Column:
+    """The next time that the clock of a zone shows the hour, strictly after now; in UTC as ``now``."""
+    local = F.from_utc_timestamp(now, zone)
+    at = F.date_trunc("day", local) + F.make_dt_interval(hours=F.lit(hour), mins=F.lit(minute))
+    return F.to_utc_timestamp(F.when(at <= local, at + F.make_dt_interval(days=F.lit(1))).otherwise(at), zone)
+
+
+def whole_clips(target: Column, clip: Column) -> Column:
+    """Seconds rounded up to whole clips; raises unless both are positive."""
+    bad = ~F.coalesce((target > 0) & (clip > 0), F.lit(False))
+    return F.when(bad, F.raise_error(F.lit("target and clip must be positive")).cast("long")).otherwise(F.ceil(target / clip) * clip)
+
+
+def lookback_seconds(now: Column, after: Column) -> Column:
+    """How far back a feed is read: a day at least."""
+    return F.greatest(F.lit(86_400).cast("long"), F.unix_timestamp(now) - F.unix_timestamp(after))

@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sources whose urls carry an id, with their host, the parameter and the url it makes; links that are no postings.
+ID_PARAMETERS = (
+    ("indeed", "indeed.com", r"[?&]jk=([a-fA-F0-9]+)", "https://www.indeed.com/viewjob?jk="),
+    ("glassdoor", "glassdoor.com", r"[?&](?:jl|jobListingId)=([0-9]+)", "https://www.glassdoor.com/job-listing/?jl="),
+)
+PROFILE_LINK = "linkedin.com/in/"
 # Secrets, expiry notices, screening hints and abbreviations.
 SECRET_PATTERNS = (r"\b(sk|pk|ghp|gho|ghu|ghs|github_pat|AKIA)[A-Za-z0-9_]{16,}\b", r"(?i)bearer\s+[a-z0-9._~+/=-]{20,}")
 EXPIRED_TITLE = r"(?i)\b(closed|expired|no longer (?:accepting|available)|filled|ended|terminated|withdrawn|cancelled|canceled)\b"
@@ -106,14 +112,71 @@ def strip_html(text: Column, least: int = 20) -> Column:
     return F.when(F.length(plain) >= least, plain)
 
 
-def canonical_url(url: Column) -> Column:
+def strip(text: Column) -> Column:
+    """Without white space at either end, of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def base_url(url: Column) -> Column:
     """The url without query string and fragment."""
     return F.regexp_replace(url, r"[?#].*$", "")
 
 
-def posting_id(url: Column, title: Column, company: Column) -> Column:
+def canonical_url(url: Column, source: Column) -> Column:
+    """One url for all that lead to a posting: those of a source with an id parameter are rebuilt from it, others stay; null becomes empty."""
+    out = url
+    for name, host, parameter, form in reversed(ID_PARAMETERS):
+        found = F.regexp_extract(url, parameter, 1)
+        out = F.when((F.coalesce(source == name, F.lit(False)) | url.contains(host)) & (found != ""), F.concat(F.lit(form), found)).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def posting_id(url: Column, title: Column, company: Column, source: Column) -> Column:
     """16 hex digits of SHA-256 over the trimmed lower-case parts."""
-    return F.substring(F.sha2(F.concat_ws("|", *(F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (canonical_url(url), title, company))), 256), 1, 16)
+    parts = (canonical_url(url, source), title, company)
+    return F.substring(F.sha2(F.concat_ws("|", *(strip(F.lower(F.coalesce(c, F.lit("")))) for c in parts)), 256), 1, 16)
+
+
+def valid_job_url(url: Column) -> Column:
+    """http or https, and not a link to somebody's profile."""
+    low = strip(F.lower(F.coalesce(url, F.lit(""))))
+    return low.rlike("^https?://") & ~low.contains(PROFILE_LINK)
+
+
+def domains(raw: Column, most: int = 15) -> Column:
+    """The valid host names of a comma-separated list, each once, in order."""
+    names = F.filter(F.transform(F.split(F.lower(raw), ","), strip), valid_hostname)
+    return F.slice(F.array_distinct(names), 1, most)
+
+
+def short_slug(text: Column, most: int = 40) -> Column:
+    """White space to single blanks, cut at a number of characters."""
+    return F.substring(strip(F.regexp_replace(text, r"(?U)\s+", " ")), 1, most)
+
+
+def topic_keywords(title: Column, takeaway: Column) -> Column:
+    """The title's words of more than two characters and the first three of the takeaway; one word if there are none."""
+    long = lambda text: F.filter(F.split(text, r"(?U)\s+"), lambda w: F.length(w) > 2)
+    some = F.concat(long(F.translate(F.coalesce(title, F.lit("")), "-", " ")), F.slice(long(F.coalesce(takeaway, F.lit(""))), 1, 3))
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("coding")))
+
+
+def shell_quoted(path: Column) -> Column:
+    """A path inside single quotes: each quote of its own is closed, escaped and opened again."""
+    return F.replace(path, F.lit("'"), F.lit("'\\''"))
+
+
+def session_name(source: Column) -> Column:
+    """A source's name as part of a file name; raises for an empty one or one that leads elsewhere."""
+    bad = F.coalesce(source == "", F.lit(True)) | source.rlike(r"[/\\]|\.\.")
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a source name: "), F.coalesce(source, F.lit("")))).cast("string")).otherwise(source)
+
+
+def embedded_json(text: Column) -> Column:
+    """What a fenced block holds, else what stands from the first brace to the last; null if there is neither."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.nullif(F.when(fenced != "", fenced).otherwise(braces), F.lit(""))
 
 
 def decision_token(log: Column) -> Column:
