@@ -35,6 +35,6 @@ def _sql_pick(values: list[str], by: str) -> str:
 POSTINGS_SQL = f"""postings AS (
   SELECT doc_id AS seq, source, {_sql_pick(TITLES, 'doc_id')} AS title, {_sql_pick(COMPANIES, 'doc_id // 8')} AS company,
     'https://jobs.example/view/' || (doc_id % 500) || '?ref=' || source AS url, {_sql_pick(LOCATIONS, 'doc_id // 3')} AS location,
-    {_sql_pick(SALARIES, 'doc_id')} AS salary, {_sql_pick(POSTED, 'doc_id')} AS posted_date, substr(text, 1, 400) AS description,
+    {_sql_pick(SALARIES, 'doc_id')} AS salary, {_sql_pick(POSTED, 'doc_id')} AS posted_date, text AS description,
     {_sql_pick(TYPES, 'doc_id')} AS job_type, TIMESTAMP '2026-01-05' + INTERVAL 1 HOUR * (doc_id % 300) AS fetched_at
   FROM documents)"""
