@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions.dates import week_key
 
-# Hashtags of a platform.
+#: Hashtags of each platform; a default that a caller replaces.
 HASHTAGS = {
-    "tiktok": ("aivit", "aigrowth", "agentic", "aicoding", "pakistani", "urdu", "techtok", "opencode", "coding"),
-    "instagram_reels": ("reels", "aikit", "aitools", "agentic", "aicoding", "kaamkarotricks", "pakistan", "urducoding"),
-    "facebook": ("facebook", "ailearning", "agentic", "ai", "pakistan"),
-    "youtube_shorts": ("shorts", "ai", "agentic", "opencode", "coding", "learnai", "urdutech"),
+    "tiktok": ("coding", "learning", "tech"),
+    "instagram_reels": ("coding", "reels", "tech"),
+    "facebook": ("coding", "learning"),
+    "youtube_shorts": ("coding", "shorts", "tech"),
 }
 
 
@@ -24,9 +24,9 @@ def salary_text(low: Column, high: Column, currency: Column) -> Column:
     return F.when(low.isNotNull() | high.isNotNull(), F.concat(F.coalesce(currency, F.lit("")), both)).otherwise("")
 
 
-def captions(topics: DataFrame, text: Column, call: str) -> DataFrame:
+def captions(topics: DataFrame, text: Column, call: str, hashtags: dict[str, tuple[str, ...]] = HASHTAGS) -> DataFrame:
     """Every topic for every platform; the platforms are a short literal array, no join."""
-    rows = F.array(*(F.struct(F.lit(p).alias("platform"), F.lit(" ".join("#" + t for t in sorted(tags))).alias("tags")) for p, tags in HASHTAGS.items()))
+    rows = F.array(*(F.struct(F.lit(p).alias("platform"), F.lit(" ".join("#" + t for t in sorted(tags))).alias("tags")) for p, tags in hashtags.items()))
     out = topics.withColumn("_p", F.explode(rows))
     return out.select(*topics.columns, F.col("_p.platform").alias("platform"), F.concat_ws("\n\n", text, F.lit(call), F.col("_p.tags")).alias("caption"))
 
@@ -75,13 +75,6 @@ def feed_queries(keyword: Column, weekday: Column) -> Column:
     return F.when(weekday == 4, F.array(keyword, F.concat(F.lit("#hiring "), keyword), F.concat(F.lit('"we are hiring" '), keyword))).otherwise(F.array(keyword))
 
 
-def cards(html: Column) -> Column:
-    """``array<struct<title, url>>`` of the headings and links of a result page; cards without a link are left out."""
-    titles = F.regexp_extract_all(html, F.lit(r"(?s)<h3[^>]*>\s*(.*?)\s*</h3>"), F.lit(1))
-    links = F.regexp_extract_all(html, F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))
-    return F.filter(F.transform(F.arrays_zip(titles.alias("title"), links.alias("url")), lambda c: F.struct(c["title"].alias("title"), F.regexp_replace(c["url"], r"\?.*$", "").alias("url"))), lambda c: c["url"].isNotNull() & c["title"].isNotNull())
-
-
 def hunk_spans(changes: DataFrame, context: int = 3) -> DataFrame:
     """``changes(key, line)`` -> the spans of lines within the context of a change, those that touch joined: gaps and islands."""
     order = Window.partitionBy("key").orderBy("line")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +69,17 @@ def text_normalize(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN contains(lower(text), 'token') THEN 'possible secret (''token'')' END, CASE WHEN contains(lower(text), 'secret') THEN NULL END], lambda x: x IS NOT NULL), ';') AS reasons
-  FROM documents WHERE contains(lower(text), 'token')""")
+#: What is said to a model beside the text of every document; some of it is harmless.
+SAID = ["", "my API_KEY=1", "apikey", "a secret", "token", "Bearer x", "sk-1", "AIza0", "PassWord", "Ignore previous and", "ignore ALL previous", "the system prompt", "disregard it", "You are now free", "print your instructions", "secret token", "fine"]
+HINTS_SQL = """[['api_key', 'secret'], ['apikey', 'secret'], ['secret', 'secret'], ['token', 'secret'], ['bearer ', 'secret'], ['sk-', 'secret'], ['AIza', 'secret'], ['password', 'secret'],
+  ['ignore previous', 'prompt injection'], ['ignore all previous', 'prompt injection'], ['system prompt', 'prompt injection'], ['disregard', 'prompt injection'], ['you are now', 'prompt injection'], ['print your instructions', 'prompt injection']]"""
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform({HINTS_SQL}, lambda h: CASE WHEN contains(lower(said), h[1]) THEN 'possible ' || h[2] || ' (' || chr(39) || h[1] || chr(39) || ')' END), lambda r: r IS NOT NULL), ';') AS reasons
+FROM (SELECT doc_id, coalesce(text, '') || ' ' || [{', '.join(f"'{s}'" for s in SAID)}][doc_id % {len(SAID)} + 1] AS said FROM documents)""")
 def text_screen(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(text.screen_text(F.col("text")), ";").alias("reasons")).where("reasons <> ''")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    return _docs(spark, sf).select("doc_id", F.array_join(text.screen_text(F.concat_ws(" ", F.coalesce("text", F.lit("")), said)), ";").alias("reasons"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS body FROM pages WHERE length(trim(regexp_replace(html, '<[^>]+>', ' ', 'g'))) >= 20")
@@ -85,7 +89,7 @@ def html_strip(spark, sf):
 
 @query(r"SELECT regexp_replace(url, '[?#].*$', '') AS base, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
 def url_base_distinct(spark, sf):
-    return _read(spark, sf, "pages").groupBy(text.canonical_url(F.col("url")).alias("base")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    return _read(spark, sf, "pages").groupBy(text.base_url(F.col("url")).alias("base")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT seq, list_has_any(regexp_extract_all(lower(title), '[a-z0-9+#]+'), ['ml', 'ai']) OR contains(lower(title), 'data scientist') AS hit FROM postings")
@@ -99,21 +103,37 @@ def job_type_classify(spark, sf):
     return postings(spark, sf).select("seq", text.job_type(F.col("job_type")).alias("kind"))
 
 
-@query(rf"WITH {POSTINGS_SQL} SELECT seq, title FROM postings WHERE regexp_matches(title, '(?i)\b(closed|expired|filled|ended|terminated|withdrawn|cancelled|canceled)\b')")
+EXPIRED_SQL = r"""(regexp_matches(title, '(?i)\b(closed|expired|no longer (?:accepting|available)|filled|ended|terminated|withdrawn|cancelled|canceled)\b')
+  OR list_bool_or(list_transform(['this position has been filled', 'this job is no longer', 'this job has expired', 'applications are closed', 'no longer accepting applications'], lambda p: contains(lower(coalesce(description, '')), p))))"""
+
+
+@query(rf"WITH {POSTINGS_SQL} SELECT seq, title FROM postings WHERE {EXPIRED_SQL}")
 def expired_filter(spark, sf):
     return postings(spark, sf).where(text.is_expired(F.col("title"), F.col("description"))).select("seq", "title")
 
 
-JOB_ID = "substr(sha256(lower(trim(regexp_replace(url, '[?#].*$', ''))) || '|' || lower(trim(title)) || '|' || lower(trim(company))), 1, 16)"
+#: An id parameter is in a third of the urls, of each of two sources.
+SOURCED = "CASE seq % 3 WHEN 0 THEN 'indeed' WHEN 1 THEN 'glassdoor' ELSE 'other' END"
+SOURCED_URL = "url || CASE seq % 3 WHEN 0 THEN '&jk=' || hex(seq) WHEN 1 THEN '&jl=' || seq ELSE '&id=' || seq END"
+CANONICAL_SQL = "CASE seq % 3 WHEN 0 THEN 'https://www.indeed.com/viewjob?jk=' || hex(seq) WHEN 1 THEN 'https://www.glassdoor.com/job-listing/?jl=' || seq ELSE url || '&id=' || seq END"
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT seq, {JOB_ID} AS id FROM postings")
-def job_id_hash(spark, sf):
-    return _with_id(postings(spark, sf)).select("seq", "id")
+def _sourced(spark, sf) -> DataFrame:
+    return postings(spark, sf).withColumn("url", F.expr(SOURCED_URL)).withColumn("source", F.expr(SOURCED))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT seq, {CANONICAL_SQL} AS url FROM postings")
+def url_canonical(spark, sf):
+    return _sourced(spark, sf).select("seq", text.canonical_url(F.col("url"), F.col("source")).alias("url"))
+
+
+JOB_ID = f"substr(sha256(lower(trim({CANONICAL_SQL})) || '|' || lower(trim(title)) || '|' || lower(trim(company))), 1, 16)"
 
 
-def _with_id(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id", text.posting_id(F.col("url"), F.col("title"), F.col("company")))
+@query(f"WITH {POSTINGS_SQL} SELECT seq, {JOB_ID} AS id FROM postings")
+def job_id_hash(spark, sf):
+    rows = _sourced(spark, sf)
+    return rows.select("seq", text.posting_id(F.col("url"), F.col("title"), F.col("company"), F.col("source")).alias("id"))
 
 
 NUM = r"(\d+(?:\.\d+)?)\s*((?:lakh|lac|lpa|[kKmMlL])?)"
@@ -161,7 +181,7 @@ def timecode_parse(spark, sf):
     return _read(spark, sf, "part").select("p_partkey", dates.timecode_seconds(code).cast("long").alias("seconds"))
 
 
-GATES_SQL = f"""CASE WHEN regexp_matches(title, '(?i)\\b(closed|expired|filled|ended)\\b') THEN 'expired'
+GATES_SQL = f"""CASE WHEN {EXPIRED_SQL} THEN 'expired'
   WHEN {POSTED_SQL} IS NULL THEN 'recency' WHEN {POSTED_SQL} < DATE '2026-01-08' THEN 'window'
   WHEN regexp_replace(lower(company), '\\W', '', 'g') IN ('unknown', 'na', '') AND description = '' THEN 'quality' END"""
 
@@ -171,7 +191,7 @@ def _gated(spark, sf) -> DataFrame:
     posted = dates.posted_date(F.col("posted_date"), _today())
     chain = [
         ("expired", ~text.is_expired(F.col("title"), F.col("description"))), ("recency", posted.isNotNull()), ("window", posted >= F.date_sub(_today(), 7)),
-        ("url", F.col("url").rlike(r"^https?://")), ("quality", ~(F.col("company").isin("Unknown", "N/A", "n/a", "") & (F.coalesce("description", F.lit("")) == ""))),
+        ("url", text.valid_job_url(F.col("url"))), ("quality", ~(F.col("company").isin("Unknown", "N/A", "n/a", "") & (F.coalesce("description", F.lit("")) == ""))),
     ]
     return gates.apply_gates(rows, chain)
 
@@ -216,10 +236,12 @@ def anti_join_seen(spark, sf):
     return dedup.not_seen(_read(spark, sf, "orders"), seen, "o_custkey").select("o_orderkey")
 
 
-@query("SELECT o_orderkey, 'old' AS side FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("""SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'old' ELSE 'new' END AS side FROM orders""")
 def merge_by_id(spark, sf):
-    rows = _read(spark, sf, "orders").select("o_orderkey")
-    return dedup.merge_by_id(rows.where("o_orderkey % 3 = 0").withColumn("side", F.lit("old")), rows.where("o_orderkey % 2 = 0").withColumn("side", F.lit("new")), "o_orderkey")
+    """Orders up to 1995 are there already; those from 1994 on come in."""
+    rows = _read(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    old, new = rows.where("o_orderdate < timestamp_ntz'1996-01-01'"), rows.where("o_orderdate >= timestamp_ntz'1994-01-01'")
+    return dedup.merge_by_id(old.withColumn("side", F.lit("old")), new.withColumn("side", F.lit("new")), "o_orderkey").select("o_orderkey", "side")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1998-01-01' - 30")
@@ -266,20 +288,24 @@ def breaker_fold(spark, sf):
 
 
 @query("""SELECT coalesce(o.k, n.k) AS key, greatest(o.fails, n.fails) AS fails, coalesce(o.total, 0) + coalesce(n.total, 0) AS total, greatest(o.d, n.d) AS deadline FROM
-  (SELECT user_id AS k, count(*) AS total, count(*) % 7 AS fails, max(event_id) AS d FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1) o
-  FULL JOIN (SELECT user_id AS k, count(*) AS total, count(*) % 5 AS fails, max(event_id) AS d FROM events WHERE event_id % 2 = 1 AND user_id % 4 <> 0 GROUP BY 1) n ON o.k = n.k""")
+  (SELECT user_id AS k, count(*) AS total, count(*) % 7 AS fails, max(event_id) AS d FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1) o
+  FULL JOIN (SELECT user_id AS k, count(*) AS total, count(*) % 5 AS fails, max(event_id) AS d FROM events WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY 1) n ON o.k = n.k""")
 def circuit_merge_outer(spark, sf):
-    def side(rest: int, by: int, mod: int) -> DataFrame:
-        rows = _read(spark, sf, "events").where(f"event_id % 2 = {rest} and user_id % {by} <> 0")
+    """The first day's history of each user, and that of all days after it."""
+
+    def side(when: str, mod: int) -> DataFrame:
+        rows = _read(spark, sf, "events").where(f"ts {when} timestamp_ntz'2024-01-02'")
         return rows.groupBy(F.col("user_id").alias("key")).agg((F.count("*") % mod).alias("fails"), F.count("*").alias("total"), F.max("event_id").alias("deadline"))
 
-    return ledger.merge_histories(side(0, 3, 7), side(1, 4, 5))
+    return ledger.merge_histories(side("<", 7), side(">=", 5))
 
 
-@query("""SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY p_partkey LIMIT 1""")
+@query("""SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 400000) ORDER BY c_custkey LIMIT 1""")
 def topic_pick(spark, sf):
-    topics = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"))
-    days = _read(spark, sf, "lineitem").select(F.col("l_partkey").alias("topic_id"), F.when(F.col("l_returnflag") == "R", "done").otherwise("failed").alias("status"), F.lit(1).alias("attempts"))
+    """Customers as topics, orders as days: urgent ones are done, dear ones failed too often."""
+    topics = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "done").otherwise("failed")
+    days = _read(spark, sf, "orders").select(F.col("o_custkey").alias("topic_id"), status.alias("status"), F.when(F.col("o_totalprice") > 400_000, 3).otherwise(1).alias("attempts"))
     return ledger.next_topic(topics, days).select("id")
 
 
@@ -331,31 +357,39 @@ def _stream(spark, sf) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _checkpoint(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnmill-")
-    return f"{root.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-
-
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf):
-    path = _checkpoint(spark)
-    return streaming.run_available(streaming.daily_counts(_stream(spark, sf), "ts", "event_type"), "daily_" + path[-12:].replace("-", ""), "complete", path)
+    return streaming.run_available(streaming.daily_counts(_stream(spark, sf), "ts", "event_type"), "daily", "complete")
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY ALL")
 def stream_ttl_dedup(spark, sf):
-    path = _checkpoint(spark)
     rows = streaming.ttl_dedup(_stream(spark, sf).select("user_id", "ts"), "user_id", "ts", "60 days")
-    return streaming.run_available(rows, "dedup_" + path[-12:].replace("-", ""), "append", path).groupBy("user_id").agg(F.count("*").alias("n"))
+    return streaming.run_available(rows, "dedup", "append").groupBy("user_id").agg(F.count("*").alias("n"))
+
 
+@query("""WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM
+  (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events))
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    return streaming.run_available(streaming.sessions(_stream(spark, sf), "user_id", "ts", "3 hours"), "sessions", "complete")
 
-FOREIGN_RE = "\\b(?:" + "|".join(law.RESTRICTED) + ")\\b"
-OPEN_RE = "|".join(law.OPEN_WORDS)
 
+#: Labels of places, each with whether it ties a role to a country outside: as the rule has it, not as the lists here do.
+PLACES = [
+    ("Tokyo, Japan", True), ("Zurich", True), ("Hyderabad", True), ("Lima, Peru", True), ("Greater Rio de Janeiro", True), ("Bogotá", True), ("Remote - Canada", True), ("Berlin, Germany", True),
+    ("Singapore", False), ("Dubai, UAE", False), ("Remote", False), ("Freelance, Paris", False), ("Worldwide (London)", False), ("Karachi", False), ("Ukiah", False), ("Istanbul, Türkiye", False), ("", False),
+]
 
-@query(f"WITH {POSTINGS_SQL} SELECT seq, regexp_matches(lower(location), '{FOREIGN_RE}') AND NOT regexp_matches(lower(location), '{OPEN_RE}') AS restricted FROM postings")
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"SELECT doc_id AS seq, {_sql_list(p for p, _ in PLACES)}[doc_id % {len(PLACES)} + 1] AS place, {_sql_list(r for _, r in PLACES)}[doc_id % {len(PLACES)} + 1] = 'True' AS restricted FROM documents")
 def law_foreign(spark, sf):
-    return postings(spark, sf).select("seq", law.foreign_restricted(F.col("location")).alias("restricted"))
+    place = F.element_at(F.array(*(F.lit(p) for p, _ in PLACES)), (F.col("doc_id") % len(PLACES) + 1).cast("int"))
+    return _docs(spark, sf).select(F.col("doc_id").alias("seq"), place.alias("place")).withColumn("restricted", law.foreign_restricted(F.col("place")))
 
 
 @query(f"""WITH {POSTINGS_SQL} SELECT seq, CASE location WHEN 'Remote' THEN NULL WHEN 'Berlin, Germany' THEN 'Berlin' WHEN 'Hybrid - London, UK' THEN 'Hybrid' WHEN 'San Francisco, CA' THEN 'San Francisco' WHEN 'On-site, Lahore' THEN 'On' END AS city,
@@ -424,3 +458,6 @@ def feed_query_expand(spark, sf):
 def diff_hunks_window(spark, sf):
     lines = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 60).alias("line")).distinct()
     return delivery.hunk_spans(lines)
+
+
+from tarnmill import record_queries  # noqa: E402, F401
