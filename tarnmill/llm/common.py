@@ -101,6 +101,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        # Shuffle files of earlier tables go when the driver collects its garbage, which by itself may be long after.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -27,7 +27,7 @@ from .components import connected_components
 
 #: Hash buckets of the shingle counts: 2 MB on the driver and in each worker, at every size of the input.
 BUCKET_BITS = 18
-#: Ranges of hashes whose counts the suffix filter compares; a class carries two bytes for each.
+#: Ranges of hashes whose counts the suffix filter compares; a class carries a byte for each.
 RANGES = 64
 #: Up to so many document ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -54,8 +54,8 @@ _EDGES = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """How many of a sorted set fall in each range of hashes (65535 at most, which only weakens the filter)."""
-    return np.minimum(np.diff(np.searchsorted(h, _EDGES), prepend=0, append=len(h)), 65535).astype("<u2").tobytes()
+    """How many of a sorted set fall in each range of hashes (255 at most, which only weakens the filter)."""
+    return np.minimum(np.diff(np.searchsorted(h, _EDGES), prepend=0, append=len(h)), 255).astype(np.uint8).tobytes()
 
 
 def _scan(width: int):
@@ -129,7 +129,7 @@ def _suffix_filter(num: int, den: int):
     def keep(batches):
         for batch in batches:
             total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int32) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for c in ("x", "y"))
             least = -(-num * total // (num + den))
             yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= total - 2 * least))
 
@@ -169,11 +169,14 @@ class _Join:
         counts = collect_counts(self.scan.where("block is not null").select("block", "counts"), 1 << BUCKET_BITS)
         rank = self.spark.sparkContext.broadcast(counts)
         post = self.docs.select("text").mapInArrow(_post(self.width, self.num, self.den, rank), "token long, key long, n int, pos int")
-        # Postings are made once for the counts and once for the join, which costs less than keeping them all on disk.
+        post = self.scratch.save(post, "postings")
         shared = post.groupBy("token").agg(F.min("n").alias("n_min"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        shared = self.scratch.save(shared, "tokens")  # by itself, so that its shuffle is gone when the postings are joined
         smallest = f"greatest(({self.num} * n + {self.den - 1}) div {self.den}, n_min)"
         kept = post.join(shared, "token").where(f"1 + n - pos >= {self.least(f'n + {smallest}')}").select("token", "key", "n", "pos").distinct()
-        return self.scratch.save(kept, "shared")
+        kept = self.scratch.save(kept, "shared")
+        self.scratch.drop("postings", "tokens")
+        return kept
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of classes (a < b) that link; the set of a class comes from one of its documents."""
