@@ -46,9 +46,19 @@ OPEN_CASES = [
     ("Hire remotely worldwide", True), ("No location requirement", True), ("clients worldwide", False), ("candidates worldwide welcome", True), ("fully remote worldwide", True), ("", False),
 ]
 HOSTS = [("example.org", True), ("a-b.example", True), ("-a.example", False), ("a..b", False), ("127.0.0.1", False), ("x_y.example", False), ("bücher.example", True), ("a." + "b" * 64, False), ("", False), ("localhost", True)]
+FEED_CASES = [
+    ("Remote role, onsite in week one", "Hybrid"), ("Remote from Germany or the UK", "Germany (Remote)"), ("UK candidates, remote", "UK (Remote)"), ("Remote, based in New Zealand, near Peru", "New Zealand (Remote)"),
+    ("Remote for US citizens", "USA (Remote)"), ("remote, must be in Texas", "USA (Remote)"), ("Offices in Texas, remote", "Remote"), ("Remote, based in Lahore", "Hybrid"), ("Remote worldwide, team based in Lahore", "Remote"),
+    ("WFH, friends in Karachi", "Remote"), ("A lab in Dubai", "Hybrid"), ("Hybrid days", "Hybrid"), ("Contractor in Germany, worldwide", "Remote"), ("We look for people", ""), ("", ""),
+]
+HIRING_CASES = [
+    ("We are hiring ML engineers", True), ("A deep dive into attention", False), ("Role: data engineer", True), ("My role in the talk", False), ("Send your CV", True), ("3 vacancies", True), ("seeking a lead", True), ("Hired hands", False), ("join our team", True), ("", False),
+]
 _cases("law_language", LANGUAGE_CASES, law.language_restricted)
 _cases("law_hybrid", HYBRID_CASES, law.hybrid_work)
 _cases("law_worldwide", OPEN_CASES, law.strongly_open)
+_cases("feed_place", FEED_CASES, law.feed_place)
+_cases("feed_hiring", HIRING_CASES, law.hiring_post)
 _cases("hostname_valid", HOSTS, text.valid_hostname)
 _cases("job_url_valid", [("https://jobs.example/1", True), (" HTTP://x.example", True), ("ftp://x.example", False), ("https://www.linkedin.com/in/someone", False), ("", False)], text.valid_job_url)
 _cases("shell_quoted", [("a b", "a b"), ("it's", "it'\\''s"), ("''", "'\\'''\\''")], text.shell_quoted)

@@ -9,6 +9,8 @@ CASES = {
     law.hybrid_work: {"hybrid schedule": True, "hybrid search engine": False, "hybrid of a and b": False, "hybrid cloud": True, "3 days per week in the office": True, "hybrid, some commute": True, None: False},
     law.foreign_restricted: {"Berlin, Germany": True, "Germany (worldwide contractor)": False, "Lahore, Pakistan": False, "": False},
     law.strongly_open: {"work from anywhere": True, "work from anywhere in the UK": False, "clients worldwide": False, "work from anywhere in the world": True},
+    law.feed_place: {"Remote, Lahore office only": "Hybrid", "remote in the UK": "UK (Remote)", "Remote (USA)": "USA (Remote)", "Karachi": "Hybrid", "anywhere": "Remote", "great team": "", None: ""},
+    law.hiring_post: {"We’re looking for a lead": True, "Positions: two": True, "news of the week": False, None: False},
     law.us_restricted: {"Austin, TX": True, "California": True, "TX - Remote": True, "Berlin": False, "USA": True, None: False},
 }
 
