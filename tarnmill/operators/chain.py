@@ -15,6 +15,12 @@ from tarnmill.sources.tables import written
 
 SNIPPET = 2000
 
+# A digest leaves out a portal, asks no description of places at home and of plain remote labels, and has a flat least score.
+DIGEST_PORTAL = "il.linkedin.com"
+HOME = ("pakistan", "karachi", "lahore", "islamabad", "rawalpindi", "faisalabad", "peshawar")
+PLAIN_REMOTE = ("remote", "worldwide", "anywhere", "work from anywhere", "global remote")
+DIGEST_SCORE = 70
+
 
 def normalized(rows: DataFrame, profiles: list[Profile], today: Column) -> DataFrame:
     """Postings with all derived columns: id, normal names, salary, dates, kinds of job and place, and the profiles that take them.
@@ -55,6 +61,25 @@ def row_gates(profiles: list[Profile], window_start: Column, remote_only: bool =
     ]
 
 
+def digest_gates(profiles: list[Profile]) -> list[tuple[str, Column]]:
+    """The gates of a digest over stored postings ``(url, location, title, description, scores array<struct<name, score>>, score)``.
+
+    One of the profiles' scores must reach its threshold; a posting without any goes by ``score``, and
+    passes if that is null too. Descriptions are read whole; a null is empty in every column.
+    """
+    url, description = (F.coalesce(F.col(c), F.lit("")) for c in ("url", "description"))
+    place = F.lower(F.coalesce(F.col("location"), F.lit("")))
+    known = place.rlike("|".join(HOME)) | F.trim(place).isin(*PLAIN_REMOTE)
+    reached = F.exists("scores", lambda p: F.coalesce(meets_threshold(p["name"], p["score"], profiles), F.lit(False)))
+    return [
+        ("url", text.valid_job_url(url)),
+        ("portal", ~url.contains(DIGEST_PORTAL)),
+        ("location", law.verdict(F.col("location"), F.col("title"), F.col("description"), "digest")["ok"]),
+        ("description", known | (description != "")),
+        ("threshold", F.when(F.size(F.coalesce("scores", F.array())) > 0, reached).otherwise(F.coalesce(F.col("score") >= DIGEST_SCORE, F.lit(True)))),
+    ]
+
+
 def run(rows: DataFrame, profiles: list[Profile], today: Column, window_start: Column, seen: DataFrame, dead: DataFrame, cap: int = 250, remote_only: bool = False, fuzzy: bool = True) -> DataFrame:
     """Normalized postings with ``gate``, the first gate that each fails (null: accepted).
 

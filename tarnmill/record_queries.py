@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import dates, diffing, text
 from tarnmill.operators import chain, circuits, dedup, deliveries, delivery, law, profiles
+from tarnmill.operators.gates import first_failure
 from tarnmill.plans import course
 from tarnmill.plans.postings import POSTINGS_SQL, postings
 from tarnmill.registry import POSTED_SQL, _docs, _neighbours, _read, _sql_list, _today, query
@@ -315,3 +316,20 @@ def dedup_verdicts(spark, sf):
     rows = postings(spark, sf).withColumn("id", F.concat(F.lit("id"), (F.col("seq") % 700).cast("string")))
     seen = rows.where("seq % 700 < 50").select("id")
     return dedup.verdicts(rows, seen).select("seq", F.when(F.col("verdict") == "exact", "exact").otherwise("not exact").alias("verdict"))
+
+
+#: Stored postings by hand: url, location, title, description, the engineer's score (-1: none), the flat score (-1: none), the gate that each fails.
+DIGEST_CASES = [
+    ("https://jobs.example/1", "Remote", "ML Engineer", "", 80, -1, "-"), ("https://jobs.example/1", "Remote", "ML Engineer", "", 79, 99, "threshold"), ("https://jobs.example/1", "Remote", "ML Engineer", "", -1, 69, "threshold"),
+    ("https://jobs.example/1", "Remote", "ML Engineer", "", -1, 70, "-"), ("https://jobs.example/1", "Lahore (Remote)", "ML Engineer", "", -1, -1, "-"), ("https://jobs.example/1", "Dubai (Remote)", "ML Engineer", "", -1, -1, "description"),
+    ("https://jobs.example/1", "Dubai (Remote)", "ML Engineer", "Anywhere in our zone", 99, -1, "-"), ("https://jobs.example/1", "Remote", "Fluent German developer", "", 99, -1, "location"),
+    ("https://il.linkedin.com/jobs/view/1", "Remote", "ML Engineer", "", 99, -1, "portal"), ("ftp://jobs.example/1", "Remote", "ML Engineer", "", 99, -1, "url"), ("", "", "", "", -1, -1, "url"),
+]
+
+
+@query(f"SELECT doc_id AS seq, {_pick_sql([c[-1] for c in DIGEST_CASES])} AS gate FROM documents")
+def digest_gate(spark, sf):
+    url, place, title, description, own, flat, _ = (_picked(column) for column in zip(*DIGEST_CASES, strict=True))
+    scores = F.when(own >= 0, F.array(F.struct(F.lit("engineer").alias("name"), own.alias("score"))))
+    rows = _docs(spark, sf).select(F.col("doc_id").alias("seq"), url.alias("url"), place.alias("location"), title.alias("title"), description.alias("description"), scores.alias("scores"), F.when(flat >= 0, flat).alias("score"))
+    return rows.select("seq", F.coalesce(first_failure(chain.digest_gates([ENGINEER, RESEARCHER])), F.lit("-")).alias("gate"))

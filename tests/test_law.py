@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import law
+from tarnmill.operators import chain, law
+from tarnmill.operators.gates import first_failure
+from tarnmill.operators.profiles import Profile
 from tests.test_functions import column
 
 CASES = {
@@ -33,3 +35,9 @@ def test_stages(spark):
     assert got[0] == ["", "", "", ""]
     assert got[1] == ["title", "language_full", "language_title", "language_title"]
     assert got[2][0] == "missing_location"
+
+
+def test_digest_gates_on_nulls(spark):
+    rows = spark.createDataFrame([(None, None, None, None, None, None), ("https://a.example/1", None, "Dev", "work from anywhere", [("p", None)], 99), ("https://a.example/1", "Remote", None, None, [], None)], "url string, location string, title string, description string, scores array<struct<name string, score int>>, score int")
+    gates = chain.digest_gates([Profile(name="p", keywords=("ml",), tier1=((r"\bml\b", "Core", 90),), tier2=(("ai", "Applied", 80),), context=("nlp",))])
+    assert [r.gate for r in rows.select(first_failure(gates).alias("gate")).collect()] == ["url", "threshold", None]
