@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .bpe import decode, encode
 from .chat import format_chat, read_chat, unescape
 from .common import Scratch
 from .decontaminate import find_leaks
@@ -18,6 +20,7 @@ from .sstable import read_shards, write_shards
 from .topk import top_k
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
+from .vector_codes import encode_vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +146,51 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def _codes_sql() -> str:
+    """Two rounds and the last assignment, written out one after another."""
+    nearest = """
+own{k} AS MATERIALIZED (
+  SELECT id, part, v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + entry) AS best
+  FROM parts JOIN book{k} USING (part) GROUP BY id, part, v)"""
+    moved = """,
+means{k} AS (
+  SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS c
+  FROM (SELECT part, best % 64 AS entry, place, sum(v[place]) AS total, count(*) AS n FROM own{k}, range(1, 1 + len(v)) t(place) GROUP BY ALL) GROUP BY part, entry),
+book{l} AS MATERIALIZED (SELECT part, entry, CAST(coalesce(m.c, b.c) AS BIGINT[]) AS c FROM book{k} b LEFT JOIN means{k} m USING (part, entry)),"""
+    return (
+        """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM kept, range(16) t(part)),
+book0 AS MATERIALIZED (SELECT part, id - 1 AS entry, v AS c FROM parts WHERE id <= 64),"""
+        + "".join(nearest.format(k=k) + (moved.format(k=k, l=k + 1) if k < 2 else "") for k in range(3))
+        + """,
+coded AS (SELECT id, string_agg(format('{:02x}', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM own2 GROUP BY id),
+digest AS (SELECT sha256(string_agg(CAST(c[place] AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM book2, range(1, 1 + len(c)) t(place))
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (id), digest
+"""
+    )
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()

@@ -17,9 +17,9 @@ CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 64
 
 
-def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+def encoder(path: str, cached_words: int = CACHED_WORDS, plain: bool = False) -> WordEncoder:
     """The worker's encoder for a tokenizer file; its cache serves all tasks of the worker until it works for another operator."""
-    return kept("tokens", (path, cached_words), lambda: WordEncoder(path, cached_words))
+    return kept("tokens", (path, cached_words, plain), lambda: WordEncoder(path, cached_words, plain))
 
 
 class WordEncoder:
@@ -29,19 +29,23 @@ class WordEncoder:
     blank or line feed. A byte-level one, whose tokens may lead with a blank, is cut before a blank
     or line feed that follows another character than white space; texts in which such a cut would
     come after white space are encoded whole. The file's own pre-tokenizer tells the two apart, and
-    any other kind is encoded whole.
+    any other kind is encoded whole. A special token's own string in a text is that token, as the
+    library has it, unless ``plain``; texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain  # if so, their strings in a text are ordinary text
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.specials = [] if plain else [t["content"] for t in spec["added_tokens"]]
         steps = spec["pre_tokenizer"] or {}
         steps = steps.get("pretokenizers", [steps])
         drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "[^\\s" in steps[0]["pattern"].get("Regex", "")
@@ -78,15 +82,19 @@ class WordEncoder:
         new = [w for w in new if w not in again] if again else new
         if not new:
             return
-        for w, ids in zip(new, self._raw([w if w[:1] == "\n" else lead + w for w in new]), strict=True):
-            self.words[w] = None if self.kind == "leads" and (not w or w[-1].isspace()) else ids
+        self.words.update(zip(new, self._ids(new, lead), strict=True))
+
+    def _ids(self, words: list[str], lead: str) -> list[bytes | None]:
+        """The ids of words as they stand in a text; None for one after which a cut isn't safe."""
+        found = self._raw([w if w[:1] == "\n" else lead + w for w in words])
+        return [None if self.kind == "leads" and (not w or w[-1].isspace()) else ids for w, ids in zip(words, found, strict=True)]
 
     def _join(self, parts: list[str], lead: str) -> bytes | None:
         """The ids of words in a row; None if one of them isn't safe to cut after."""
         try:
             return b"".join(map(self.words.__getitem__, parts))
         except KeyError:  # of a long word
-            ids = [self.words[w] if w in self.words else self._raw([lead + w])[0] for w in parts]
+            ids = [self.words[w] if w in self.words else self._ids([w], lead)[0] for w in parts]
         except TypeError:
             return None
         return None if None in ids else b"".join(ids)
@@ -113,6 +121,13 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._raw(texts)
+        if special := [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]:
+            whole = dict(zip(special, self._raw([texts[i] for i in special]), strict=True))
+            out = iter(self._words([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(out) for i in range(len(texts))]
+        return self._words(texts)
+
+    def _words(self, texts: list[str]) -> list[bytes]:
         if self.kind == "drops":
             parts = [t.replace("\n", " ").split(" ") for t in texts]
             self._learn(parts, "")

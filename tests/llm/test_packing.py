@@ -18,7 +18,6 @@ ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb\n", "It's  one'
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_words_encode_like_whole_texts(path, spark):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     enc = WordEncoder(path)
     assert enc.kind != "whole"
@@ -29,7 +28,6 @@ def test_words_encode_like_whole_texts(path, spark):
 
 def check(rows, texts, window=2048):
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     want = sorted((d if d is not None else -1, t.encode(x or "", add_special_tokens=False).ids + [1]) for d, x in texts)
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -16,7 +16,6 @@ BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
 def want(texts, end=0):
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
