@@ -10,6 +10,8 @@ linked; links are counted over the corpus as pairs of ids, added up in each task
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,12 +44,15 @@ class PieceEncoder:
         self.tokens = [as_byte(p) for p in pieces]
         self.cuts = not any(_MARK in p.lstrip(_MARK) for p in pieces) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
         self.cached_words = cached_words
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes | None] = {}
 
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)] if texts else []
+    def _raw(self, texts: list[str]) -> list[bytes | None]:
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        same = lambda t, ids: b"".join(map(self.tokens.__getitem__, ids)) == (" " + t).encode("utf-8", "surrogatepass")
+        return [array("i", ids).tobytes() if same(t, ids) else None for t, ids in zip(texts, found, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text as native 32-bit integers; None if the pieces' bytes aren't the text with a blank before it."""
         words = [t.split(" ") if self.cuts else [""] for t in texts]
         words = [None if "" in w else w for w in words]  # blanks in a row, or at an end
         new = [w for w in set().union(*(w for w in words if w)).difference(self.words) if len(w) <= CACHED_LENGTH]
@@ -56,8 +61,14 @@ class PieceEncoder:
             new = [w for w in set().union(*(w for w in words if w)) if len(w) <= CACHED_LENGTH]
         self.words.update(zip(new, self._raw(new), strict=True))
         whole = iter(self._raw([t for t, w in zip(texts, words, strict=True) if w is None]))
-        of = lambda w: self.words[w] if w in self.words else self._raw([w])[0]
-        return [next(whole) if w is None else np.concatenate([of(x) for x in w]) for w in words]
+        return [next(whole) if w is None else self._join(w) for w in words]
+
+    def _join(self, words: list[str]) -> bytes | None:
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except (KeyError, TypeError):  # a long word, or one whose bytes differ
+            ids = [self.words[w] if w in self.words else self._raw([w])[0] for w in words]
+            return None if None in ids else b"".join(ids)
 
 
 def _ends(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -67,18 +78,14 @@ def _ends(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
 class _Pair:
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = WordEncoder(byte_path, CACHED_WORDS, plain=True), PieceEncoder(piece_path)
-        self.tokens = Vocabulary(byte_path).tokens, self.b.tokens
-        self.sizes = [np.array([len(t) for t in tokens], np.int64) for tokens in self.tokens]
+        # The bytes of A's tokens are always the text's: Vocabulary refuses files that change them.
+        self.sizes = [np.array([len(t) for t in tokens], np.int64) for tokens in (Vocabulary(byte_path).tokens, self.b.tokens)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both tokenizers for each text with a blank before it; none where either's bytes differ from that."""
-        a = [np.frombuffer(x, self.a.dtype).astype(np.int32) for x in self.a.encode([" " + t for t in texts])]
-        out, none = [], np.zeros(0, np.int32)
-        for t, *ids in zip(texts, a, self.b.encode(texts), strict=True):
-            data = (" " + t).encode()
-            same = t and all(b"".join(map(tokens.__getitem__, i.tolist())) == data for tokens, i in zip(self.tokens, ids, strict=True))
-            out.append(tuple(ids) if same else (none, none))
-        return out
+        none = np.zeros(0, np.int32)
+        pairs = zip(texts, self.a.encode([" " + t for t in texts]), self.b.encode(texts), strict=True)
+        return [(np.frombuffer(a, self.a.dtype).astype(np.int32), np.frombuffer(b, np.int32)) if t and b is not None else (none, none) for t, a, b in pairs]
 
 
 def _tokenize(byte_path: str, piece_path: str):
@@ -105,8 +112,8 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_tokenize(byte_path, piece_path), schema)
 
 
-def _at(array: str, k: Column) -> Column:
-    return F.get(F.col(array), k)
+def _at(name: str, k: Column) -> Column:
+    return F.get(F.col(name), k)
 
 
 def _cut_places(rows: DataFrame, ends: str, name: str) -> DataFrame:
@@ -122,13 +129,18 @@ def groups(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     rows = _cut_places(_cut_places(rows, "a_ends", "a_cuts"), "b_ends", "b_cuts")
 
+    for side in "ab":
+        rows = rows.withColumn(f"{side}_str", F.col(f"{side}_ids").cast("array<string>"))
+    before = lambda cuts: F.slice(F.concat(F.array(F.lit(-1)), F.col(cuts)), 1, F.size(cuts))
+    ranges = F.arrays_zip(*(x for side in "ab" for x in (before(f"{side}_cuts").alias(f"{side}0"), F.col(f"{side}_cuts").alias(f"{side}1"))))
+
     def ids_of(side: str, g: Column) -> Column:
-        last, cut = F.when(g == 0, -1).otherwise(_at(f"{side}_cuts", g - 1)), _at(f"{side}_cuts", g)
-        own = F.slice(F.col(f"{side}_ids"), last + 2, cut - last)
-        return F.when(cut - last == 1, _at(f"{side}_ids", cut).cast("string")).otherwise(F.array_join(own.cast("array<string>"), ","))
+        """The ids of a group, most often of one token."""
+        last, cut = g[f"{side}0"], g[f"{side}1"]
+        return F.when(cut - last == 1, _at(f"{side}_str", cut)).otherwise(F.array_join(F.slice(F.col(f"{side}_str"), last + 2, cut - last), ","))
 
-    made = F.transform(F.sequence(F.lit(0), F.size("a_cuts") - 1), lambda g: F.concat(ids_of("a", g), F.lit("|"), ids_of("b", g)))
-    return rows.withColumn("groups", F.when(F.size("a_cuts") > 0, made).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("groups", F.transform(ranges, lambda g: F.concat(ids_of("a", g), F.lit("|"), ids_of("b", g))))
+    return rows.drop("a_str", "b_str")
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
