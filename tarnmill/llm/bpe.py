@@ -189,7 +189,9 @@ class BacktrackingEncoder(WordEncoder):
                     plan.append((len(pieces), len(pieces) + len(new)))
                     pieces += new
             plans.append(plan)
-        found = self.coder.encode(pieces)
+        distinct = list(dict.fromkeys(pieces))
+        ids_of = dict(zip(distinct, self.coder.encode(distinct), strict=True))
+        found = [ids_of[p] for p in pieces]
         return [np.array([k for lo, hi in plan for ids in ([[hi]] if lo < 0 else found[lo:hi]) for k in ids], self.dtype).tobytes() for plan in plans]
 
 

@@ -15,6 +15,8 @@ from .common import kept
 CACHED_WORDS = 1_000_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
+#: New words that are encoded in a row.
+_ROW = 1 << 14
 
 
 def encoder(path: str, cached_words: int = CACHED_WORDS, plain: bool = False) -> WordEncoder:
@@ -53,6 +55,10 @@ class WordEncoder:
         self.kind = "drops" if drops else "leads" if byte_level else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        #: Per id the first byte of its token, as far as it is a blank or line feed: characters 0x120 and 0x10A of a byte-level vocabulary.
+        self.first = np.zeros(1 + max(self.tokenizer.get_vocab().values()), np.uint8)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.first[k] = {"\u0120": ord(" "), "\u010a": ord("\n")}.get(token[:1], 0)
         self.cached_words = cached_words
         self.firsts: dict[str, bytes] = {}
         self.words: dict[str, bytes | None] = {}
@@ -86,8 +92,28 @@ class WordEncoder:
 
     def _ids(self, words: list[str], lead: str) -> list[bytes | None]:
         """The ids of words as they stand in a text; None for one after which a cut isn't safe."""
-        found = self._raw([w if w[:1] == "\n" else lead + w for w in words])
-        return [None if self.kind == "leads" and (not w or w[-1].isspace()) else ids for w, ids in zip(words, found, strict=True)]
+        if self.kind != "leads":
+            return self._raw([lead + w for w in words])
+        safe = [w for w in words if w and not w[-1].isspace()]
+        lines = [w for w in safe if w[0] == "\n"]
+        found = dict(zip(lines, self._in_a_row(lines, self.first == ord("\n")), strict=True))
+        others = [w for w in safe if w[0] != "\n"]
+        found.update(zip(others, self._in_a_row([lead + w for w in others], self.first == ord(" ")), strict=True))
+        return [found.get(w) for w in words]
+
+    def _in_a_row(self, words: list[str], begins: np.ndarray) -> list[bytes]:
+        """The ids of words that can be cut apart, encoded as one text: each word has one first token that ``begins``."""
+        out: list[bytes] = []
+        for k in range(0, len(words), _ROW):
+            some = words[k : k + _ROW]
+            ids = np.frombuffer(self._raw(["".join(some)])[0], self.dtype)
+            at = np.flatnonzero(begins[ids])
+            if len(at) == len(some) and at[0] == 0:
+                data, cuts = ids.tobytes(), (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # not this kind of vocabulary
+                out += self._raw(some)
+        return out
 
     def _join(self, parts: list[str], lead: str) -> bytes | None:
         """The ids of words in a row; None if one of them isn't safe to cut after."""
@@ -135,7 +161,7 @@ class WordEncoder:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(parts, " ")
-        out = [head + ids if first and not first[-1].isspace() and (ids := self._join(p, " ")) is not None else None for p, first, head in zip(parts, heads, self._heads(heads), strict=True)]
+        out = [head + ids if (not first or not first[-1].isspace()) and (ids := self._join(p, " ")) is not None else None for p, first, head in zip(parts, heads, self._heads(heads), strict=True)]
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids

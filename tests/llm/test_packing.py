@@ -12,7 +12,7 @@ from tarnmill.llm.queries import op2_packing
 from tarnmill.llm.tokens import WordEncoder
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb\n", "It's  one's\tX", "é́ é  x", "x  y", "a\x1cb \x1c c", "<|endoftext|> a<|endoftext|>", "y" * 300 + " z", "\U0001f600 \U0001f600!! 12 3\r\n4", "tail\n", "a  b", "ΑΣ Σ ", "\ta b", "w " * 50]
+ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb\n", "It's  one's\tX", "é́ é  x", "x  y", "a\x1cb \x1c c", "<|endoftext|> a<|endoftext|>", "y" * 300 + " z", "\U0001f600 \U0001f600!! 12 3\r\n4", "tail\n", "a  b", "ΑΣ Σ ", "\ta b", "w " * 50, "\nx", " \nx y", "\n\nx", " a b " , "a" * 99 + "\t b", " " + "q" * 99 + " r", "\n" + "q" * 99 + " <|endoftext|>"]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
