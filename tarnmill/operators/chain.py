@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import dates, text
 from tarnmill.functions.money import parse_salary
-from tarnmill.operators import law
+from tarnmill.operators import law, residency
 from tarnmill.operators.dedup import fuzzy_first
 from tarnmill.operators.gates import first_failure
 from tarnmill.operators.profiles import Profile, meets_threshold, passing
@@ -36,7 +36,7 @@ def normalized(rows: DataFrame, profiles: list[Profile], today: Column) -> DataF
         text.posting_id(c["url"], c["title"], c["company"], c["source"]).alias("id"),
         text.canonical_url(c["url"], c["source"]).alias("canonical_url"),
         text.normalize_text(c["title"]).alias("title_normalized"), text.normalize_text(c["company"]).alias("company_normalized"),
-        F.when((kind != "remote") & law.worldwide_eligible(c["location"], c["description"]), "remote").otherwise(kind).alias("location_type"),
+        F.when((kind != "remote") & residency.worldwide(c["location"], c["source"], c["title"], c["description"])["open"], "remote").otherwise(kind).alias("location_type"),
         salary["salary_min"].alias("salary_min"), salary["salary_max"].alias("salary_max"), salary["currency"].alias("salary_currency"),
         text.job_type(c["job_type"]).alias("job_kind"),
         dates.posted_date(c["posted_date"], today).alias("posted_on"), dates.posted_datetime(c["posted_date"]).alias("posted_at"),

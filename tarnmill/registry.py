@@ -408,8 +408,8 @@ def law_classify(spark, sf):
 
 @query()
 def law_verdicts(spark, sf):
-    row = [F.col(c) for c in ("location", "title", "description")]
-    return postings(spark, sf).select("seq", *(law.verdict(*row, stage)["reason"].alias(stage) for stage in law.STAGES))
+    found = law.verdicts(*(F.col(c) for c in ("location", "title", "description", "source")))
+    return postings(spark, sf).select("seq", found.alias("found")).select("seq", *(F.col(f"found.{stage}.reason").alias(stage) for stage in law.STAGES))
 
 
 @query(f"""WITH {POSTINGS_SQL}, p AS (WITH {SALARY_SQL})
@@ -460,4 +460,4 @@ def diff_hunks_window(spark, sf):
     return delivery.hunk_spans(lines)
 
 
-from tarnmill import record_queries  # noqa: E402, F401
+from tarnmill import law_queries, record_queries  # noqa: E402, F401
