@@ -2,10 +2,12 @@
 
 Each page is parsed into a tree, and the subtrees that a template may have made are hashed: all
 outside the article, and inside it the containers, lists and tables that hold less than half of its
-text, and whatever a class or id hints at. Spark counts on how many pages of its host each hash occurs;
-pages with one article count once, so that copies of a page don't make a template of its parts.
-Subtrees that recur on many pages are deleted, together with the elements whose tag, role or whole
-class or id says that they aren't the article. What is left of the article is cut into blocks.
+text, and whatever a class or id hints at. On a page without an article they are its containers, lists
+and tables alone: no paragraph, table cell or inline element. Spark counts on how many pages of its host
+each hash occurs; pages with one article count once, so that copies of a page don't make a template of
+its parts. Subtrees that recur on many pages are deleted (without an article, not those in the midst of
+the page's own text), together with the elements whose tag, role or whole class or id says that they
+aren't the article. What is left of the article is cut into blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,11 +40,13 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _LIST_SCOPE = frozenset("ul ol dl table select html body".split())
 _DROP = frozenset("script style noscript template head title meta link nav footer aside form button select textarea input iframe svg canvas dialog menu object embed applet audio video map noframes noembed".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies share sharing social related recommended widget skip pagination pager masthead topbar toolbar".split())
-_PART_WORDS = frozenset("area bar block body box button buttons container content form group header heading icon icons inner item items left link links list message panel post posts right section slot title top unit wrap wrapper".split())
+_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related recommended widget skip pagination pager masthead topbar toolbar".split())
+_PART_WORDS = frozenset("area bar block body box button buttons container content form group header heading icon icons inner item items global our page reader readers site user users visitor left link links list message panel post posts right section slot title top unit wrap wrapper".split())
 _HEAD = frozenset("title meta link script style base noscript template".split())
 _CONTAINERS = frozenset("article aside center details div dl fieldset figure main ol section span table ul".split())
 _DROP_OUTSIDE = frozenset("header footer hd ft".split())
+#: Blocks of text, which a class can say something of, but no id.
+_TEXTS = frozenset("p li td th dd dt blockquote pre address".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -130,14 +134,15 @@ def _dropped(node: Node, inside: bool) -> bool:
     if not node.attrs:
         return False
     a = node.attributes()
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
     if a.get("role", "").lower() in _DROP_ROLES:
         return True
-    if node.tag not in _CONTAINERS:
+    if node.tag not in _CONTAINERS and node.tag not in _TEXTS:
         return False
     drop = _DROP_WORDS if inside else _DROP_WORDS | _DROP_OUTSIDE
-    return any(not drop.isdisjoint(words) and all(w in drop or w in _PART_WORDS or w.isdigit() for w in words) for words in _names(f"{a.get('class', '')} {a.get('id', '')}"))
+    told = a.get("class", "") + (f" {a.get('id', '')}" if node.tag in _CONTAINERS else "")
+    return any(not drop.isdisjoint(words) and all(w in drop or w in _PART_WORDS or w.isdigit() for w in words) for words in _names(told))
 
 
 def _hinted(node: Node) -> bool:
@@ -196,7 +201,7 @@ def _candidates(root: Node) -> tuple[list[Node], int]:
     """
     nodes, articles = _measure(root), _articles(root)
     if articles[0] is root:
-        return [x for x in nodes if x is not root and x.size], root.hash
+        return [x for x in nodes if x is not root and x.size and x.tag in _CONTAINERS and x.tag != "span"], root.hash
     inside: dict[int, Node] = {id(a): a for a in articles}
     own = set(inside)
     for x in nodes:  # parents come before children
@@ -210,6 +215,45 @@ def _candidates(root: Node) -> tuple[list[Node], int]:
     return [x for x in nodes if x is not root and x.size and may(x)], xxhash.xxh3_64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles))
 
 
+def _amid(root: Node, gone: set[int]) -> set[int]:
+    """Recurring subtrees of a page without an article that stand amid its own text, and all within them: they stay.
+
+    The text's container is found by going down from the page as long as one container holds over half
+    of what isn't recurring. In it, a recurring subtree between two neighbours that don't recur belongs to
+    the text, unless its class or id hints at something else.
+    """
+    own: dict[int, int] = {}
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [c for c in x.children if isinstance(c, Node) and id(c) not in gone]
+    for x in reversed(order):
+        own[id(x)] = sum(own[id(c)] if isinstance(c, Node) else len(c.strip()) for c in x.children if not isinstance(c, Node) or id(c) in own)
+    main = root
+    while True:
+        below = max((c for c in main.children if isinstance(c, Node) and c.tag in _CONTAINERS and id(c) in own), key=lambda c: own[id(c)], default=None)
+        if below is None or 2 * own[id(below)] <= own[id(main)]:
+            break
+        main = below
+    stay, todo = set(), [main]
+    while todo:
+        x = todo.pop()
+        parts = [c for c in x.children if isinstance(c, Node) or c.strip()]
+        for k, c in enumerate(parts):
+            if not isinstance(c, Node):
+                continue
+            if id(c) not in gone:
+                todo.append(c)
+            elif 0 < k < len(parts) - 1 and id(parts[k - 1]) not in gone and id(parts[k + 1]) not in gone and not _hinted(c):
+                within = [c]
+                while within:
+                    y = within.pop()
+                    stay.add(id(y))
+                    within += [z for z in y.children if isinstance(z, Node)]
+    return stay
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -230,6 +274,8 @@ def main_text(page: str, host: str = "", templates: np.ndarray | None = None) ->
         keys = np.array([_key(host, x.hash) for x in found], np.uint64)
         at = np.minimum(np.searchsorted(templates, keys), len(templates) - 1)
         gone = {id(x) for x, k in zip(found, templates[at] == keys, strict=True) if k}
+        if gone and _articles(root)[0] is root:
+            gone -= _amid(root, gone)
     blocks, text = [], []
 
     def flush() -> None:
@@ -299,8 +345,16 @@ def _texts(templates):
     return texts
 
 
-def _host_key(url: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda u: int(np.uint64(xxhash.xxh3_64_intdigest(host_of(u))).view(np.int64))), "long")(url)
+def _page_keys(batches):
+    """Each page's distinct candidate subtrees, by the page's digest."""
+    free_others()
+    for batch in batches:
+        pages, keys = [], []
+        for url, page, digest in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            mine = {_key(host_of(url), x.hash) or 1 for x in _candidates(parse(page))[0]}
+            pages += [digest] * len(mine)
+            keys.append(np.fromiter(mine, np.uint64, len(mine)))
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64))], names=["_page", "key"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -322,9 +376,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
         keys = np.array([r.key for r in templates.select("key").collect()], np.int64).view(np.uint64)
         texts = _texts(spark.sparkContext.broadcast(np.sort(keys)))
     else:
-        # A template is on as many pages as the root of its host's number, so a host has few beside its pages.
-        by_host = templates.groupBy(F.col("host").alias("_key")).agg(F.collect_list("key").alias("_templates"))
-        rows = rows.withColumn("_host", _host_key(F.col("url"))).join(by_host, F.col("_host") == F.col("_key"), "left").drop("_host", "_key")
+        # By key, not by host: a page gets the templates that are on it, and a large host is many keys. Equal pages share a digest.
+        rows = rows.withColumn("_page", F.md5(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit("")))))
+        asked = rows.select("url", "html", "_page").mapInArrow(_page_keys, "_page string, key long").distinct()
+        hits = asked.join(templates.select("key").distinct(), "key").groupBy("_page").agg(F.collect_list("key").alias("_templates"))
+        rows = rows.join(hits, "_page", "left").drop("_page")
         texts = _texts(None)
     done = rows.mapInArrow(texts, with_fields(rows.drop("html", "_templates").schema, text=StringType()))
     return done.select(*(F.col(c) if c == "url" else F.col(f"row.`{c}`") for c in columns), "text")

@@ -94,3 +94,33 @@ def test_clashing_columns_and_a_bound_on_pages(spark, monkeypatch):
         monkeypatch.setattr(html_text, "BROADCAST_HASHES", limit)
         for r in extract_text(df).collect():
             assert r.text == f"text {r.page_id}" and (r._host, r._key, r._templates, r.row, r.article) == ("_host", "_key", "_templates", "row", "article")
+
+
+def _site(body, n=9, host="plain.example"):
+    return [(k, f"https://{host}/{k}", body(k)) for k in range(n)]
+
+
+def test_own_text_without_an_article_stays(spark, monkeypatch):
+    """Inline words, paragraphs, cells and blocks amid the text recur on every page; only the frame goes."""
+    body = lambda k: (
+        f"<div>Menu of the site</div><div class=text><p>Page {k} has its own words. <b>Note</b> that it matters {k}.</p><p>Yes.</p><table><tr><td>Price</td><td>{k} coins</td></tr></table>"
+        f"<p>More of page {k}.</p><div>As ever.</div><p>End of page {k}.</p></div><div>All rights are ours</div>"
+    )
+    df = spark.createDataFrame(_site(body), "page_id long, url string, html string")
+    for limit in (10**6, 0):
+        monkeypatch.setattr(html_text, "BROADCAST_HASHES", limit)
+        for r in extract_text(df.union(df)).collect():
+            k = r.page_id
+            assert r.text == f"Page {k} has its own words. Note that it matters {k}.\n\nYes.\n\nPrice\n\n{k} coins\n\nMore of page {k}.\n\nAs ever.\n\nEnd of page {k}."
+
+
+def test_hidden_parts_and_telling_names():
+    page = "<article><p>a</p><div style='DISPLAY:NONE'>x</div><p class=ad>x</p><p class='cookie-notice'>x</p><div class='user-comments'>x</div><section id=respond>x</section><p class=intro>b</p></article>"
+    assert main_text(page) == "a\n\nb"
+    assert main_text("<div><p>a</p></div><div class='site-footer'>x</div><span aria-hidden=TRUE>x</span>") == "a"
+
+
+def test_long_page_in_proportion(spark):
+    body = "".join(f"<div><p>block {k}</p></div>" for k in range(30_000))
+    rows = [(k, f"https://long.example/{k}", f"<div>frame</div>{body}<p>{k}</p>") for k in range(2)]
+    assert all(len(r.text.split("\n\n")) == 30_002 for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
