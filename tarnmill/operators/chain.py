@@ -86,21 +86,49 @@ def run(rows: DataFrame, profiles: list[Profile], today: Column, window_start: C
     ``seen(id)`` was accepted before, ``dead(url)`` are links found dead. A row is a duplicate of an id
     seen before or of an earlier accepted row with its id or, with ``fuzzy``, of alike names. Only
     accepted rows count: a dead link hides no later row. Rows of a source after its last accepted one
-    under the cap are left out, as if they had never been read.
+    under the cap are left out, and mark no other row, as they have never been read.
+
+    Which rows are read depends on what is accepted before them, in any source. A round judges all rows
+    that may still be read and finds where each source reaches its cap. What lies before the first row
+    that a row beyond a cap has marked is then settled, and the rows beyond the settled caps go; with no
+    such row all is. The least cap is settled in every round, most often all are in the first.
     """
     # The rules read every text, and the steps after them read the outcome several times: it is written once.
     judged = written(normalized(rows, profiles, today).withColumn("gate", first_failure(row_gates(profiles, window_start, remote_only))), "judged")
     flagged = judged.join(seen.select("id").distinct().withColumn("_seen", F.lit(True)), "id", "left").join(dead.select("url").distinct().withColumn("_dead", F.lit(True)), "url", "left")
+    left = flagged
+    while True:
+        out = written(_marked(left, fuzzy), "marked")
+        # The last row that a source may have: only its first rows under the cap are looked at, in each task and then once more.
+        nth = F.row_number().over(Window.partitionBy("source").orderBy("seq"))
+        last = out.where(F.col("gate").isNull()).select("source", "seq", nth.alias("n")).where(F.col("n") == cap).select("source", F.col("seq").alias("_last"))
+        unread = F.col("seq") > F.coalesce("_last", F.lit((1 << 63) - 1))
+        placed = out.join(last, "source", "left").withColumn("_unread", unread)
+        beyond = placed.where("_unread").agg(F.min("seq")).first()[0]
+        if beyond is None:
+            break
+        marks = placed.where(F.col("_unread") & F.col("gate").isNull()).select(F.col("seq").alias("_by"))
+        by_id = placed.where(~F.col("_unread") & F.col("_by").isNotNull()).join(marks, "_by").agg(F.min("seq")).first()[0]
+        by_name = placed.where(~F.col("_unread") & F.col("_alike") & (F.col("seq") > beyond)).agg(F.min("seq")).first()[0]
+        wrong = min((x for x in (by_id, by_name) if x is not None), default=None)
+        if wrong is None:
+            out = placed.where(~F.col("_unread"))
+            break
+        left = left.join(last.where(F.col("_last") < wrong), "source", "left").where(F.col("_last").isNull() | (F.col("seq") <= F.col("_last"))).drop("_last")
+    columns = [*rows.columns, *(c for c in judged.columns if c not in rows.columns)]
+    return out.select(*columns)
+
+
+def _marked(flagged: DataFrame, fuzzy: bool) -> DataFrame:
+    """The gates of duplicates and dead links, with ``_by``, the row of the same id that marks one, and ``_alike`` where it is one by its names."""
     open_, alive = F.col("gate").isNull(), F.col("_dead").isNull() & F.col("_seen").isNull()
     # An id's first row that is open and alive is accepted, so an earlier one makes a row a duplicate.
     first = flagged.where(open_ & alive).groupBy("id").agg(F.min("seq").alias("_first"))
-    gate = F.when(~open_, F.col("gate")).when(F.col("_seen") | (F.col("seq") > F.col("_first")), "dedup").when(F.col("_dead"), "dead_link")
-    out = flagged.join(first, "id", "left").withColumn("gate", gate)
+    later = open_ & F.col("_seen").isNull() & (F.col("seq") > F.col("_first"))
+    gate = F.when(~open_, F.col("gate")).when(F.col("_seen") | later, "dedup").when(F.col("_dead"), "dead_link")
+    out = flagged.join(first, "id", "left").withColumns({"_by": F.when(later, F.col("_first")), "gate": gate, "_alike": F.lit(False)}).drop("_first")
     if fuzzy:
         kept = fuzzy_first(out.where(F.col("gate").isNull()).select("seq", "title", "company")).select("seq", F.lit(True).alias("_kept"))
-        out = out.join(kept, "seq", "left").withColumn("gate", F.when(F.col("gate").isNull() & F.col("_kept").isNull(), "dedup").otherwise(F.col("gate"))).drop("_kept")
-    # The last row that a source may have: only its first rows under the cap are looked at, in each task and then once more.
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("seq"))
-    last = out.where(F.col("gate").isNull()).select("source", "seq", nth.alias("n")).where(F.col("n") <= cap).groupBy("source").agg(F.count("*").alias("_n"), F.max("seq").alias("_last"))
-    columns = [*rows.columns, *(c for c in judged.columns if c not in rows.columns)]
-    return out.join(last, "source", "left").where((F.coalesce("_n", F.lit(0)) < cap) | (F.col("seq") <= F.col("_last"))).select(*columns)
+        alike = F.col("gate").isNull() & F.col("_kept").isNull()
+        out = out.join(kept, "seq", "left").withColumns({"_alike": alike, "gate": F.when(alike, "dedup").otherwise(F.col("gate"))}).drop("_kept")
+    return out

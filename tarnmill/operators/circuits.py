@@ -43,8 +43,6 @@ def reset(circuits: DataFrame) -> DataFrame:
 
 
 def run_verdicts(attempts: DataFrame) -> DataFrame:
-    """``attempts(source, outcome)`` of one run -> ``source, verdict``: ok if any attempt was, else the worst of what happened."""
-    order = ("login", "timeout", "failed", "cancelled", "open")
-    rank = F.coalesce(*(F.when(F.col("outcome") == o, k) for k, o in enumerate(order)), F.lit(order.index("failed")))
-    worst = F.element_at(F.array(*map(F.lit, order)), F.min(rank) + 1)
-    return attempts.groupBy("source").agg(F.when(F.bool_or(F.col("outcome") == "ok"), "ok").otherwise(worst).alias("verdict"))
+    """``attempts(source, seq, outcome)`` of one run -> ``source, verdict``: ok if any attempt was, else the outcome of the last. A null outcome is a failure."""
+    outcome = F.coalesce("outcome", F.lit("failed"))
+    return attempts.groupBy("source").agg(F.when(F.bool_or(outcome == "ok"), "ok").otherwise(F.max_by(outcome, "seq")).alias("verdict"))

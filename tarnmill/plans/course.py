@@ -35,36 +35,48 @@ def planner(key: Column, draft_ok: Column, strict: Column) -> Column:
 
 
 def progress_error(p: Column) -> Column:
-    """The first rule that a progress record breaks; null for a sound one.
+    """What makes a progress record unusable, the first reason in a fixed order; null for a sound one.
 
-    ``p`` is a struct of texts: schema_version, day, project_url, edit_url, segments_done, duration_s,
-    target_s, clip_s, pending_extend, prompts (an array), ts. It fails closed: what doesn't parse is an error.
+    ``p`` is a struct of texts, null where a key is missing: schema_version (none or up to 1), project_url
+    and edit_url (one of them will do), segments_done, duration_s, target_s, clip_s (all needed, the
+    last two above 0), day (none or a number), pending_extend (none or yes or no), and prompts, an array
+    without blanks. A number is a text of digits. Money is at stake: what doesn't parse is an error.
     """
-    n = lambda f: p[f].try_cast("long")
+    n = {f: p[f].try_cast("long") for f in ("schema_version", "day", "segments_done", "duration_s", "target_s", "clip_s")}
+    parses = lambda f: p[f].isNull() | n[f].isNotNull()
+    counters = [parses(f) for f in ("segments_done", "duration_s", "target_s", "clip_s")]
     rules = [
-        ("record", p.isNotNull()), ("schema_version", n("schema_version") == 1), ("day", n("day") >= 1),
-        ("project_url", p["project_url"].rlike("^https://")), ("edit_url", p["edit_url"].rlike("^https://")),
-        ("segments_done", n("segments_done") >= 1), ("clip_s", n("clip_s") >= 1), ("target_s", n("target_s") >= n("clip_s")),
-        ("duration_s", n("duration_s") >= 0), ("pending_extend", F.lower(p["pending_extend"]).isin("true", "false", "1", "0", "yes", "no")),
-        ("prompts", F.size(p["prompts"]) >= 1), ("ts", F.try_to_timestamp(p["ts"]).isNotNull()),
-    ]
+        ("record", p.isNotNull()),
+        ("schema_version", parses("schema_version") & (F.coalesce(n["schema_version"], F.lit(1)) <= 1)),
+        ("url", F.concat_ws("", p["project_url"], p["edit_url"]) != ""),
+        ("counter", counters[0] & counters[1] & counters[2] & counters[3]),
+        ("day", parses("day")),
+        ("pending_extend", p["pending_extend"].isNull() | F.trim(F.lower(p["pending_extend"])).isin("true", "false", "1", "0", "yes", "no")),
+        ("range", (n["segments_done"] >= 0) & (n["duration_s"] >= 0) & (n["target_s"] > 0) & (n["clip_s"] > 0)),
+        ("prompts", (F.size(p["prompts"]) > 0) & F.forall(p["prompts"], lambda x: F.coalesce(x.rlike(r"\S"), F.lit(False)))),
+    ]
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules))
 
 
-def resumed_segments(done: Column, pending: Column, duration: Column, clip: Column) -> Column:
-    """How many segments a resumed run has: those recorded with a pending one, or those that the file's length shows; raises if that lies behind the record."""
-    shown = F.floor(duration / clip)
-    return F.when(shown < done, F.raise_error(F.lit("the file is shorter than its record")).cast("long")).otherwise(F.greatest(done + pending.cast("long"), shown))
+def resumed_segments(done: Column, pending: Column, recorded_s: Column, duration_s: Column, clip_s: Column) -> Column:
+    """How many segments a resumed run has; raises if the file is shorter than its record.
+
+    A longer file has the pending segment, or as many as its length shows. In a file of the recorded
+    length the pending one hasn't landed, and isn't counted.
+    """
+    grown = F.greatest(done + pending.cast("long"), F.floor(duration_s / clip_s))
+    return F.when(duration_s < recorded_s, F.raise_error(F.lit("the file is shorter than its record")).cast("long")).when(duration_s > recorded_s, grown).otherwise(done.cast("long"))
 
 
-def generation_finished(stop_shown: Column, videos: Column, progress: Column) -> Column:
-    """A generation has ended: nothing to stop, and a video there or its progress complete."""
-    return ~stop_shown & ((videos > 0) | F.coalesce(progress >= 100, F.lit(False)))
+def generation_finished(stop_shown: Column, videos: Column, download: Column, done_button: Column, thumbnail: Column) -> Column:
+    """A generation has ended: nothing to stop, and a sign of its result: a video, a download, a button that says so, or a thumbnail. Null is no sign."""
+    sign = [F.coalesce(c, F.lit(False)) for c in (videos > 0, download, done_button, thumbnail)]
+    return ~F.coalesce(stop_shown, F.lit(False)) & (sign[0] | sign[1] | sign[2] | sign[3])
 
 
 def fails_fast(asked: Column, headless: Column, terminal: Column) -> Column:
-    """Whether a run gives up at once where it would need a person: as asked, else where nobody can answer."""
-    return F.coalesce(asked, headless | ~terminal)
+    """Whether a run gives up at once where it would need a person: if asked by "1" and nothing else, without a screen, or where nobody can answer."""
+    return F.coalesce(asked == "1", F.lit(False)) | F.coalesce(headless, F.lit(False)) | ~F.coalesce(terminal, F.lit(False))
 
 
 def int_map(raw: Column) -> Column:

@@ -269,11 +269,11 @@ def circuit_summary(spark, sf):
     return circuits.summary(rows, F.lit(300.0))
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS source, CASE WHEN bool_or(value > 150) THEN 'ok' WHEN bool_or(value > 100) THEN 'login' WHEN bool_or(value > 60) THEN 'timeout' ELSE 'failed' END AS verdict FROM events GROUP BY 1""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS source, CASE WHEN bool_or(value > 150) THEN 'ok' ELSE arg_max(CASE WHEN value > 100 THEN 'login' WHEN value > 60 THEN 'timeout' ELSE 'failed' END, event_id) END AS verdict FROM events GROUP BY 1""")
 def run_verdicts(spark, sf):
     v = F.col("value")
     outcome = F.when(v > 150, "ok").when(v > 100, "login").when(v > 60, "timeout").otherwise("failed")
-    return circuits.run_verdicts(_read(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), outcome.alias("outcome")))
+    return circuits.run_verdicts(_read(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), outcome.alias("outcome")))
 
 
 @query("""WITH e AS (SELECT user_id AS day, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'start' WHEN 1 THEN 'clip_done' WHEN 2 THEN 'clip_failed' WHEN 3 THEN 'finish' ELSE 'clip_failed' END AS kind, CASE WHEN event_id % 5 IN (1, 2, 4) THEN 'c' || event_id % 40 END AS clip FROM events),
@@ -297,16 +297,26 @@ def storyboard_assembled(spark, sf):
     return _read(spark, sf, "part").select("p_partkey", F.explode(course.assembled(draft, template)).alias("s")).select("p_partkey", "s.scene_number", "s.voiceover")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'day' WHEN 1 THEN 'target_s' WHEN 2 THEN 'pending_extend' WHEN 3 THEN 'ts' WHEN 4 THEN 'project_url' END AS error, greatest(p_size % 9 + 1, (p_size % 9) * 8 // 8) AS segments FROM part")
+# Records of twelve kinds, sound and broken; the oracle states the outcome of each kind from the rule in words.
+PROGRESS = {
+    "sound": ("1", "3", "https://x.example", "https://x.example/e", "2", "16", "60", "8", "True", ["go"], None), "older": ("0", None, "", "http://e", "0", "0", "4", "8", None, ["go"], None),
+    "newer": ("2", "3", "u", "e", "2", "16", "60", "8", "no", ["go"], "schema_version"), "version": ("x", "3", "u", "e", "2", "16", "60", "8", "no", ["go"], "schema_version"),
+    "urls": ("1", "3", "", None, "2", "16", "60", "8", "no", ["go"], "url"), "counter": (None, "x", "u", "e", "two", "16", "60", "8", "no", ["go"], "counter"), "day": (None, "x", "u", "e", "2", "16", "60", "8", "no", ["go"], "day"),
+    "pending": ("1", "0", "u", None, "2", "16", "60", "8", "maybe", ["go"], "pending_extend"), "missing": ("1", "3", "u", "e", None, "16", "60", "8", "1", ["go"], "range"), "target": ("1", "3", "u", "e", "2", "16", "0", "8", "1", ["go"], "range"),
+    "blank": ("1", "3", "u", "e", "2", "16", "60", "8", "1", ["go", "  "], "prompts"), "none": ("1", "3", "u", "e", "2", "16", "60", "8", "1", [], "prompts"),
+}
+
+
+@query(f"""SELECT p_partkey, {_sql_list(v[-1] or '-' for v in PROGRESS.values())}[p_partkey % {len(PROGRESS)} + 1] AS error,
+  CASE WHEN p_size % 3 = 0 THEN p_size % 9 ELSE greatest(p_size % 9 + CAST(p_partkey % 2 = 0 AS INTEGER), ((p_size % 9) * 8 + (p_size % 3) * 8) // 8) END AS segments FROM part""")
 def progress_check(spark, sf):
-    k = F.col("p_partkey") % 6
-    bad = lambda at, wrong, right: F.when(k == at, F.lit(wrong)).otherwise(F.lit(right))
-    record = F.struct(
-        F.lit("1").alias("schema_version"), bad(0, "x", "3").alias("day"), bad(4, "ftp://x", "https://x.example").alias("project_url"), F.lit("https://x.example/e").alias("edit_url"), F.lit("2").alias("segments_done"),
-        F.lit("16").alias("duration_s"), bad(1, "4", "60").alias("target_s"), F.lit("8").alias("clip_s"), bad(2, "maybe", "True").alias("pending_extend"), F.array(F.lit("go")).alias("prompts"), bad(3, "", "2026-01-01T00:00:00Z").alias("ts"),
-    )
-    done = F.col("p_size") % 9
-    return _read(spark, sf, "part").select("p_partkey", course.progress_error(record).alias("error"), course.resumed_segments(done.cast("long"), F.lit(True), done * 8, F.lit(8)).alias("segments"))
+    """A record of some kind, and the segments of a run whose file has grown by none, one or two clips."""
+    names = ("schema_version", "day", "project_url", "edit_url", "segments_done", "duration_s", "target_s", "clip_s", "pending_extend")
+    records = [F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(names, v)), F.array(*map(F.lit, v[9])).cast("array<string>").alias("prompts")) for v in PROGRESS.values()]
+    record = F.element_at(F.array(*records), (F.col("p_partkey") % len(records) + 1).cast("int"))
+    done, size = (F.col("p_size") % 9).cast("long"), F.col("p_size").cast("long")
+    segments = course.resumed_segments(done, F.col("p_partkey") % 2 == 0, done * 8, done * 8 + size % 3 * 8, F.lit(8))
+    return _read(spark, sf, "part").select("p_partkey", F.coalesce(course.progress_error(record), F.lit("-")).alias("error"), segments.alias("segments"))
 
 
 @query(f"""WITH {POSTINGS_SQL}, k AS (SELECT *, 'id' || (seq % 700) AS id FROM postings), f AS (SELECT *, min(CASE WHEN NOT (seq % 700 < 50) THEN seq END) OVER (PARTITION BY id) AS first FROM k)

@@ -140,7 +140,7 @@ def test_course(spark):
     one = spark.range(1).select(course.int_map(F.lit('{"a": 1, "b": "x", "c": 2}')).alias("m"), course.int_map(F.lit("no")).alias("n"), course.planner(F.lit("k"), F.lit(True), F.lit(False)).alias("p"), course.planner(F.lit(""), F.lit(True), F.lit(True)).alias("q")).first()
     assert one.m == {"a": 1, "c": 2} and one.n == {} and (one.p, one.q) == ("model", "error")
     with pytest.raises(Exception, match="shorter than its record"):
-        spark.range(1).select(course.resumed_segments(F.lit(4), F.lit(False), F.lit(8), F.lit(8))).collect()
+        spark.range(1).select(course.resumed_segments(F.lit(2), F.lit(False), F.lit(20), F.lit(17), F.lit(8))).collect()
     topics = spark.createDataFrame([("a", "Sorting things", 1), ("b", "More sorting", 0)], "id string, title string, seq int")
     wanted = spark.createDataFrame([("a",), ("sorting",)], "key string")
     assert {r.key: r.id for r in course.topic_by(topics, wanted).collect()} == {"a": "a", "sorting": "b"}
@@ -195,3 +195,25 @@ def test_a_gated_breaker_skips(spark, tmp_path):
     got = {g: run_available(breaker.breaker_stream(stream, gated=g), f"breaker{g}", "update").first() for g in (False, True)}
     assert (got[True].skipped, got[True].consecutive_fails, got[True].total_fails, got[True].total_ok) == (3, 4, 4, 0)
     assert (got[False].skipped, got[False].total_fails, got[False].total_ok) == (0, 5, 2)
+
+
+def test_signs_of_a_generation(spark):
+    t, f, n = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    done = lambda *c: spark.range(1).select(course.generation_finished(*c).alias("x")).first().x
+    assert done(f, F.lit(1), f, f, f) and done(f, F.lit(0), t, f, f) and done(f, F.lit(0), f, t, f) and done(n, F.lit(0), n, n, t)
+    assert not done(t, F.lit(2), t, t, t) and not done(f, F.lit(0), f, f, n)
+    fast = lambda *c: spark.range(1).select(course.fails_fast(*c).alias("x")).first().x
+    one, zero = F.lit("1"), F.lit("0")
+    assert fast(one, f, t) and fast(zero, t, t) and fast(zero, f, f) and fast(n.cast("string"), f, n)
+    assert not fast(zero, f, t) and not fast(F.lit("true"), f, t)
+
+
+def test_last_verdict_of_a_run(spark):
+    rows = [("a", 1, "login"), ("a", 2, "failed"), ("b", 1, "ok"), ("b", 2, "failed"), ("c", 2, "login"), ("c", 1, "cancelled"), ("d", 1, None)]
+    assert {r.source: r.verdict for r in circuits.run_verdicts(spark.createDataFrame(rows, "source string, seq int, outcome string")).collect()} == {"a": "failed", "b": "ok", "c": "login", "d": "failed"}
+
+
+def test_resumed_runs(spark):
+    rows = [(2, True, 16, 16, 2), (2, True, 16, 24, 3), (2, False, 16, 24, 3), (2, False, 16, 40, 5), (2, False, 16, 17, 2), (0, True, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "done long, pending boolean, recorded long, duration long, want long")
+    assert all(r.x == r.want for r in df.select("want", course.resumed_segments(F.col("done"), F.col("pending"), F.col("recorded"), F.col("duration"), F.lit(8)).alias("x")).collect())
