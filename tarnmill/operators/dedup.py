@@ -109,8 +109,10 @@ def first_without_alike(edges: DataFrame) -> DataFrame:
     return gone
 
 
-def fuzzy_first(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``rows(seq, title, company, ...)`` without those whose title and company are alike an accepted earlier row's.
+def fuzzy_first(rows: DataFrame, threshold: float = 0.85, recent: DataFrame | None = None) -> DataFrame:
+    """``rows(seq, title, company, ...)`` without those whose title and company are alike an accepted earlier row's, or one in ``recent(title, company)``.
+
+    What is in ``recent`` was accepted before, so all of it counts, also where two of its rows are alike.
 
     Rows with one normal title and company decide alike, so each such pair is represented by its first
     row. Alike titles and alike companies are found each by itself, by a join on their rarest pairs of
@@ -120,7 +122,14 @@ def fuzzy_first(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     if threshold < 0.85:
         raise ValueError("alike names are found by shared pairs of characters, which takes a threshold of 0.85")
     named = rows.select("seq", normalize_text(F.col("title")).alias("title"), normalize_text(F.col("company")).alias("company"))
-    first = written(named.where("company <> '' and title <> ''").groupBy("title", "company").agg(F.min("seq").alias("seq")), "first")
+    named = named.withColumn("old", F.lit(False))
+    every = named
+    if recent is not None:
+        before = recent.select(normalize_text(F.col("title")).alias("title"), normalize_text(F.col("company")).alias("company"))
+        # Before all rows, and by name: what is alike an old row goes, whichever it is.
+        place = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("title", "company"), F.lit(1 << 61))
+        every = named.unionByName(before.select(place.alias("seq"), "title", "company", F.lit(True).alias("old")))
+    first = written(every.where("company <> '' and title <> ''").groupBy("title", "company").agg(F.min("seq").alias("seq"), F.bool_or("old").alias("old")), "first")
     text, long = F.col("text"), expand_abbreviations(F.col("text"))
     tokens = F.array_distinct(F.filter(F.split(long, " "), lambda w: w != ""))
     companies = first.select(F.col("company").alias("text")).distinct()
@@ -143,9 +152,9 @@ def fuzzy_first(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
         return pd.Series([company_alike(c, d) and title_alike(t, u) for t, u, c, d in rows], dtype=bool)
 
     old = first.select(F.col("title").alias("old_title"), F.col("company").alias("old_company"), F.col("seq").alias("earlier"))
-    pairs = first.join(alike_companies, "company").join(alike_titles, "title").join(old, ["old_title", "old_company"]).where("earlier < seq")
+    pairs = first.where(~F.col("old")).join(alike_companies, "company").join(alike_titles, "title").join(old, ["old_title", "old_company"]).where("earlier < seq")
     edges = written(pairs.where(both("title", "old_title", "company", "old_company")).select("seq", "earlier"), "edges")
-    kept = first.select("seq").join(first_without_alike(edges), "seq", "left_anti")
+    kept = first.where(~F.col("old")).select("seq").join(first_without_alike(edges), "seq", "left_anti")
     # What a kept row stands for: later rows of its title and company are duplicates of it.
     free = named.where("company = '' or title = ''").select("seq")
     return rows.join(kept.unionByName(free), "seq", "left_semi")
@@ -155,17 +164,41 @@ def _written_out(text: str) -> str:
     return " ".join(ABBREVIATIONS.get(w, w) for w in text.split())
 
 
-def verdicts(rows: DataFrame, seen: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``rows(seq, id, title, company, ...)`` with ``verdict``: exact (an id seen before or of an earlier row), fuzzy, or new."""
-    known = rows.join(seen.select("id").distinct().withColumn("_seen", F.lit(True)), "id", "left")
+def legacy_id(url: Column, title: Column, company: Column) -> Column:
+    """The id of a posting in stores that older versions have kept, of the url as it was given; null without a url."""
+    part = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    return F.when(F.coalesce(url, F.lit("")) != "", F.substring(F.sha2(F.concat_ws("|", part(url), part(title), part(company)), 256), 1, 16))
+
+
+def verdicts(rows: DataFrame, seen: DataFrame, threshold: float = 0.85, recent: DataFrame | None = None) -> DataFrame:
+    """``rows(seq, id, title, company, ...)`` with ``verdict``: exact (an id seen before or of an earlier row), fuzzy, or new.
+
+    Rows with a ``url`` are also looked for by their ``legacy_id``. Fuzzy are names alike those of an
+    earlier row that is new, or of one in ``recent(title, company)``, names accepted in earlier runs.
+    """
+    ids = seen.select("id").distinct()
+    known = rows.join(ids.withColumn("_seen", F.lit(True)), "id", "left")
+    if "url" in rows.columns:
+        known = known.withColumn("_legacy_id", legacy_id(F.col("url"), F.col("title"), F.col("company")))
+        known = known.join(ids.select(F.col("id").alias("_legacy_id"), F.lit(True).alias("_legacy")), "_legacy_id", "left").withColumn("_seen", F.coalesce("_seen", "_legacy"))
     first = known.where("_seen is null").groupBy("id").agg(F.min("seq").alias("_first"))
     known = known.join(first, "id", "left")
     exact = F.col("_seen").isNotNull() | (F.col("seq") > F.col("_first"))
-    kept = fuzzy_first(known.where(~exact).select("seq", "title", "company"), threshold).select("seq", F.lit(True).alias("_kept"))
+    kept = fuzzy_first(known.where(~exact).select("seq", "title", "company"), threshold, recent).select("seq", F.lit(True).alias("_kept"))
     out = known.join(kept, "seq", "left").withColumn("verdict", F.when(exact, "exact").when(F.col("_kept").isNull(), "fuzzy").otherwise("new"))
     return out.select(*rows.columns, "verdict")
 
 
+def pushed(recent: DataFrame, accepted: DataFrame, now: Column, keep: int = 5_000) -> DataFrame:
+    """``recent(title, company, pushed_at, seq)`` with ``accepted(seq, title, company)`` of this run added, and the ``keep`` newest of all left.
+
+    Newer by time, then by place in its run. This bound is the feature: what has left the window marks nothing.
+    """
+    columns = ["title", "company", "pushed_at", "seq"]
+    both = recent.select(*columns).unionByName(accepted.select("title", "company", now.alias("pushed_at"), "seq"))
+    return both.orderBy(F.desc("pushed_at"), F.desc("seq"), "title", "company").limit(keep)
+
+
 def marked(seen: DataFrame, ids: DataFrame, today: Column) -> DataFrame:
     """``seen(id, seen_on)`` with ``ids(id)`` seen today: one row an id, the later date, in order."""
     both = seen.select("id", "seen_on").unionByName(ids.select("id", today.alias("seen_on")))

@@ -328,6 +328,16 @@ def dedup_verdicts(spark, sf):
     return dedup.verdicts(rows, seen).select("seq", F.when(F.col("verdict") == "exact", "exact").otherwise("not exact").alias("verdict"))
 
 
+@query()
+def dedup_recents(spark, sf):
+    """Postings fetched from a day on, against the names of those before it; of the seen ids some are of the older kind."""
+    rows = postings(spark, sf).withColumn("id", text.posting_id(F.col("url"), F.col("title"), F.col("company"), F.col("source")))
+    before, batch = (rows.where(c) for c in (F.col("fetched_at") < "2026-01-06", F.col("fetched_at") >= "2026-01-06"))
+    seen = before.where("source = 'web'").select("id").union(before.select(dedup.legacy_id(F.col("url"), F.col("title"), F.col("company"))))
+    stored = before.where(F.col("company") != "Initech").select("title", "company", F.col("fetched_at").alias("pushed_at"), "seq")
+    return dedup.verdicts(batch, seen, recent=dedup.pushed(stored, stored.limit(0).select("seq", "title", "company"), F.current_timestamp())).select("seq", "verdict")
+
+
 #: Stored postings by hand: url, location, title, description, the engineer's score (-1: none), the flat score (-1: none), the gate that each fails.
 DIGEST_CASES = [
     ("https://jobs.example/1", "Remote", "ML Engineer", "", 80, -1, "-"), ("https://jobs.example/1", "Remote", "ML Engineer", "", 79, 99, "threshold"), ("https://jobs.example/1", "Remote", "ML Engineer", "", -1, 69, "threshold"),
