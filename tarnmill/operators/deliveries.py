@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -107,3 +107,9 @@ def seo_document(title: Column, hook: Column, keywords: Column, publish_at: Colu
     cut = F.regexp_replace(F.substring(title, 1, most), r" [^ ]*$", "")
     head = F.when(F.length(title) <= most, title).otherwise(cut)
     return F.to_json(F.struct(head.alias("title"), F.concat_ws("\n\n", hook, title).alias("description"), F.array_distinct(keywords).alias("tags"), publish_at.alias("publish_at")))
+
+
+def top_for_message(rows: DataFrame, score: str, order: str, n: int = 5) -> DataFrame:
+    """The n rows of the highest score with their ``rank``; no score counts as 0, ties stay in the given order. Only n rows reach one task."""
+    best = rows.withColumn("_score", F.coalesce(F.col(score), F.lit(0))).orderBy(F.desc("_score"), order).limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_score"), order))).drop("_score")

@@ -17,6 +17,7 @@ from tarnmill.functions.text import strip
 
 #: The threshold of a profile that isn't known.
 DEFAULT_THRESHOLD = 70
+BOUNDARY = r"\b"
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,16 @@ def blacklist_reason(title: Column, profile: Profile, shared: tuple[str, ...] =
     return F.coalesce(F.lit(None).cast("string"), *(F.when(F.lower(title).rlike(p), F.lit(f"{kind}: {plain(p)}")) for kind, p in kinds))
 
 
+#: Fixed value: a title that names such a role isn't turned down for a stack.
+ML_ROLE = r"\b(?:ai\s+engineer|ml\s+engineer|machine\s+learning)\b"
+
+
+def legacy_reason(title: Column, rejects: tuple[str, ...], stacks: tuple[str, ...]) -> Column:
+    """The older blacklist, which knows no profiles: as ``blacklist_reason``, but a machine-learning role in the title outweighs stacks."""
+    only = lambda kind, patterns: F.coalesce(F.lit(None).cast("string"), *(F.when(F.lower(title).rlike(p), F.lit(f"{kind}: {p.replace(BOUNDARY, '').strip()}")) for p in patterns))
+    return F.coalesce(only("blacklisted_role", rejects), F.when(~F.lower(title).rlike(ML_ROLE), only("unrelated_stack", stacks)))
+
+
 def match(profile: Profile, title: Column, description: Column, tags: Column | None = None, shared: tuple[str, ...] = ()) -> Column:
     """``struct<ok, score, label>``: the first rule of the profile that decides about a posting."""
     empty = F.lit("")

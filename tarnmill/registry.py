@@ -460,4 +460,4 @@ def diff_hunks_window(spark, sf):
     return delivery.hunk_spans(lines)
 
 
-from tarnmill import law_queries, record_queries  # noqa: E402, F401
+from tarnmill import law_queries, record_queries, storage_queries  # noqa: E402, F401
