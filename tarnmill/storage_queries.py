@@ -27,7 +27,7 @@ def _posts(spark, sf):
 
 
 # The rule in SQL, from its wording: signs of hiring, then the headline, the first hiring line, the first line, in that order.
-_HIRING = r"(?i)\b(?:hir(?:ing|es?)\b|jobs?\b|vacanc|opportunit|openings?\b|we[''’]?re\s+(?:are\s+)?looking\b|we\s+are\s+looking\b|looking\s+for\b|seeking\b|join(?:ing)?\s+our\s+team\b|(?:apply|application|resume|cv)\b|(?:role|position)s?\s*[:：])"
+_HIRING = r"(?i)\b(?:(?:hire|hires|hiring|jobs?|openings?|seeking|looking\s+for|we(?:[''’]re|\s+are)\s+looking|join(?:ing)?\s+our\s+team|apply|application|resume|cv)\b|vacanc|opportunit|(?:roles?|positions?)\s*[:：])"
 
 
 @query(rf"""WITH p AS (SELECT doc_id AS seq, trim(coalesce(text, '') || chr(10) || {_sql_pick(OPENINGS, 'doc_id')} || chr(10) || {_sql_pick(PLACES, 'doc_id // 5')}, ' ' || chr(9) || chr(10) || chr(13)) AS body, {_sql_pick(HEADLINES, 'doc_id // 3')} AS h FROM documents),
