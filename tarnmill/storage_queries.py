@@ -6,12 +6,15 @@ import json
 
 from pyspark.sql import functions as F
 
-from tarnmill.functions.text import normalize_text
+from tarnmill.functions import dates
 from tarnmill.operators import deliveries, feed, profiles
 from tarnmill.plans.postings import POSTINGS_SQL, _pick, _sql_pick, postings
-from tarnmill.registry import _docs, _read, query
+from tarnmill.registry import _docs, _read, _stream, query
 from tarnmill.sources import batches, board, records
 from tarnmill.sources.tables import new_path
+from tarnmill.streaming import weekly
+from tarnmill.streaming.breaker import breaker_table
+from tarnmill.streaming.events import run_available
 
 OPENINGS = ["We're hiring: ML engineer …", "Our team looks back", "Seeking a lead ••", "Worldwide, remote. Apply now", ""]
 HEADLINES = ["• 2nd+", "Acme is hiring engineers", "CTO", "", "Opening soon at Globex"]
@@ -140,3 +143,25 @@ def blacklist_legacy(spark, sf):
 def message_top(spark, sf):
     rows = postings(spark, sf).withColumn("score", F.when(F.col("seq") % 5 != 0, F.col("seq") % 97))
     return deliveries.top_for_message(rows, "score", "seq").select("seq", "title", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, CAST(epoch(ts) AS DOUBLE) AS t, event_type <> 'click' AND value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS fails, CAST(0 AS BIGINT) AS total_fails, CAST(0 AS BIGINT) AS total_ok, CAST(0 AS DOUBLE) AS due, CAST(0 AS BIGINT) AS skipped FROM e
+  UNION ALL SELECT e.key, e.n, CASE WHEN t < due THEN fails WHEN ok THEN 0 ELSE fails + 1 END, total_fails + CASE WHEN t < due OR ok THEN 0 ELSE 1 END, total_ok + CASE WHEN t >= due AND ok THEN 1 ELSE 0 END,
+    CASE WHEN t < due THEN due WHEN ok THEN 0 WHEN fails + 1 >= 2 THEN t + 259200 ELSE due END, skipped + CASE WHEN t < due THEN 1 ELSE 0 END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT CAST(key AS VARCHAR) AS key, fails AS consecutive_fails, total_fails, total_ok, due AS open_until, skipped FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")
+def breaker_gated(spark, sf):
+    rows = _read(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_id").alias("seq"), ((F.col("event_type") != "click") & (F.col("value") < 60)).alias("ok"))
+    return breaker_table(rows.withColumn("at", F.col("us") / 1e6), threshold=2, reset_s=259200.0)
+
+
+CHANNELS = ["click", "purchase", "view"]
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%G-W%V') AS week, event_type AS channel, value > 20 AS ok FROM events), l AS (SELECT key, max(week) AS week FROM e GROUP BY key),
+c AS (SELECT key, week, array_agg(DISTINCT channel) FILTER (WHERE ok) AS done FROM e JOIN l USING (key, week) GROUP BY key, week)
+SELECT key, week, array_to_string(list_filter({CHANNELS}, lambda c: NOT list_contains(coalesce(done, []), c)), ',') AS missing FROM c""")
+def weekly_ledger(spark, sf):
+    week = dates.week_key(F.to_date("ts"))
+    rows = _stream(spark, sf).select(F.col("user_id").alias("key"), week.alias("week"), F.col("event_type").alias("channel"), (F.col("value") > 20).alias("ok"))
+    return run_available(weekly.confirmations(rows, CHANNELS), "weekly", "update")

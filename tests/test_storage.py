@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.operators import feed, profiles
 from tarnmill.sources import batches, board, records
+from tarnmill.streaming import breaker, weekly
 
 NOW = "2026-01-15 00:00:00"
 
@@ -167,3 +168,27 @@ def test_legacy_blacklist(spark):
     titles = {"Sales AI Engineer": "blacklisted_role: sales", "Java Developer": "unrelated_stack: java", "AI Engineer (Java)": None, "Machine  Learning, Java": None, None: None}
     rows = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
     assert [r.x for r in rows.select("i", profiles.legacy_reason(F.col("t"), (r"\bsales\b",), (r"\bjava\b",)).alias("x")).orderBy("i").collect()] == list(titles.values())
+
+
+def test_weekly_ledger_over_batches(spark, tmp_path):
+    schema, out = "key string, week string, channel string, ok boolean", {}
+    steps = [
+        ([("j", "2026-W02", "a", True), ("j", "2026-W02", "b", False), (None, "2026-W02", "a", True)], {"j": ("2026-W02", "b"), None: ("2026-W02", "b")}), ([("j", "2026-W02", "b", True), ("j", "2026-W01", "c", True)], {"j": ("2026-W02", "")}),
+        ([("j", "2026-W03", "b", True), ("j", "2026-W02", "a", True), ("j", None, "a", True), ("j", "2026-W03", "z", True), ("k", None, None, None)], {"j": ("2026-W03", "a"), "k": (None, "a,b")}),
+    ]
+    for n, (rows, wanted) in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = weekly.confirmations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["a", "b"])
+        take = lambda df, _, n=n: out.update({n: {r.key: (r.week, r.missing) for r in df.collect()}})
+        stream.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        assert out[n] == wanted
+
+
+def test_breaker_over_a_table(spark):
+    attempts = [(0, False), (1, False), (2, False), (3, False), (50, True), (4000, False), (4001, True)]
+    rows = [(k, i, float(at), ok) for k in ("a", None, "b") for i, (at, ok) in enumerate(attempts)] + [("c", 0, 1.0, True)]
+    events = spark.createDataFrame(rows, "key string, seq long, at double, ok boolean").repartition(3)
+    found = {r.key: tuple(r)[1:] for r in breaker.breaker_table(events).collect()}
+    assert found == {k: (4, 4, 0, 7600.0, 3) for k in ("a", None, "b")} | {"c": (0, 0, 1, 0.0, 0)}
+    assert {tuple(r)[1:] for r in breaker.breaker_table(events.where("key = 'a'"), gated=False).collect()} == {(0, 5, 2, 0.0, 0)}
+    assert breaker.breaker_table(events.limit(0)).count() == 0
