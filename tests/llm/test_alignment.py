@@ -116,3 +116,33 @@ def test_no_step_is_computed_twice(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = groups(alignment.tokens(df, BYTE, PIECE)).select("groups", "a_cuts", "b_cuts")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect(") == 1 and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("cached", [alignment.CACHED_WORDS, 40])
+def test_words_aligned_once_give_the_groups_of_whole_texts(spark, cached):
+    texts = [t for _, t in ODD if t] + ["a\nb\n\nc \n d", "\n", "\nx", "x\n", "one\ntwo ▁ three", "one\n▁", "a\tb\n\tc", "y" * 100 + "\n" + "z" * 100, "ﬁ\nﬁ x"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    plain, pair = alignment._Pair(BYTE, PIECE), alignment._Pair(BYTE, PIECE, cached_words=cached)
+    assert pair.b.lines
+    want = []
+    for a, b in plain.encode(texts):
+        a_ends, b_ends = (np.cumsum(size[ids]).tolist() for ids, size in zip((a, b), plain.sizes))
+        sides = list(zip(a_ends, a.tolist())), list(zip(b_ends, b.tolist()))
+        common = set(a_ends) & set(b_ends)
+        text = ";".join(f"{x}|{y}" for x, y in zip(*(_cut(s, common) for s in sides), strict=True))
+        want.append((len(a), len(b), text.encode(), [(x << 32) + y for x, y in _links(*sides)]))
+    for _ in range(2):
+        assert [(m, n, g, np.frombuffer(k, np.int64).tolist()) for m, n, g, k in pair.align(texts)] == want
+        assert not any(len(w) > alignment.CACHED_LENGTH for w in pair.words)
+
+
+def test_work_goes_by_distinct_words(spark, monkeypatch):
+    """A word is aligned once, and no lambda runs over the tokens of a document."""
+    seen, pair = [], alignment._Pair(BYTE, PIECE)
+    once = pair._align
+    monkeypatch.setattr(pair, "_align", lambda a, b: seen.append(len(a)) or once(a, b))
+    pair.align(["some words\nand some more words"] * 1000)
+    pair.align(["more words and some"] * 1000)
+    assert sum(seen) == len({"some", "words", "\nand", "more", "and"})
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert "lambda" not in alignment.aligned(df, BYTE, PIECE)._jdf.queryExecution().optimizedPlan().toString()
