@@ -10,6 +10,9 @@ posting meets the best one of its n-gram (which has least before it), which ties
 together with as many pairs as members. A second round checks what is left: pairs that share a
 prefix n-gram across components. Every link between different texts is thus either verified or lies
 inside a component already; none is lost and no cap is set.
+
+Most postings have a shingle that no other class posts. They are found by two shuffles of all postings,
+the largest of the join, which is why these go part by part.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BUCKET_BITS = 18
 RANGES = 64
 #: Up to so many document ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: The postings are shuffled in so many parts by their shingles, one part after another, so that the disk holds a part's shuffle alone.
+TOKEN_PARTS = 2
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -170,13 +175,15 @@ class _Join:
         rank = self.spark.sparkContext.broadcast(counts)
         post = self.docs.select("text").mapInArrow(_post(self.width, self.num, self.den, rank), "token long, key long, n int, pos int")
         post = self.scratch.save(post, "postings")
-        shared = post.groupBy("token").agg(F.min("n").alias("n_min"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        shared = self.scratch.save(shared, "tokens")  # by itself, so that its shuffle is gone when the postings are joined
         smallest = f"greatest(({self.num} * n + {self.den - 1}) div {self.den}, n_min)"
-        kept = post.join(shared, "token").where(f"1 + n - pos >= {self.least(f'n + {smallest}')}").select("token", "key", "n", "pos").distinct()
-        kept = self.scratch.save(kept, "shared")
+        for k in range(TOKEN_PARTS):
+            part = post.where(F.pmod("token", F.lit(TOKEN_PARTS)) == k)
+            shared = part.groupBy("token").agg(F.min("n").alias("n_min"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").drop("lo", "hi")
+            shared = self.scratch.save(shared, "tokens")  # by itself, so that its shuffle is gone when the postings are joined
+            kept = part.join(shared, "token").where(f"1 + n - pos >= {self.least(f'n + {smallest}')}").select("token", "key", "n", "pos").distinct()
+            self.scratch.save(kept, f"shared-{k}")
         self.scratch.drop("postings", "tokens")
-        return kept
+        return self.spark.read.schema(kept.schema).parquet(*(self.scratch.path(f"shared-{k}") for k in range(TOKEN_PARTS)))
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of classes (a < b) that link; the set of a class comes from one of its documents."""
@@ -224,7 +231,7 @@ class _Join:
         second = self.verified(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")), "2")
         if not second.isEmpty():
             roots = connected_components(first.union(second), self.scratch, "cc2")
-        self.scratch.drop("rest", "groups", "cross", "shared")
+        self.scratch.drop("rest", "groups", "cross", *(f"shared-{k}" for k in range(TOKEN_PARTS)))
         return self.with_components(roots)
 
     def with_components(self, roots: DataFrame) -> DataFrame:

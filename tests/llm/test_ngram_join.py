@@ -4,6 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tarnmill.llm import ngram_join as module
+from tarnmill.llm.common import Scratch
 from tarnmill.llm.ngram_join import keep_first, ngram_join
 
 SF = "/root/testdata/sf0.01"
@@ -74,3 +76,25 @@ def test_odd_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join(df).collect() == [] and keep_first(df).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_postings_are_shuffled_in_parts(spark, monkeypatch, parts):
+    """Each part has a share of the shingles of its own, and together they give every link."""
+    monkeypatch.setattr(module, "TOKEN_PARTS", parts)
+    rng = random.Random(parts)
+    rows = [(k, " ".join(f"w{k // 3}x{i}" if rng.random() > 0.02 else f"y{rng.randrange(99)}" for i in range(60))) for k in range(90)]
+    rows += [(100 + k, t) for k, t in rows[:20]]
+    found, save = [], Scratch.save
+
+    def saved(self, df, name):
+        df = save(self, df, name)
+        if name == "tokens":
+            found.append({r.token for r in df.collect()})
+        return df
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join(df, 3, 1, 2)) == brute(rows, 3, 1, 2)
+    every = set().union(*found)
+    assert len(found) == parts and sum(map(len, found)) == len(every) and max(map(len, found)) < 1.5 * len(every) / parts
