@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnmill.functions import pins
-from tarnmill.functions.clauses import polarity, runs, sentences
+from tarnmill.functions.clauses import polarity, run_around, sentences
 from tarnmill.functions.places import ASIA_PACIFIC, HYBRID_TECHNOLOGY, MIDDLE_EAST, RESTRICTED
 from tarnmill.operators.law import (
     US_POSTAL, US_STATES, _any, _has_any, _low, foreign_restricted, hybrid_work, language_restricted, once, strongly_open, words,
@@ -27,6 +27,12 @@ _BACK = "(?i)" + "|".join(pins.US_TAKEN_BACK)
 _OREGON = r"\bremote\s*,?\s*(?:or|oregon)\b|\bcoos\s+county\b|\bremote\b.*\b97458\b"
 
 
+#: Parts that every word of a local residency has one of.
+LOCAL_ROOTS = ("wohn", "ansässig", "leben", "aufenthaltserlaubnis", "résid", "france")
+#: Characters of a demand of local residency at most, with at most 61 of white space at a time.
+LOCAL_SPAN = 400
+
+
 def usa_polarity(text: Column) -> Column:
     """-1: a sentence that names the US stands by it; 1: every such sentence takes it back; 0: none names it."""
     closed = lambda s: s.rlike(rf"(?i)\bonly\b|{pins.HARD}")
@@ -60,11 +66,22 @@ def local_residency(text: Column) -> Column:
     judged by the least run of clauses that holds it: if some run holds one and nothing that takes it
     back, so does the least run within it, so that any run will do.
     """
+    return in_local_residency(_low(text))
+
+
+def in_local_residency(low: Column) -> Column:
+    """``local_residency`` of a lower-case text. Only the sentences that hold a word of a demand are laid out and matched."""
     pin, back = _local(pins.LOCAL_PINS), _local(pins.LOCAL_TAKEN_BACK)
-    flat = F.regexp_replace(_low(text), r"[ \t]*[\r\n]+[ \t]*", " ")
-    flat = F.regexp_replace(flat, rf"(?U)({pins.CLIENTS}[^.!?\n]{{0,25}}\s*)bas[eé]e?s?\s+en\s+france\b", "$1")
-    kept = F.filter(F.split(flat, "[.!?]"), lambda s: s.rlike(pin))
-    return F.exists(kept, lambda s: F.exists(runs(s, f"(?U){pins.CLAUSE_ENDS}"), lambda r: r.rlike(pin) & ~r.rlike(back)))
+
+    def demands(sentence: Column) -> Column:
+        flat = F.regexp_replace(sentence, r"[ \t]*[\r\n]+[ \t]*", " ")
+        flat = F.regexp_replace(flat, rf"(?U)({pins.CLIENTS}[^.!?\n]{{0,25}}\s*)bas[eé]e?s?\s+en\s+france\b", "$1")
+        flat = F.regexp_replace(flat, r"(?U)\s{62,}", " " * 61)  # more than any gap in a demand
+        rooted = lambda c: _has_any(c, LOCAL_ROOTS)
+        return once(flat, lambda s: s.rlike(pin) & run_around(s, f"(?U){pins.CLAUSE_ENDS}", rooted, LOCAL_SPAN, lambda r: r.rlike(pin) & ~r.rlike(back), lambda r: r.rlike(pin)))
+
+    found = lambda t: F.exists(F.filter(F.split(t, "[.!?]"), lambda s: _has_any(s, LOCAL_ROOTS)), demands)
+    return once(low, lambda t: _has_any(t, LOCAL_ROOTS) & found(t))
 
 
 def description_restricted(text: Column) -> Column:
