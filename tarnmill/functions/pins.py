@@ -50,57 +50,58 @@ GERMAN_PLACES = (
     "leipzig", "dresden", "nrw", "nordrhein-westfalen", "bayern", "bavaria", "hessen", "baden-württemberg",
 )
 
-# Pins of descriptions. A pin is looked for where its anchor stands in the text; {authority}, {residence}, {israel} and {abroad} are the places above.
+# Pins of descriptions; {authority}, {residence}, {israel} and {abroad} are the places above. A pin is looked for where
+# a text holds its part and, as a whole run of letters and digits, a word of each of its groups ("abroad" are the words of those places).
 PINS = (
-    ("reside", r"\bmust\s+reside\s+in\s+(?:the\s+)?{residence}\b"),
-    ("must", r"\bmust\s+be\s+in\s+the\s+(?:us|usa|united states|uk|europe|canada|japan|australia|israel)\b"),
-    ("located", r"\bmust\s+be\s+located\s+in\s+(?:the\s+)?{residence}\b"),
-    ("residen", r"\bresiden(?:ce|cy)\s+(?:is\s+)?(?:required|mandatory|essential|erforderlich)\b"),
-    ("residen", r"\bresiden(?:ce|cy)\s+in\s+(?:the\s+)?(?:us|usa|united states|uk|canada|eu|europe|germany|france|poland|spain|italy|japan|singapore|australia|israel)\b"),
-    ("only", r"\b(?:us|usa)\s+(?:citizenship|citizen|resident|residency|based|candidates?)\s+only\b"),
-    ("permanent", r"\b(?:us|usa|u\.s\.|uk|canada|eu|european)\s+citizens?\s+or\s+permanent\s+residents?\b"),
-    ("only", r"\b(?:uk|canada|eu|european)\s+(?:candidates?|residen(?:ts?|cy)|based)\s+only\b"),
-    ("only", r"\b(?:uk|united\s+kingdom|canada|eu|european)\s+based\s+(?:candidates?|engineers?|developers?|applicants?)\s+only\b"),
-    ("person", r"\bmust\s+be\s+(?:a\s+)?u\.?s\.?\s*persons?\b"),
-    ("only", r"\bu\.?s\.?\s*citizen(?:s|ship)?\s+only\b"),
-    ("only", r"\b(?:japan|singapore|saudi|uae|australia|israel)\s+(?:residen(?:ts?|cy)|citizens?|based)\s+only\b"),
-    ("card", r"\bgreen\s+card(?:\s+holder)?\b"),
-    ("right", r"\b(?:uk|united\s+kingdom)\s+right\s+to\s+work\b"),
-    ("right", r"\bright\s+to\s+work\s+in\s+(?:the\s+)?(?:uk|united\s+kingdom|eu|london|canada|japan|singapore|australia)\b"),
-    ("eu", r"\b(?:eu|european)\s+(?:resident|residency|work|working)\s+(?:permit|right|authoriz(?:e|a)tion)\b"),
-    ("we", r"\bwe\s+(?:are\s+unable\s+to|cannot|do\s+not)\s+(?:sponsor|hire\s+outside|hire\s+internationally)\b"),
-    ("to work", r"\b(?:authorized|able|eligible)\s+to\s+work\s+in\s+(?:the\s+)?{authority}\b"),
-    ("authorization", r"\b(?:us|u\.s\.|usa)\s+work\s+authorization\b|\bwork\s+authorization\s+in\s+(?:the\s+)?{authority}\b"),
-    ("permit", r"\b(?:us|u\.s\.)\s+work\s+permit\b"),
-    ("2", r"\b(?:no\s+c2c|w-?2\s+only|w2\s+candidates?)\b"),
-    ("clearance", r"\bsecurity\s+clearance\s+required\b|\bactive\s+secret\s+clearance\b"),
-    ("within", r"\bwithin\s+\d+\s*(?:[-–to]+\s*\d*\s*)?hours?\s+of\s+(?:london|uk|gmt|cet|bst|est|cst|mst|pst)\b"),
-    ("based", r"\bmust\s+be\s+based\s+in\s+(?:cet|bst|gmt|est|cst|mst|pst)\b"),
-    ("us", r"\bus\s+(?:eastern|central|pacific|mountain)\b"),
-    ("", r"\b(?<!asia[\s-])(?<!apac\s)(?<!apac/)(?<!apac\s/\s)(?<!apac\s-\s)(?:eastern|central|pacific|mountain)\s+(?:time|hours?|zone)\b"),
-    ("", r"\b(?:est|cst|mst|pst)\s+(?:time|hours?|zone|business)\b"),
-    ("business", r"\bbusiness\s+hours?\s+(?:est|cst|mst|pst|et|ct|mt|pt)\b"),
-    ("", r"\b(?:eastern|central|pacific|mountain)\s*\(\s*(?:est|cst|mst|pst)\s*\)"),
-    ("overlap", r"\bmust\s+overlap\b|\b\d+\s+hours?\s+(?:of\s+)?(?:timezone\s+)?overlap\b"),
-    ("", r"\b(?:fully\s+remote|remote|wfh)\s+(?:role|job|position)?\s*(?:in|within)\s+(?:the\s+)?(?:us|usa|united states|uk|eu|europe|canada|germany|india|latin america)\b"),
-    ("office", r"\b(?:1|2|3|4)\s*days\s+(?:a|per)\s+week\s+(?:in|from)\s+(?:the\s+)?office"),
-    ("on", r"\b(?:onsite|on-site)\b.*(?:in\s+\w+|office\b)"),
-    ("relocation", r"\brelocation\s+(?:required|assistance\s+to)\b"),
-    ("commute", r"\bmust\s+be\s+able\s+to\s+commute\b"),
-    ("", r"\b(?:based\s+in|reside(?:s|nt)?\s+in|resident\s+of|located\s+in|office\s+in)\s+{israel}\b"),
-    ("", r"\b(?:israeli?|tel\s+aviv)\s+(?:residents?|based|citizens?|nationals?|only|work\s+permit|office|location)\b"),
-    ("", r"\b(?:must|need(?:ing)?\s+to|required\s+to)\s+(?:be\s+)?(?:based|reside|live|work)\s+in\s+{israel}\b"),
-    ("only", r"\b{israel}\s*[-–]?\s*only\b"),
-    ("israel", r"\b(?:right\s+to\s+work|work\s+authorization)\s+in\s+israel\b"),
-    ("", r"\b(?:only|restricted\s+to)\s+(?:candidates\s+)?(?:based\s+)?in\s+(?:the\s+)?{abroad}\b"),
-    ("only", r"\bonly\s+candidates\s+(?:based\s+)?in\s+(?:the\s+)?{abroad}\b"),
-    ("only", r"\bin\s+(?:the\s+)?{abroad}\s+only\b"),
-    ("only", r"\b{abroad}\s+(?:(?:residents?|nationals?|based|citizens?)\s+)?only\b"),
-    ("", r"\b(?:must|required)\s+(?:to\s+)?be\s+(?:based|located|residing)\s+in\s+(?:the\s+)?{abroad}\b"),
-    ("preferred", r"\b(?:based|reside|residing|living|located)\s+in\s+(?:the\s+)?{abroad}\s+preferred\b"),
-    ("prefer", r"\bprefer(?:ably)?\s+(?:based|located|living)\s+in\s+(?:the\s+)?{abroad}\b"),
-    ("remote", r"\bremote\s*[-–,]\s*{abroad}\b(?!\s+(?:and|or|vs)\b|\s*(?:,|&))"),
-    ("remote", r"\bremote\s*[-–,]\s*{abroad}\s*(?:,|and|or|vs)\s+{abroad}\b"),
+    ("", (("reside",),), r"\bmust\s+reside\s+in\s+(?:the\s+)?{residence}\b"),
+    ("", (("must",),), r"\bmust\s+be\s+in\s+the\s+(?:us|usa|united states|uk|europe|canada|japan|australia|israel)\b"),
+    ("", (("located",),), r"\bmust\s+be\s+located\s+in\s+(?:the\s+)?{residence}\b"),
+    ("", (("residence", "residency"),), r"\bresiden(?:ce|cy)\s+(?:is\s+)?(?:required|mandatory|essential|erforderlich)\b"),
+    ("", (("residence", "residency"),), r"\bresiden(?:ce|cy)\s+in\s+(?:the\s+)?(?:us|usa|united states|uk|canada|eu|europe|germany|france|poland|spain|italy|japan|singapore|australia|israel)\b"),
+    ("", (("us", "usa"), ("only",)), r"\b(?:us|usa)\s+(?:citizenship|citizen|resident|residency|based|candidates?)\s+only\b"),
+    ("", (("permanent",),), r"\b(?:us|usa|u\.s\.|uk|canada|eu|european)\s+citizens?\s+or\s+permanent\s+residents?\b"),
+    ("", (("uk", "kingdom", "canada", "eu", "european"), ("only",)), r"\b(?:uk|canada|eu|european)\s+(?:candidates?|residen(?:ts?|cy)|based)\s+only\b"),
+    ("", (("uk", "kingdom", "canada", "eu", "european"), ("only",)), r"\b(?:uk|united\s+kingdom|canada|eu|european)\s+based\s+(?:candidates?|engineers?|developers?|applicants?)\s+only\b"),
+    ("person", (("must",),), r"\bmust\s+be\s+(?:a\s+)?u\.?s\.?\s*persons?\b"),
+    ("citizen", (("only",),), r"\bu\.?s\.?\s*citizen(?:s|ship)?\s+only\b"),
+    ("", (("japan", "singapore", "saudi", "uae", "australia", "israel"), ("only",)), r"\b(?:japan|singapore|saudi|uae|australia|israel)\s+(?:residen(?:ts?|cy)|citizens?|based)\s+only\b"),
+    ("", (("green",), ("card",)), r"\bgreen\s+card(?:\s+holder)?\b"),
+    ("", (("right",),), r"\b(?:uk|united\s+kingdom)\s+right\s+to\s+work\b"),
+    ("", (("right",),), r"\bright\s+to\s+work\s+in\s+(?:the\s+)?(?:uk|united\s+kingdom|eu|london|canada|japan|singapore|australia)\b"),
+    ("", (("eu", "european"),), r"\b(?:eu|european)\s+(?:resident|residency|work|working)\s+(?:permit|right|authoriz(?:e|a)tion)\b"),
+    ("", (("we",), ("sponsor", "hire")), r"\bwe\s+(?:are\s+unable\s+to|cannot|do\s+not)\s+(?:sponsor|hire\s+outside|hire\s+internationally)\b"),
+    ("", (("authorized", "able", "eligible"), ("work",)), r"\b(?:authorized|able|eligible)\s+to\s+work\s+in\s+(?:the\s+)?{authority}\b"),
+    ("", (("authorization",),), r"\b(?:us|u\.s\.|usa)\s+work\s+authorization\b|\bwork\s+authorization\s+in\s+(?:the\s+)?{authority}\b"),
+    ("", (("permit",),), r"\b(?:us|u\.s\.)\s+work\s+permit\b"),
+    ("", (("c2c", "w2", "w"),), r"\b(?:no\s+c2c|w-?2\s+only|w2\s+candidates?)\b"),
+    ("", (("clearance",),), r"\bsecurity\s+clearance\s+required\b|\bactive\s+secret\s+clearance\b"),
+    ("", (("within",),), r"\bwithin\s+\d+\s*(?:[-–to]+\s*\d*\s*)?hours?\s+of\s+(?:london|uk|gmt|cet|bst|est|cst|mst|pst)\b"),
+    ("", (("must",), ("based",)), r"\bmust\s+be\s+based\s+in\s+(?:cet|bst|gmt|est|cst|mst|pst)\b"),
+    ("", (("us",), ("eastern", "central", "pacific", "mountain")), r"\bus\s+(?:eastern|central|pacific|mountain)\b"),
+    ("", (("eastern", "central", "pacific", "mountain"),), r"\b(?<!asia[\s-])(?<!apac\s)(?<!apac/)(?<!apac\s/\s)(?<!apac\s-\s)(?:eastern|central|pacific|mountain)\s+(?:time|hours?|zone)\b"),
+    ("", (("est", "cst", "mst", "pst"), ("time", "hour", "hours", "zone", "business")), r"\b(?:est|cst|mst|pst)\s+(?:time|hours?|zone|business)\b"),
+    ("", (("business",),), r"\bbusiness\s+hours?\s+(?:est|cst|mst|pst|et|ct|mt|pt)\b"),
+    ("", (("eastern", "central", "pacific", "mountain"), ("est", "cst", "mst", "pst")), r"\b(?:eastern|central|pacific|mountain)\s*\(\s*(?:est|cst|mst|pst)\s*\)"),
+    ("", (("overlap",),), r"\bmust\s+overlap\b|\b\d+\s+hours?\s+(?:of\s+)?(?:timezone\s+)?overlap\b"),
+    ("", (("remote", "wfh"),), r"\b(?:fully\s+remote|remote|wfh)\s+(?:role|job|position)?\s*(?:in|within)\s+(?:the\s+)?(?:us|usa|united states|uk|eu|europe|canada|germany|india|latin america)\b"),
+    ("office", (("week",),), r"\b(?:1|2|3|4)\s*days\s+(?:a|per)\s+week\s+(?:in|from)\s+(?:the\s+)?office"),
+    ("", (("onsite", "site"),), r"\b(?:onsite|on-site)\b.*(?:in\s+\w+|office\b)"),
+    ("", (("relocation",),), r"\brelocation\s+(?:required|assistance\s+to)\b"),
+    ("", (("commute",),), r"\bmust\s+be\s+able\s+to\s+commute\b"),
+    ("", (("israel", "aviv", "jerusalem", "haifa"),), r"\b(?:based\s+in|reside(?:s|nt)?\s+in|resident\s+of|located\s+in|office\s+in)\s+{israel}\b"),
+    ("", (("israel", "israeli", "aviv"),), r"\b(?:israeli?|tel\s+aviv)\s+(?:residents?|based|citizens?|nationals?|only|work\s+permit|office|location)\b"),
+    ("", (("israel", "aviv", "jerusalem", "haifa"),), r"\b(?:must|need(?:ing)?\s+to|required\s+to)\s+(?:be\s+)?(?:based|reside|live|work)\s+in\s+{israel}\b"),
+    ("only", (("israel", "aviv", "jerusalem", "haifa", "israelonly", "avivonly", "jerusalemonly", "haifaonly"),), r"\b{israel}\s*[-–]?\s*only\b"),
+    ("", (("israel",),), r"\b(?:right\s+to\s+work|work\s+authorization)\s+in\s+israel\b"),
+    ("", (("only", "restricted"), "abroad"), r"\b(?:only|restricted\s+to)\s+(?:candidates\s+)?(?:based\s+)?in\s+(?:the\s+)?{abroad}\b"),
+    ("", (("only",), "abroad"), r"\bonly\s+candidates\s+(?:based\s+)?in\s+(?:the\s+)?{abroad}\b"),
+    ("", (("only",), "abroad"), r"\bin\s+(?:the\s+)?{abroad}\s+only\b"),
+    ("", (("only",), "abroad"), r"\b{abroad}\s+(?:(?:residents?|nationals?|based|citizens?)\s+)?only\b"),
+    ("", (("must", "required"), "abroad"), r"\b(?:must|required)\s+(?:to\s+)?be\s+(?:based|located|residing)\s+in\s+(?:the\s+)?{abroad}\b"),
+    ("", (("preferred",), "abroad"), r"\b(?:based|reside|residing|living|located)\s+in\s+(?:the\s+)?{abroad}\s+preferred\b"),
+    ("", (("prefer", "preferably"), "abroad"), r"\bprefer(?:ably)?\s+(?:based|located|living)\s+in\s+(?:the\s+)?{abroad}\b"),
+    ("", (("remote",), "abroad"), r"\bremote\s*[-–,]\s*{abroad}\b(?!\s+(?:and|or|vs)\b|\s*(?:,|&))"),
+    ("", (("remote",), "abroad"), r"\bremote\s*[-–,]\s*{abroad}\s*(?:,|and|or|vs)\s+{abroad}\b"),
 )
 
 # Wording that takes a demand for US persons back, or makes it hard.

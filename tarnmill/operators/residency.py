@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tarnmill.functions import pins
 from tarnmill.functions.clauses import polarity, run_around, sentences
 from tarnmill.functions.places import ASIA_PACIFIC, HYBRID_TECHNOLOGY, MIDDLE_EAST, RESTRICTED
+from tarnmill.functions.signs import holds_rooted, may_name, runs_of, shown
 from tarnmill.operators.law import (
-    US_POSTAL, US_STATES, _any, _has_any, _low, foreign_restricted, hybrid_work, language_restricted, once, strongly_open, words,
+    LIVES_SIGNS, US_POSTAL, US_SIGNS, US_STATES, _any, _has_any, _low, asks_language, hybrid_work, is_foreign, is_hybrid, is_open, once, read, words,
 )
 
 #: Places that make a label name more than the US.
@@ -27,7 +28,10 @@ _BACK = "(?i)" + "|".join(pins.US_TAKEN_BACK)
 _OREGON = r"\bremote\s*,?\s*(?:or|oregon)\b|\bcoos\s+county\b|\bremote\b.*\b97458\b"
 
 
-#: Parts that every word of a local residency has one of.
+#: What the rules here hang on, besides the words of the places and languages.
+SIGNS = ("remote", "only", "coos", *(w for _, groups, _ in pins.PINS for group in groups if group != "abroad" for w in group), *runs_of((*pins.METROS, *ABROAD, *ELSEWHERE, *pins.CONTRACTS)))
+#: Parts that every label of ``pins.MARKERS``, and every word of a local residency, has one of.
+MARKER_ROOTS = ("remote", "worldwide", "anywhere", "b2b", "freelance", "contractor", "c2c")
 LOCAL_ROOTS = ("wohn", "ansässig", "leben", "aufenthaltserlaubnis", "résid", "france")
 #: Characters of a demand of local residency at most, with at most 61 of white space at a time.
 LOCAL_SPAN = 400
@@ -35,8 +39,13 @@ LOCAL_SPAN = 400
 
 def usa_polarity(text: Column) -> Column:
     """-1: a sentence that names the US stands by it; 1: every such sentence takes it back; 0: none names it."""
+    return once(read(text), of_usa)
+
+
+def of_usa(t: Column) -> Column:
+    """``usa_polarity`` of a text that is read."""
     closed = lambda s: s.rlike(rf"(?i)\bonly\b|{pins.HARD}")
-    return polarity(sentences(text), lambda s: s.rlike(_COUNTRY), lambda s: s.rlike(_BACK) & ~closed(s))
+    return F.when(shown(t["signs"], ("usa", "united", "u")), polarity(sentences(t["text"]), lambda s: s.rlike(_COUNTRY), lambda s: s.rlike(_BACK) & ~closed(s))).otherwise(0)
 
 
 def us_persons_polarity(text: Column) -> Column:
@@ -52,7 +61,10 @@ def us_persons_polarity(text: Column) -> Column:
         alone = left.rlike(rf"(?i)\b{us}\s+persons?\s+only\b|\bonly\s+{us}\s+persons?\b") & ~left.rlike(r"(?i)\bnot\s+only\b")
         return s.rlike(_BACK) & ~alone & ~left.rlike(f"(?i){pins.HARD}")
 
-    return polarity(sentences(text), lambda s: s.rlike(_PERSONS), open_)
+    # Only sentences that name the US in capitals are looked at.
+    capitals = ("US", "U.S")
+    said = lambda t: polarity(F.filter(sentences(t), lambda s: _has_any(s, capitals)), lambda s: s.rlike(_PERSONS), open_)
+    return once(F.coalesce(text, F.lit("")), lambda t: F.when(_has_any(t, capitals), said(t)).otherwise(0))
 
 
 def _local(patterns) -> str:
@@ -86,21 +98,42 @@ def in_local_residency(low: Column) -> Column:
 
 def description_restricted(text: Column) -> Column:
     """A description that shuts out whoever works from home abroad: by language, office, residency, permit or time zone. Null: no."""
-    low = _low(text)
+    return once(read(text), lambda t: shuts_out(t))
+
+
+def shuts_out(t: Column, language: Column | None = None, hybrid: Column | None = None) -> Column:
+    """``description_restricted`` of a text that is read; what is known of its language and office may be given."""
+    text, low = t["text"], t["low"]
     places = {"authority": _any(pins.AUTHORITIES), "residence": _any(pins.RESIDENCES), "israel": _any(pins.ISRAEL), "abroad": _any(ABROAD)}
     filled = lambda p: reduce(lambda s, kv: s.replace(f"{{{kv[0]}}}", kv[1]), places.items(), p)
-    anchors: dict[str, list[str]] = {}
-    for anchor, pin in pins.PINS:
-        anchors.setdefault(anchor, []).append(filled(pin))
-    found = [(low.contains(a) if a else F.lit(True)) & low.rlike("(?U)" + "|".join(p)) for a, p in anchors.items()]
-    us_only = F.coalesce(text, F.lit("")).rlike(r"\b(?:US|USA|U\.S\.)\s*[-–]?\s*(?i:only)\b")
-    tests = [language_restricted(text), hybrid_work(text), us_only, *found, us_persons_polarity(text) < 0, local_residency(text)]
+    anchors: dict[tuple, list[str]] = {}
+    for part, needed, pin in pins.PINS:
+        anchors.setdefault((part, needed), []).append(filled(pin))
+    asked = lambda part, needed: reduce(lambda a, b: a & b, [shown(t["signs"], runs_of(ABROAD) if group == "abroad" else group) for group in needed] + [low.contains(part)] * bool(part))
+    found = [asked(*key) & low.rlike("(?U)" + "|".join(p)) for key, p in anchors.items()]
+    us_only = _has_any(text, ("US", "U.S")) & text.rlike(r"\b(?:US|USA|U\.S\.)\s*[-–]?\s*(?i:only)\b")
+    tests = [asks_language(t) if language is None else language, is_hybrid(t) if hybrid is None else hybrid, us_only, *found, us_persons_polarity(text) < 0, in_local_residency(low)]
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
+def read_description(text: Column) -> Column:
+    """What the rules read of a description: ``struct<read, language, hybrid, strong, restricted>``, each rule asked once."""
+    asked = lambda t: F.struct(t.alias("read"), asks_language(t).alias("language"), is_hybrid(t).alias("hybrid"), is_open(t["low"]).alias("strong"))
+    whole = lambda f: F.struct(*(f[k].alias(k) for k in ("read", "language", "hybrid", "strong")), shuts_out(f["read"], f["language"], f["hybrid"]).alias("restricted"))
+    return once(once(read(text), asked), whole)
+
+
+def read_title(title: Column) -> Column:
+    """What the rules read of a title: ``struct<read, restricted>``."""
+    return once(read(title), lambda t: F.struct(t.alias("read"), title_restricted(title).alias("restricted")))
+
+
 def title_restricted(title: Column) -> Column:
     """A title that shuts out whoever works from home abroad, or that is no engineer's. Null: no."""
-    t = F.replace(_low(title), F.lit("_"), F.lit(" "))
+    return once(read(title), lambda whole: once(F.replace(whole["low"], F.lit("_"), F.lit(" ")), lambda t: _title_shuts(whole, t)))
+
+
+def _title_shuts(whole: Column, t: Column) -> Column:
     nation, short = _any(pins.TITLE_NATIONS), "(?:us|usa|uk|canada|europe|germany|poland|latam|israel)"
     within = lambda x: rf"\[(?:[^\]]*\b)?{x}(?:\b[^\]]*)?\]|\((?:[^)]*\b)?{x}(?:\b[^)]*)?\)"
     signs = [
@@ -111,7 +144,7 @@ def title_restricted(title: Column) -> Column:
         rf"\bwohnsitz\s+(?:(?:in|innerhalb\s+der|i\.?\s*d\.?)\s*)?{_any(pins.GERMAN_PLACES)}\b",
     ]
     hybrid = F.regexp_replace(t, rf"(?U)\bhybrid[\s_-]+{_any(HYBRID_TECHNOLOGY)}\b|\bhybrid\s+of\b", " ").rlike(r"(?U)\bhybrid\b")
-    tests = [language_restricted(title), hybrid_work(title), t.rlike(_local(pins.LOCAL_PINS)), t.rlike("(?U)" + "|".join(signs)), hybrid, recruiter(t)]
+    tests = [asks_language(whole), is_hybrid(whole), _has_any(t, LOCAL_ROOTS) & t.rlike(_local(pins.LOCAL_PINS)), t.rlike("(?U)" + "|".join(signs)), t.contains("hybrid") & hybrid, recruiter(t)]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -127,23 +160,27 @@ def recruiter(low: Column) -> Column:
 
 def us_pinned(text: Column) -> Column:
     """A label or prose that ties work to the US, one of its states or metros; text that only names them beside other places does not. Null: no."""
-    given = F.coalesce(text, F.lit(""))
-
-    def rule(s: Column) -> Column:
-        low, state, metro = F.lower(s), _any(US_STATES), _any(pins.METROS)
-        lives, town = r"(?:based|located|living|reside(?:s|ing)?)\s+in", r"remote\s+(?:in|at)"
-        live_in = rf"\b(?:{lives}|must\s+be\s+(?:based\s+|located\s+)?in|{town})\s+{state}\b|\b{state}\s+only\b|\b{state}[\s-]+based\b"
-        metro_in = rf"\b(?:{lives}|must\s+be\s+(?:based\s+)?in|{town}|remote|remote\s+(?:role|job|position|work|team)\s+in)\s+{metro}\b|\b{metro}\s+only\b|\b{metro}[\s-]+based\b"
-        # Every demand that ends in two capitals, whichever comes first: "or" and "in" are no states.
-        codes = F.array_compact(F.flatten(F.array(*(F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in (rf"(?i)(?:{lives}|\bmust\s+be\s+(?:based\s+)?in)\s+((?-i:[A-Z]{{2}}))\b", r"(?i)\bin\s+((?-i:[A-Z]{2}))\s+only\b")))))
-        elsewhere, named = low.rlike(words(ELSEWHERE)), low.rlike(words(pins.METROS))
-        bare = (F.size(F.split(F.trim(low), r"\s+")) <= 6) & ~_has_any(low, pins.WORLD) & ~elsewhere & named
-        return (
-            low.rlike(f"(?U){_OREGON}") | (usa_polarity(s) < 0) | low.rlike(r"(?U)\b(?:us|u\.s\.)\s*(?:only|based|resident|citizen|candidates?)\b")
-            | low.rlike(f"(?U){live_in}") | F.exists(codes, lambda c: F.lower(c).isin(US_POSTAL)) | F.exists(label_clauses(s), clause_pinned) | low.rlike(f"(?U){metro_in}") | bare
-        )
-
-    return once(given, rule)
+    return once(read(text), pins_us)
+
+
+def pins_us(t: Column) -> Column:
+    """``us_pinned`` of a text that is read."""
+    s, low, state, metro = t["text"], t["low"], _any(US_STATES), _any(pins.METROS)
+    lives, town = r"(?:based|located|living|reside(?:s|ing)?)\s+in", r"remote\s+(?:in|at)"
+    live_in = rf"\b(?:{lives}|must\s+be\s+(?:based\s+|located\s+)?in|{town})\s+{state}\b|\b{state}\s+only\b|\b{state}[\s-]+based\b"
+    metro_in = rf"\b(?:{lives}|must\s+be\s+(?:based\s+)?in|{town}|remote|remote\s+(?:role|job|position|work|team)\s+in)\s+{metro}\b|\b{metro}\s+only\b|\b{metro}[\s-]+based\b"
+    # Every demand that ends in two capitals, whichever comes first: "or" and "in" are no states.
+    codes = lambda p: F.exists(F.regexp_extract_all(s, F.lit(p), F.lit(1)), lambda c: F.lower(c).isin(US_POSTAL))
+    tied, town_named = shown(t["signs"], (*LIVES_SIGNS, "remote", "only")), may_name(t["signs"], pins.METROS)
+    bare = town_named & (F.size(F.split(F.trim(low), r"\s+")) <= 6) & ~_has_any(low, pins.WORLD) & ~low.rlike(words(ELSEWHERE)) & low.rlike(words(pins.METROS))
+    return (
+        (low.contains("remote") | shown(t["signs"], ("coos",))) & low.rlike(f"(?U){_OREGON}") | (of_usa(t) < 0)
+        | shown(t["signs"], US_SIGNS) & low.rlike(r"(?U)\b(?:us|u\.s\.)\s*(?:only|based|resident|citizen|candidates?)\b")
+        | tied & may_name(t["signs"], US_STATES) & low.rlike(f"(?U){live_in}")
+        | _has_any(low, ("based", "located", "living", "reside", "must")) & codes(rf"(?i)(?:{lives}|\bmust\s+be\s+(?:based\s+)?in)\s+((?-i:[A-Z]{{2}}))\b")
+        | shown(t["signs"], ("only",)) & codes(r"(?i)\bin\s+((?-i:[A-Z]{2}))\s+only\b")
+        | shown(t["signs"], ("remote",)) & F.exists(label_clauses(s), clause_pinned) | tied & town_named & low.rlike(f"(?U){metro_in}") | bare
+    )
 
 
 def label_clauses(text: Column) -> Column:
@@ -174,55 +211,82 @@ def worldwide(location: Column, source: Column, title: Column, description: Colu
     """``struct<stage string, open boolean>``: whether a role is open to whoever works from home abroad, and the rule that decided.
 
     The rules are asked in a fixed order, and the first that applies decides; what several of them need
-    is computed once. A null label is like an empty one.
+    is computed once, and a description is read only where label and title leave it open. A null label
+    is like an empty one.
     """
+    return once(read_title(title), lambda t: decided(location, source, F.struct(t.alias("title")), description))
+
+
+def decided(location: Column, source: Column, known: Column, description: Column | None = None) -> Column:
+    """``worldwide`` of what is read: ``known`` has the title and, unless the description is given, the description as well."""
     # What the rules of the label need.
-    text, told = F.trim(_low(location)), _low(description)
+    text = F.trim(_low(location))
     facts = F.struct(
-        text.alias("text"), told.alias("told"), title_restricted(title).alias("title"), description_restricted(description).alias("description"),
-        strongly_open(description).alias("strong"), us_pinned(text).alias("us"), hybrid_work(location).alias("hybrid"), hybrid_work(description).alias("told_hybrid"),
-        _has_any(text, OFFICE).alias("office"), text.rlike(words(ASIA_PACIFIC + MIDDLE_EAST)).alias("scope"), F.lower(F.coalesce(source, F.lit(""))).isin(*pins.US_BOARDS).alias("us_board"),
-        F.concat_ws(" ", text, told).alias("both"), _low(title).rlike(r"(?U)\b(?:remote|wfh|work\s+from\s+home)\b").alias("remote_title"),
+        text.alias("text"), hybrid_work(location).alias("hybrid"), F.lower(F.coalesce(source, F.lit(""))).isin(*pins.US_BOARDS).alias("us_board"),
+        known["title"].alias("title"), *([] if description is not None else [known["description"].alias("description")]),
     )
 
-    def decided(f: Column) -> Column:
-        text, told, both = f["text"], f["told"], f["both"]
+    def by_label(f: Column) -> Column:
+        told = lambda d: _by_description(f, d)
+        read_on = once(f["description"], told) if description is None else once(read_description(description), told)
+        return F.when(f["text"] == "", _stage("no_label", False)).when(f["title"]["restricted"], _stage("title", False)).otherwise(read_on)
+
+    return once(facts, by_label)
+
+
+def _stage(name: str, open_: bool | Column) -> Column:
+    return F.struct(F.lit(name).alias("stage"), (open_ if isinstance(open_, Column) else F.lit(open_)).alias("open"))
+
+
+def _by_description(f: Column, d: Column) -> Column:
+    """The rules from the description on."""
+
+    def later(r: Column) -> Column:
+        text, told, found = r["low"], d["read"]["low"], F.concat(r["signs"], d["read"]["signs"])
+        both = F.concat_ws(" ", text, told)
         remote = _has_any(text, ("remote", "work from home", "wfh", "anywhere", "telecommute"))
-        remote_told = _has_any(told, ("100% remote", "fully remote", "work from home", "wfh")) | told.rlike(r"(?U)\b(?:location|workplace|workplace\s+type)\s*:\s*remote\b|\bremote[,\s]+pakistan\b|\bpakistan[,\s]+remote\b")
-        marked = _has_any(both, pins.MARKERS)
+        remote_told = _has_any(told, ("100% remote", "fully remote", "work from home", "wfh")) | shown(d["read"]["signs"], ("remote",)) & told.rlike(r"(?U)\b(?:location|workplace|workplace\s+type)\s*:\s*remote\b|\bremote[,\s]+pakistan\b|\bpakistan[,\s]+remote\b")
+        marked = once(both, lambda b: holds_rooted(b, pins.MARKERS, MARKER_ROOTS))
         town = text.rlike(rf"(?U)remote\s+in\s+\w|remote\s*,\s+[a-z]|{_OREGON}")
-        allowed = words((*pins.CONTRACTS, *ASIA_PACIFIC, *MIDDLE_EAST))
-        office_told = _has_any(text, (*OFFICE, "office-based")) | _has_any(told, (*OFFICE, "office-based"))
-        rules = [
-            ("no_label", text == "", False),
-            ("title", f["title"], False),
-            ("description", f["description"], False),
-            ("town_of_remote", text.rlike(f"(?U){_OREGON}"), False),
-            ("anywhere_within", text.rlike(r"(?U)anywhere\s+in\s+(?!(?:the\s+)?world\b)"), False),
-            ("open_description", f["strong"] & ~f["us"] & ~text.rlike(words(pins.ISRAEL)) & ~f["hybrid"] & ~f["office"], True),
-            ("foreign", foreign_restricted(text), False),
-            ("us", f["us"], False),
-            ("us_board", f["us_board"] & ~(marked | both.rlike(words((*ASIA_PACIFIC, *MIDDLE_EAST, *pins.CONTRACTS)))), False),
-            ("anywhere", _has_any(text, (*pins.WORLD, "work from home", "wfh", "anywhere")), True),
-            ("global", text.rlike(r"(?U)\bglobal(?:ly)?\b"), True),
-            ("contract", _has_any(text, ("b2b", "freelance")), True),
-            ("closed_market", text.rlike(words(pins.CLOSED_MARKETS)), False),
-            ("region", _has_any(text, ("apac", "asia pacific", "south asia", "middle east", "mena", "gcc")) & ~_has_any(text, ("onsite", "on-site", "hybrid", "in-office")), True),
-            ("scope_hybrid", f["scope"] & (f["hybrid"] | f["told_hybrid"]), False),
-            ("scope_office", f["scope"] & office_told, False),
-            ("home", f["scope"] & _has_any(text, HOME), remote | f["remote_title"] | remote_told),
-            ("scope_unmarked", f["scope"] & ~remote & ~(marked | _has_any(both, pins.CONTRACTS) | both.contains("pakistan")), False),
-            ("scope_told", f["scope"] & ~remote, remote_told),
-            ("scope", f["scope"], True),
-            ("qualified", _bare(text) & ~town & text.rlike(r"remote\s*\(") & ~F.regexp_extract(text, r"(remote\s*\(.*)", 1).rlike(allowed), False),
-            ("bare", _bare(text) & ~town, True),
-        ]
-        stage, verdict = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(False))
-        for name, applies, open_ in rules:
-            stage, verdict = stage.when(applies, name), verdict.when(applies, open_ if isinstance(open_, Column) else F.lit(open_))
-        return F.struct(stage.otherwise("none").alias("stage"), verdict.otherwise(False).alias("open"))
-
-    return once(facts, decided)
+        allowed, abroad = words((*pins.CONTRACTS, *ASIA_PACIFIC, *MIDDLE_EAST)), (*ASIA_PACIFIC, *MIDDLE_EAST, *pins.CONTRACTS)
+        office_told = _has_any(text, (*OFFICE, "office-based")) | holds_rooted(told, (*OFFICE, "office-based"), ("office", "site"))
+        us, office, hybrid = pins_us(r), _has_any(text, OFFICE), f["hybrid"]
+        scope = may_name(r["signs"], (*ASIA_PACIFIC, *MIDDLE_EAST)) & text.rlike(words(ASIA_PACIFIC + MIDDLE_EAST))
+        remote_title = f["title"]["read"]["low"].rlike(r"(?U)\b(?:remote|wfh|work\s+from\s+home)\b")
+
+        def rules(x: Column) -> Column:
+            us, scope = x["us"], x["scope"]
+            stages = [
+                ("open_description", d["strong"] & ~us & ~text.rlike(words(pins.ISRAEL)) & ~hybrid & ~office, True),
+                ("foreign", is_foreign(r), False),
+                ("us", us, False),
+                ("us_board", f["us_board"] & ~(marked | may_name(found, abroad) & both.rlike(words(abroad))), False),
+                ("anywhere", _has_any(text, (*pins.WORLD, "work from home", "wfh", "anywhere")), True),
+                ("global", text.rlike(r"(?U)\bglobal(?:ly)?\b"), True),
+                ("contract", _has_any(text, ("b2b", "freelance")), True),
+                ("closed_market", text.rlike(words(pins.CLOSED_MARKETS)), False),
+                ("region", _has_any(text, ("apac", "asia pacific", "south asia", "middle east", "mena", "gcc")) & ~_has_any(text, ("onsite", "on-site", "hybrid", "in-office")), True),
+                ("scope_hybrid", scope & (hybrid | d["hybrid"]), False),
+                ("scope_office", scope & office_told, False),
+                ("home", scope & _has_any(text, HOME), remote | remote_title | remote_told),
+                ("scope_unmarked", scope & ~remote & ~(marked | _has_any(both, pins.CONTRACTS) | both.contains("pakistan")), False),
+                ("scope_told", scope & ~remote, remote_told),
+                ("scope", scope, True),
+                ("qualified", _bare(text) & ~town & text.rlike(r"remote\s*\(") & ~F.regexp_extract(text, r"(remote\s*\(.*)", 1).rlike(allowed), False),
+                ("bare", _bare(text) & ~town, True),
+            ]
+            return _first(stages).otherwise(_stage("none", False))
+
+        opening = [("town_of_remote", _has_any(text, ("remote", "coos")) & text.rlike(f"(?U){_OREGON}"), False), ("anywhere_within", text.rlike(r"(?U)anywhere\s+in\s+(?!(?:the\s+)?world\b)"), False)]
+        return _first(opening).otherwise(once(F.struct(us.alias("us"), scope.alias("scope")), rules))
+
+    return F.when(d["restricted"], _stage("description", False)).otherwise(once(read(f["text"]), later))
+
+
+def _first(stages) -> Column:
+    """The first stage that applies."""
+    (name, applies, open_), *more = stages
+    return reduce(lambda chosen, s: chosen.when(s[1], _stage(s[0], s[2])), more, F.when(applies, _stage(name, open_)))
 
 
 def _bare(text: Column) -> Column:

@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import residency
+from tarnmill.functions import signs
+from tarnmill.operators import law, residency
 
 LINE = "The tion of thren was, only that erst and onan. Le des est zu und die ein, que la mente.\n"
 
@@ -29,3 +30,24 @@ def test_local_residency_in_one_long_sentence(spark):
     began = time.time()
     rows = spark.createDataFrame(clauses, "t string, wanted boolean").select("wanted", residency.local_residency(F.col("t")).alias("found"))
     assert all(r.wanted == r.found for r in rows.collect()) and time.time() - began < 30
+
+
+def test_the_pins_of_descriptions_by_words_and_parts(spark):
+    cases = {"Eligible to\n  work in Japan": True, "w-2 only": True, "Israel-only": True, "US\nperson: you must be a U.S.person": True, "eligible, to work in the sun": False, "Onsite, in Berlin": True, "only the sun in Berlin": False}
+    rows = spark.createDataFrame(list(cases.items()), "t string, wanted boolean").select("t", residency.description_restricted(F.col("t")).alias("found"))
+    assert {r.t: r.found for r in rows.collect()} == cases
+
+
+def test_signs(spark):
+    low = F.col("t")
+    found = spark.createDataFrame([("the us, us. são_paulo usa",), ("busy in paulo; bogotá",), ("",)], "t string").select(
+        signs.signs(low, ("us", "usa", *signs.runs_of(("são paulo", "bogotá")))).alias("s"), signs.may_name(signs.signs(low, ("paulo",)), ("東京", "paulo")).alias("m"))
+    assert [(r.s, r.m) for r in found.collect()] == [(["us", "usa"], True), (["paulo", "bogot"], True), ([], True)]
+    with pytest.raises(ValueError, match="roots"):
+        signs.holds_rooted(low, ("on-site", "remote"), ("site",))
+
+
+@pytest.mark.parametrize("rule", [lambda t: law.verdicts(F.lit("Remote"), F.lit("ML Engineer"), t)["daily"]["reason"]], ids=["verdicts"])
+def test_rules_of_postings_at_the_end_of_prose(spark, rule):
+    got, seconds = _took(spark, rule, "Fluent German required.")
+    assert got == "description" and seconds < 30
