@@ -48,8 +48,11 @@ def post_title(text: Column, headline: Column) -> Column:
 
 def post_label(text: Column) -> Column:
     """The location of a post: ``Worldwide`` where its words open it and none speaks of an office, else the guess from its words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(_named(low, OPEN_POST) & ~_named(low, OFFICE_POST), F.lit("Worldwide")).otherwise(law.feed_place(text))
+    return law.once(law.read(text), _label)
+
+
+def _label(t: Column) -> Column:
+    return F.when(_named(t["low"], OPEN_POST) & ~_named(t["low"], OFFICE_POST), F.lit("Worldwide")).otherwise(law.placed(t))
 
 
 def postings(posts: DataFrame, since: Column | None = None) -> DataFrame:
@@ -61,11 +64,17 @@ def postings(posts: DataFrame, since: Column | None = None) -> DataFrame:
     a column of the posting has their name.
     """
     text, url, posted = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("text", "url", "posted"))
-    label = F.col("_label")
-    rows = posts.where((text != "") & (url != "") & ~url.contains("linkedin.com/in/") & law.hiring_post(text)).withColumn("_label", post_label(text))
-    closed = F.exists(F.array(*map(F.lit, DROPPED_LABELS)), lambda k: F.contains(label, k))
-    rows = rows.where((label != "") & ~label.isin("Onsite", "Hybrid") & ~closed)
-    rows = rows.where(residency.worldwide(label, F.lit(None).cast("string"), F.lit(None).cast("string"), text)["open"])
+    empty = F.lit(None).cast("string")
+    closed = lambda label: F.exists(F.array(*map(F.lit, DROPPED_LABELS)), lambda k: F.contains(label, k))
+
+    def judged(t: Column) -> Column:
+        """The label of a text that is read, null if it is no open posting."""
+        kept = lambda label: F.when((label != "") & ~label.isin("Onsite", "Hybrid") & ~closed(label) & residency.worldwide(label, empty, empty, t["text"])["open"], label)
+        return F.when((t["text"] != "") & law.is_hiring(t), law.once(_label(t), kept))
+
+    # A text is read once: what an outer generator made isn't computed again by the filter behind it.
+    rows = posts.where((url != "") & ~url.contains("linkedin.com/in/")).withColumn("_read", F.explode_outer(F.array(law.once(law.read(text), lambda t: F.struct(t["text"].alias("text"), judged(t).alias("label"))))))
+    rows, text, label = rows.where(F.col("_read.label").isNotNull()), F.col("_read.text"), F.col("_read.label")
     day = F.substring(posted, 1, 10)
     if since is not None:
         on = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
@@ -74,7 +83,7 @@ def postings(posts: DataFrame, since: Column | None = None) -> DataFrame:
         "source": F.lit("linkedin"), "title": post_title(F.col("text"), F.col("headline")), "company": F.coalesce(F.nullif(strip(F.col("author")), F.lit("")), F.lit("Unknown")),
         "url": url, "location": label, "posted_date": F.nullif(day, F.lit("")), "description": text, "tags": F.array("keyword"),
     }
-    taken = {*made, "text", "headline", "author", "posted", "keyword", "_label"}
+    taken = {*made, "text", "headline", "author", "posted", "keyword", "_read"}
     return rows.select(*(c for c in posts.columns if c not in taken), *(v.alias(k) for k, v in made.items()))
 
 

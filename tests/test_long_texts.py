@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnmill.functions import signs
-from tarnmill.operators import law, residency
+from tarnmill.operators import feed, law, residency
 
 LINE = "The tion of thren was, only that erst and onan. Le des est zu und die ein, que la mente.\n"
 
@@ -51,3 +51,11 @@ def test_signs(spark):
 def test_rules_of_postings_at_the_end_of_prose(spark, rule):
     got, seconds = _took(spark, rule, "Fluent German required.")
     assert got == "description" and seconds < 30
+
+
+def test_a_feed_post_is_read_once(spark, capsys):
+    posts = spark.createDataFrame([("Hiring", "u", None, None, None, None)], "text string, url string, headline string, author string, posted string, keyword string")
+    feed.postings(posts.where("url != ''")).explain(True)
+    # The cut into words of the first reading, and those of the label and the description behind it, in one node alone.
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert sum("on-site" in line for line in plan.split("\n")) == 1
