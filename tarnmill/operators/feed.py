@@ -96,6 +96,6 @@ def guest_verdict(title: Column, location: Column, description: Column) -> Colum
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in (title, location, description)]
     place = r"\b(?:location|workplace|workplace\s+type)\s*:\s*remote\b|\bremote[,\s]+pakistan\b|\bpakistan[,\s]+remote\b"
     remote = _named(F.concat_ws(" ", *low[:2]), REMOTE_HEADER) | _named(low[2], REMOTE_DETAIL) | low[2].rlike("(?U)" + place)
-    by_law = law.verdict(location, title, description, "guest", F.lit("linkedin"))["reason"]
-    reason = F.when(_named(F.concat_ws(" ", *low), CLOSED), F.lit("closed")).when(by_law != "", by_law).when(~remote, F.lit("remote_marker")).otherwise("")
+    by_law = law.once(law.verdict(location, title, description, "guest", F.lit("linkedin"))["reason"], lambda hit: F.when(hit != "", hit).when(~remote, F.lit("remote_marker")).otherwise(""))
+    reason = F.when(_named(F.concat_ws(" ", *low), CLOSED), F.lit("closed")).otherwise(by_law)
     return law.once(reason, lambda r: F.struct((r == "").alias("ok"), r.alias("reason")))
