@@ -47,7 +47,7 @@ def test_signs(spark):
         signs.holds_rooted(low, ("on-site", "remote"), ("site",))
 
 
-@pytest.mark.parametrize("rule", [lambda t: law.verdicts(F.lit("Remote"), F.lit("ML Engineer"), t)["daily"]["reason"], lambda t: feed.guest_verdict(F.lit("ML Engineer"), F.lit("Worldwide"), t)["reason"].substr(10, 99)], ids=["verdicts", "guest"])
+@pytest.mark.parametrize("rule", [lambda t: law.verdicts(F.lit("Remote"), F.lit("ML Engineer"), t)["daily"]["reason"], lambda t: feed.guest_verdict(F.lit("ML Engineer"), F.lit("Worldwide"), t)["reason"].substr(10, 99), lambda t: residency.worldwide(F.lit("Remote"), F.lit("feed"), F.lit("ML Engineer"), t)["stage"]], ids=["verdicts", "guest", "worldwide"])
 def test_rules_of_postings_at_the_end_of_prose(spark, rule):
     got, seconds = _took(spark, rule, "Fluent German required.")
     assert got == "description" and seconds < 30
