@@ -76,8 +76,8 @@ def job_type(raw: Column) -> Column:
 
 
 def is_expired(title: Column, description: Column) -> Column:
-    low = F.lower(F.coalesce(description, F.lit("")))
-    return F.coalesce(F.trim(title), F.lit("")).rlike(EXPIRED_TITLE) | reduce(lambda a, b: a | b, (low.contains(p) for p in EXPIRED_PHRASES))
+    told = F.transform(F.array(F.lower(F.coalesce(description, F.lit("")))), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in EXPIRED_PHRASES)))
+    return F.coalesce(F.trim(title), F.lit("")).rlike(EXPIRED_TITLE) | F.get(told, F.lit(0))
 
 
 def screen_text(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import strip
+from tarnmill.operators.law import once
 
 #: The threshold of a profile that isn't known.
 DEFAULT_THRESHOLD = 70
@@ -106,11 +107,18 @@ def legacy_reason(title: Column, rejects: tuple[str, ...], stacks: tuple[str, ..
     return F.coalesce(only("blacklisted_role", rejects), F.when(~F.lower(title).rlike(ML_ROLE), only("unrelated_stack", stacks)))
 
 
-def match(profile: Profile, title: Column, description: Column, tags: Column | None = None, shared: tuple[str, ...] = ()) -> Column:
-    """``struct<ok, score, label>``: the first rule of the profile that decides about a posting."""
+def _words(title: Column, description: Column, tags: Column | None) -> Column:
+    """Title, tags and description as one lower-case text."""
+    empty = F.lit("")
+    return F.concat_ws("\n", strip(F.lower(F.coalesce(title, empty))), F.lower(F.array_join(tags, " ")) if tags is not None else empty, strip(F.lower(F.coalesce(description, empty))))
+
+
+def match(profile: Profile, title: Column, description: Column, tags: Column | None = None, shared: tuple[str, ...] = (), text: Column | None = None) -> Column:
+    """``struct<ok, score, label>``: the first rule of the profile that decides about a posting; ``text`` are its words where they are read before."""
     empty = F.lit("")
     low = strip(F.lower(F.coalesce(title, empty)))
-    text = F.concat_ws("\n", low, F.lower(F.array_join(tags, " ")) if tags is not None else empty, strip(F.lower(F.coalesce(description, empty))))
+    if text is None:
+        return once(_words(title, description, tags), lambda t: match(profile, title, description, tags, shared, t))
     rules: list[tuple[Column, Column]] = [(F.coalesce(title, empty) == "", _verdict(False, F.lit(0), F.lit("Empty title")))]
     reason = blacklist_reason(title, profile, shared)
     rules.append((reason.isNotNull(), _verdict(False, F.lit(0), F.concat(F.lit("Rejected ("), reason, F.lit(")")))))
@@ -133,8 +141,9 @@ def match(profile: Profile, title: Column, description: Column, tags: Column | N
 
 def passing(profiles: list[Profile], title: Column, description: Column, tags: Column | None = None, shared: tuple[str, ...] = ()) -> Column:
     """``array<struct<name, score, label>>`` of the profiles that take a posting, by score; ties stay in the order given."""
-    every = [F.struct((-m["score"]).alias("key"), F.lit(k).alias("place"), F.lit(p.name).alias("name"), m["score"].alias("score"), m["label"].alias("label"), m["ok"].alias("ok")) for k, p in enumerate(profiles) for m in [match(p, title, description, tags, shared)]]
-    took = F.sort_array(F.filter(F.array(*every), lambda x: x["ok"] & (x["score"] > 0)))
+    ranked = lambda k, p: lambda m: F.struct((-m["score"]).alias("key"), F.lit(k).alias("place"), F.lit(p.name).alias("name"), m["score"].alias("score"), m["label"].alias("label"), m["ok"].alias("ok"))
+    every = lambda text: F.array(*(once(match(p, title, description, tags, shared, text), ranked(k, p)) for k, p in enumerate(profiles)))
+    took = F.sort_array(F.filter(once(_words(title, description, tags), every), lambda x: x["ok"] & (x["score"] > 0)))
     return F.transform(took, lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"), x["label"].alias("label")))
 
 

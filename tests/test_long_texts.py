@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnmill.functions import signs
-from tarnmill.operators import feed, law, residency
+from tarnmill.operators import feed, law, profiles, residency
+from tarnmill.record_queries import ENGINEER, RESEARCHER
 
 LINE = "The tion of thren was, only that erst and onan. Le des est zu und die ein, que la mente.\n"
 
@@ -59,3 +60,10 @@ def test_a_feed_post_is_read_once(spark, capsys):
     # The cut into words of the first reading, and those of the label and the description behind it, in one node alone.
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert sum("on-site" in line for line in plan.split("\n")) == 1
+
+
+def test_profiles_read_a_description_once(spark, capsys):
+    rows = spark.createDataFrame([("ML Engineer", "the long text")], "title string, description string")
+    rows.select(profiles.passing([ENGINEER, RESEARCHER], F.col("title"), F.col("description"))).explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("description#") <= 2  # the column, and the one place where it is used
